@@ -119,9 +119,8 @@ def symlog_inverse(x: Column, constant: Column) -> Column:
     return F.signum(v) * c * F.expm1(F.abs(v))
 
 
-def symlog_constant(values: Column) -> Column:
-    """Aggregate: half the lower quartile of the positive values, kept within 0.01..0.5; 0.1 without any."""
-    quartile = F.percentile(F.when(values > 0, values), 0.25)
+def symlog_constant(quartile: Column) -> Column:
+    """Half the lower quartile of the positive values, kept within 0.01..0.5; 0.1 where there are none."""
     return F.coalesce(clamp(quartile / 2, 0.01, 0.5), F.lit(0.1))
 
 

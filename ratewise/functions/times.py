@@ -22,6 +22,14 @@ def local_time(utc: Column, zone: str = LOCAL_ZONE) -> Column:
     return F.from_utc_timestamp(utc, zone)
 
 
+def zone_offset(utc: Column, local: Column) -> Column:
+    """Offset text such as ``+02:00`` between a UTC time and its local clock time."""
+    minutes = ((local.cast("long") - utc.cast("long")) / 60).cast("int")
+    sign = F.when(minutes < 0, "-").otherwise("+")
+    hours = F.lpad(F.floor(F.abs(minutes) / 60).cast("string"), 2, "0")
+    return F.concat(sign, hours, F.lit(":"), F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"))
+
+
 def hour_bucket(hour: Column) -> Column:
     """Quarter of the day; the last one also takes hours out of range, null stays null."""
     return (

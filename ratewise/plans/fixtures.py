@@ -94,8 +94,8 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_error & (F.col("value") > 100), "request_timeout").when(is_error, "server_error").alias("error_category"),
         F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("duration_seconds"),
         F.when(F.col("event_id") % 13 == 0, "accepted_after_request_timeout").alias("validator_status"),
-        F.col("ts"),
-        F.date_trunc("day", "ts").alias("invocation"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("invocation"),
         F.get_json_object("props", "$.k").cast("long").alias("cached_tokens"),
     )
 
