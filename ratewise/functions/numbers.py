@@ -78,11 +78,11 @@ def t_critical(n: Column) -> Column:
 
 
 def wald_low(metric: Column, n: Column) -> Column:
-    return F.when(n > 1, F.greatest(F.lit(0.0), metric - _wald_margin(metric, n)))
+    return F.when(metric.isNotNull() & (n > 1), F.greatest(F.lit(0.0), metric - _wald_margin(metric, n)))
 
 
 def wald_high(metric: Column, n: Column) -> Column:
-    return F.when(n > 1, F.least(F.lit(100.0), metric + _wald_margin(metric, n)))
+    return F.when(metric.isNotNull() & (n > 1), F.least(F.lit(100.0), metric + _wald_margin(metric, n)))
 
 
 def _wald_margin(metric: Column, n: Column) -> Column:
@@ -134,7 +134,8 @@ def profile_ratio(value: Column, axis_max: Column, metric: str, contrast: bool =
         ratio = (clamp(v, -1.0, 1.0) + 1) / 2
     else:
         top = F.greatest(F.lit(1.0), non_negative(axis_max))
-        ratio = clamp(F.least(top, F.greatest(v, F.lit(0.0))) / top, 0.0, 1.0)
+        # greatest and least skip nulls, so a missing value is kept out of them.
+        ratio = F.when(v.isNotNull(), clamp(F.least(top, F.greatest(v, F.lit(0.0))) / top, 0.0, 1.0))
     if contrast:
         ratio = F.pow(ratio, F.lit(2.5))
     return F.coalesce(ratio, F.lit(missing))

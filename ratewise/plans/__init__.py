@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scores", "agreements", "repeats"]
+MODULES = ["scores", "agreements", "repeats", "boards", "costs"]
 
 
 def load_registry():

@@ -128,16 +128,16 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue rows: priced entries per tier, aliases in chains of one and two, unsupported and open entries."""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").withColumn("p_brand", F.lower("p_brand"))
     tier = F.when(F.col("p_size") % 2 == 0, "standard").otherwise("flex")
     none = F.lit(None).cast("string")
     priced = (
         p.filter(F.col("p_type") != "PROMO")
         .groupBy(F.col("p_brand").alias("provider"), F.lower("p_type").alias("model"), tier.alias("tier"))
         .agg(
-            F.round(F.avg("p_retailprice") / 1000, 4).alias("input_rate"),
-            F.round(F.min("p_retailprice") / 10000, 4).alias("cached_rate"),
-            F.round(F.max("p_retailprice") / 250, 4).alias("output_rate"),
+            F.round(F.avg("p_retailprice") / 1000 + 1e-9, 4).alias("input_rate"),
+            F.round(F.min("p_retailprice") / 10000 + 1e-9, 4).alias("cached_rate"),
+            F.round(F.max("p_retailprice") / 250 + 1e-9, 4).alias("output_rate"),
         )
         .withColumn("cached_rate", F.when(F.col("model") != "small", F.col("cached_rate")))
         .select("*", none.alias("pricing_ref"), none.alias("reason"), F.lit(False).alias("needs_manual"))
@@ -159,7 +159,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("first"), none, False,
     )
     promo = p.filter(F.col("p_type") == "PROMO").select(F.col("p_brand").alias("provider"), F.lit("promo").alias("model")).distinct()
-    odd = F.regexp_extract("provider", r"(\d+)$", 1).cast("int") % 2 == 1
+    odd = F.regexp_extract("provider", r"(\d+)$", 1).try_cast("int") % 2 == 1
     unsupported = bare(promo.filter(odd), none, F.lit("no official price"), False)
     unpriced = bare(promo.filter(~odd), none, F.lit("added, price to be filled in"), True)
     return priced.unionByName(alias).unionByName(chained).unionByName(unsupported).unionByName(unpriced)
@@ -185,11 +185,14 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("l_partkey") % 5 == 1, F.concat(F.lit("x/y/"), F.lower("p_type")))
             .when(F.col("l_partkey") % 5 == 2, F.concat(F.lit("new "), "p_name"))
             .when(F.col("l_partkey") % 5 == 3, F.col("p_type"))
-            .otherwise(F.lit(" unknown model ")).alias("model"),
+            .otherwise(F.lit(" unknown model ")).alias("requested"),
+            F.lit("").alias("for_requests"),
+            F.lit("").alias("model"),
             F.when(F.col("l_partkey") % 3 == 0, "FLEX").when(F.col("l_partkey") % 3 == 1, "odd").otherwise("batch").alias("service_tier"),
             F.lower("p_type").alias("file_slug"),
             "input_tokens",
             "cached_tokens",
             "output_tokens",
+            F.when(F.col("l_partkey") % 4 == 0, F.col("input_tokens") - 1).alias("non_cached_tokens"),
         )
     )

@@ -85,17 +85,17 @@ requests AS (
 
 PRICES = """
 named AS (
-  SELECT p_brand AS provider, p_name AS model, lower(arg_max(p_type, p_partkey)) AS target FROM part GROUP BY ALL
+  SELECT lower(p_brand) AS provider, p_name AS model, lower(arg_max(p_type, p_partkey)) AS target FROM part GROUP BY ALL
 ),
 promo AS (
-  SELECT DISTINCT p_brand AS provider, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) % 2 = 1 AS odd
+  SELECT DISTINCT lower(p_brand) AS provider, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) % 2 = 1 AS odd
   FROM part WHERE p_type = 'PROMO'
 ),
 prices AS (
-  SELECT p_brand AS provider, lower(p_type) AS model, CASE WHEN p_size % 2 = 0 THEN 'standard' ELSE 'flex' END AS tier,
-         round(avg(p_retailprice) / 1000, 4) AS input_rate,
-         CASE WHEN lower(p_type) <> 'small' THEN round(min(p_retailprice) / 10000, 4) END AS cached_rate,
-         round(max(p_retailprice) / 250, 4) AS output_rate,
+  SELECT lower(p_brand) AS provider, lower(p_type) AS model, CASE WHEN p_size % 2 = 0 THEN 'standard' ELSE 'flex' END AS tier,
+         round(avg(p_retailprice) / 1000 + 1e-9, 4) AS input_rate,
+         CASE WHEN lower(p_type) <> 'small' THEN round(min(p_retailprice) / 10000 + 1e-9, 4) END AS cached_rate,
+         round(max(p_retailprice) / 250 + 1e-9, 4) AS output_rate,
          CAST(NULL AS VARCHAR) AS pricing_ref, CAST(NULL AS VARCHAR) AS reason, false AS needs_manual
   FROM part WHERE p_type <> 'PROMO' GROUP BY 1, 2, 3, lower(p_type)
   UNION ALL SELECT provider, model, NULL, NULL, NULL, NULL, target, NULL, false FROM named
@@ -109,9 +109,10 @@ usage AS (
   SELECT l_partkey AS run_id,
          CASE l_partkey % 10 WHEN 0 THEN '' WHEN 1 THEN 'elsewhere' ELSE p_brand END AS provider,
          CASE l_partkey % 5 WHEN 0 THEN 'models/' || p_name WHEN 1 THEN 'x/y/' || lower(p_type)
-              WHEN 2 THEN 'new ' || p_name WHEN 3 THEN p_type ELSE ' unknown model ' END AS model,
+              WHEN 2 THEN 'new ' || p_name WHEN 3 THEN p_type ELSE ' unknown model ' END AS requested,
          CASE l_partkey % 3 WHEN 0 THEN 'FLEX' WHEN 1 THEN 'odd' ELSE 'batch' END AS service_tier,
-         lower(p_type) AS file_slug, input_tokens, cached_tokens, output_tokens
+         lower(p_type) AS file_slug, input_tokens, cached_tokens, output_tokens,
+         CASE WHEN l_partkey % 4 = 0 THEN input_tokens - 1 END AS non_cached_tokens
   FROM (SELECT l_partkey, sum(l_quantity) AS input_tokens, sum(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS cached_tokens,
                CAST(sum(l_linenumber) AS DOUBLE) AS output_tokens FROM lineitem GROUP BY 1)
   JOIN part ON l_partkey = p_partkey

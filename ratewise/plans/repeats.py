@@ -10,6 +10,7 @@ from ratewise.plans import fixtures as fx
 from ratewise.plans.oracle import ATTEMPTS, PREDICTIONS, RUNS, SCORES, with_views
 from ratewise.plans.registry import query
 from ratewise.plans.scores import rd, rounded, scores_of
+from ratewise.session import cut_lineage
 
 TELEMETRY = """
 examples AS (SELECT run_id, example_id, bool_or(status = 'error' AND error_category = 'request_timeout') AS timed_out,
@@ -53,7 +54,9 @@ def run_table(spark, sf_dir):
     times = telemetry.active_time(fx.attempts(spark, sf_dir)).select("run_id", "overall_time_seconds")
     runs = fx.runs(spark, sf_dir).withColumnRenamed("run_stem", "base_name").join(scores, "run_id").join(times, "run_id", "left")
     runs = runs.withColumn("accuracy", F.when(F.col("run_id") % 9 != 4, F.col("accuracy")))
-    return repeated.with_runtime(repeated.with_local_time(repeated.join_telemetry(runs, telemetry_of(spark, sf_dir), "run_id")))
+    table = repeated.with_runtime(repeated.with_local_time(repeated.join_telemetry(runs, telemetry_of(spark, sf_dir), "run_id")))
+    # One row per run, read several times by what follows: written once instead of counted again.
+    return cut_lineage(table, "runs")
 
 
 @query(
