@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scores", "agreements", "repeats", "boards", "costs"]
+MODULES = ["scores", "agreements", "repeats", "boards", "costs", "labels"]
 
 
 def load_registry():
