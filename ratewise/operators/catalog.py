@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ratewise.functions import html
 from ratewise.functions.numbers import optional_rate
 from ratewise.functions.text import slug, snapshot_base
+from ratewise.session import cut_lineage
 
 RATES = ["input_rate", "cached_rate", "output_rate"]
 # Routes of a reseller and the upstream catalogues (provider, key prefix) whose rates they share.
@@ -107,8 +108,9 @@ def sync_catalog(catalog: DataFrame, config: DataFrame, metadata: DataFrame) ->
     meta = metadata_prices(metadata).join(config.select("provider", "model").distinct(), ["provider", "model"], "left_semi")
     fresh = meta.join(priced_models(catalog), ["provider", "model"], "left_anti")
     none = F.lit(None).cast("string")
-    synced = overlay(catalog, fresh.select("*", none.alias("pricing_ref"), none.alias("reason"), F.lit(False).alias("needs_manual")))
-    full = synced.unionByName(missing_models(config, synced), allowMissingColumns=True)
+    # Both stages are read several times, so each is written once.
+    synced = cut_lineage(overlay(catalog, fresh.select("*", none.alias("pricing_ref"), none.alias("reason"), F.lit(False).alias("needs_manual"))), "synced")
+    full = cut_lineage(synced.unionByName(missing_models(config, synced), allowMissingColumns=True), "catalogue")
     return full.unionByName(slug_aliases(full), allowMissingColumns=True)
 
 

@@ -34,7 +34,7 @@ def token_totals(rows: DataFrame, key: str = "run_id") -> DataFrame:
 def artifact_keys(metrics: DataFrame) -> DataFrame:
     """Adds ``stem``: name of the output a metrics file stems from, else its own base name."""
     output = blank_to_null(F.col("source_output_csv"))
-    stem = F.regexp_replace(names.file_name(output), r"(?<=.)\.[^.]*$", "")
+    stem = F.when(output.isNotNull(), F.regexp_replace(names.file_name(output), r"(?<=.)\.[^.]*$", ""))
     return metrics.withColumn("stem", F.coalesce(stem, names.metrics_base(F.col("metrics_file"))))
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scores", "agreements", "repeats", "boards", "costs", "labels"]
+MODULES = ["scores", "agreements", "repeats", "boards", "costs", "labels", "checks", "texts", "catalogs", "files", "streams"]
 
 
 def load_registry():

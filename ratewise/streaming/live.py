@@ -51,41 +51,33 @@ def first_predictions(rows: DataFrame, late: str = "1 day") -> DataFrame:
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "id"])
 
 
-def run_to_table(stream: DataFrame, keys: list[str] | None, checkpoint: str, path: str) -> DataFrame:
+def run_to_table(stream: DataFrame, keys: list[str] | None, checkpoint: str, path: str, mode: str | None = None) -> DataFrame:
     """Runs a stream over all available files into a table and returns its rows.
 
     Changing results (``keys`` given) are appended per batch and the latest row of each key is read, so no batch is
-    overwritten and the state stays bounded by the watermark. Others are appended once.
+    overwritten and the state stays bounded by the watermark. Others are appended once. ``mode="complete"`` keeps
+    every window open and reads the last batch; sessions need it where their last ones are wanted too.
     """
     spark = stream.sparkSession
+    mode = mode or ("update" if keys else "append")
 
     def append(batch: DataFrame, batch_id: int) -> None:
         # A batch that is run again after a failure replaces its own rows only.
         batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    mode = "update" if keys else "append"
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
     query.awaitTermination()
-    names = [c for c in stream.columns]
     rows = spark.read.option("recursiveFileLookup", True).schema(_with_batch(stream)).parquet(path)
+    if mode == "complete":
+        last = rows.agg(F.max("batch_id").alias("batch_id"))
+        rows = rows.join(F.broadcast(last), "batch_id", "left_semi")
     if not keys:
-        return rows.select(*names)
-    rest = [c for c in names if c not in keys]
+        return rows.select(*stream.columns)
+    rest = [c for c in stream.columns if c not in keys]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("l"))
     return latest.select(*keys, "l.*")
 
 
-def merge_sessions(sessions: DataFrame, gap_seconds: int) -> DataFrame:
-    """Sessions that later rows have joined, as emitted batch by batch, reduced to the final ones."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("run_id").orderBy("first_ts", F.desc("last_ts"))
-    before = F.max(F.col("last_ts").cast("double")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(before.isNull() | (F.col("first_ts").cast("double") > before + gap_seconds), 1).otherwise(0)
-    numbered = sessions.withColumn("s", F.sum(fresh).over(order))
-    return numbered.groupBy("run_id", "s").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
-
-
 def _with_batch(stream: DataFrame):
     from pyspark.sql import types as T
 
