@@ -299,3 +299,9 @@ def member_positions(pairs: DataFrame, group: list[str]) -> DataFrame:
     """Index of every run that occurs in a pair, in run order within its group."""
     runs = pairs.select(*group, F.explode(F.array("run_a", "run_b")).alias("run_id")).distinct()
     return runs.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy("run_id")) - 1)
+
+
+def with_groups(clusters: DataFrame, groups: DataFrame) -> DataFrame:
+    """Clusters with the facts of their agreement group, where there is one."""
+    facts = [c for c in groups.columns if c not in clusters.columns]
+    return clusters.join(groups.select("group_id", *facts), "group_id", "left")

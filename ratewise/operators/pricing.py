@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ratewise.functions import numbers
-from ratewise.functions.text import provider_key, service_tier, slug, strip
+from ratewise.functions.names import provider_and_model_from_left
+from ratewise.functions.text import batch_model, batch_provider, provider_key, service_tier, slug, strip
 from ratewise.session import cut_lineage
 
 MAX_CHAIN = 12  # fixed value: entries a chain of aliases may pass through, its end included
@@ -46,6 +47,8 @@ def resolve_aliases(entries: DataFrame, max_chain: int | None = MAX_CHAIN) -> Da
     Hops are doubled, so a chain of twelve needs four joins and none grows. Dead ends, cycles and chains over
     ``max_chain`` entries have no result. With ``max_chain=None`` any finite chain resolves.
     """
+    # Every round joins the table with itself, so it is written between rounds: the plan would double each time.
+    entries = cut_lineage(entries, "entries")
     hop = entries.select(
         "provider", "model", F.coalesce("pricing_ref", "model").alias("to"), F.when(F.col("pricing_ref").isNull(), 0).otherwise(1).alias("hops")
     )
@@ -53,7 +56,7 @@ def resolve_aliases(entries: DataFrame, max_chain: int | None = MAX_CHAIN) -> Da
     if max_chain is not None:
         reach = 1
         while reach < max_chain - 1:
-            hop, reach = _double(hop), reach * 2
+            hop, reach = cut_lineage(_double(hop), "aliases"), reach * 2
         hop = hop.filter(F.col("hops") < max_chain)
     else:
         # Each round closes some open chain as long as one is left; only cycles stay open for ever.
@@ -138,12 +141,12 @@ def match_prices(runs: DataFrame, catalog: DataFrame) -> DataFrame:
     ids = ids.withColumn("lookup", F.sha2(F.to_json(F.struct(*IDENTITY)), 256)).withColumn("pkey", provider_key(F.col("provider")))
     strong = F.array_distinct(F.flatten(F.array(*[name_candidates(F.col(c), F.col("pkey")) for c in ("requested", "for_requests", "model")])))
     weak = F.array_except(name_candidates(F.col("file_slug"), F.col("pkey")), F.col("strong"))
-    ids = ids.withColumn("strong", strong).withColumn("weak", weak)
+    ids = cut_lineage(ids.withColumn("strong", strong).withColumn("weak", weak), "identities")
     named = ids.select("lookup", "pkey", (F.size("strong") == 0).alias("nameless"), F.concat("strong", "weak").alias("all"), F.size("strong").alias("n_strong"))
     cand = named.select("lookup", "pkey", "nameless", "n_strong", F.posexplode("all").alias("pos", "candidate"))
     cand = cand.withColumn("is_weak", F.col("pos") >= F.col("n_strong"))
 
-    resolved = resolve_aliases(classify_entries(catalog))
+    resolved = cut_lineage(resolve_aliases(classify_entries(catalog)), "resolved")
     entry = F.struct("provider", "model", "resolved", "kind", "reason")
 
     scoped = cand.select("*", F.posexplode(provider_spellings(F.col("pkey"), F.col("candidate"))).alias("sub", "key"))
@@ -258,6 +261,29 @@ def tier_with_fallback(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+def artifact_config(outputs: DataFrame, metrics: DataFrame, logs: DataFrame) -> DataFrame:
+    """Provider, model and tier of every output: from its metrics, else its log, else its name.
+
+    ``outputs``: ``base_name``; ``metrics`` and ``logs``: ``base_name, config_provider, config_model, service_tier,
+    details_provider, model_requested, model_for_requests``.
+    """
+    fields = ["config_provider", "config_model", "service_tier", "details_provider", "model_requested", "model_for_requests"]
+    m = metrics.select("base_name", F.struct(*fields).alias("m"))
+    lg = logs.select("base_name", F.struct(*fields).alias("l"))
+    j = outputs.select("base_name").join(m, "base_name", "left").join(lg, "base_name", "left")
+    j = j.withColumn("s", F.coalesce("m", "l")).withColumn("n", provider_and_model_from_left(F.col("base_name")))
+
+    def given(*names: str) -> Column:
+        return F.coalesce(*[F.nullif(F.col(f"s.{c}"), F.lit("")) for c in names])
+
+    model = given("config_model", "model_requested", "model_for_requests")
+    provider = batch_provider(F.when(model.isNull(), F.col("n.provider")).otherwise(given("config_provider", "details_provider")))
+    return j.select(
+        "base_name", provider.alias("provider"), batch_model(provider, F.coalesce(model, F.col("n.model"))).alias("model"),
+        F.coalesce(given("service_tier"), F.lit("standard")).alias("service_tier"), F.col("m").isNotNull().alias("has_metrics"),
+    )
+
+
 def model_usage(outputs: DataFrame) -> DataFrame:
     """Outputs, outputs with metrics and observed tiers per provider and model (tiers by count, then name)."""
     per = outputs.groupBy("provider", "model", "service_tier").agg(

@@ -353,3 +353,29 @@ FROM judged WHERE model IS NOT NULL AND temperature IS NOT NULL GROUP BY ALL""")
 )
 def completion_counts(spark, sf_dir):
     return interrater.completion(collected_runs(spark, sf_dir))
+
+
+@query(
+    "clusters_with_groups", "J30",
+    with_views(PREDICTIONS, RUNS, select=PAIRS_SQL + f"""
+SELECT c.group_id, c.pairs, g.run_count, {rd('c.distance')} AS mean_distance FROM
+  (SELECT task || '/' || model AS group_id, count(*) AS pairs, avg((overlap_count - agreement_count) / overlap_count) AS distance FROM pairs GROUP BY ALL) c
+  LEFT JOIN (SELECT task || '/' || model AS group_id, count(*) AS run_count FROM runs WHERE task <> 'ASIA' GROUP BY ALL) g USING (group_id)"""),
+)
+def clusters_with_groups(spark, sf_dir):
+    pairs = agreement.pair_distances(agreement.run_pair_counts(grouped_predictions(spark, sf_dir), GROUP))
+    clusters = pairs.groupBy(F.concat_ws("/", *GROUP).alias("group_id")).agg(F.count("*").alias("pairs"), F.avg("distance").alias("mean_distance"))
+    groups = fx.runs(spark, sf_dir).filter("task <> 'ASIA'").groupBy(F.concat_ws("/", *GROUP).alias("group_id")).agg(F.count("*").alias("run_count"))
+    return rounded(agreement.with_groups(clusters, groups).select("group_id", "pairs", "run_count", "mean_distance"))
+
+
+@query(
+    "runs_in_day_window", "P23 P5",
+    with_views(RUNS, select="SELECT run_stem FROM runs WHERE substr(stamp, 1, 10) BETWEEN '2026-05-14' AND '2026-05-19'"),
+)
+def runs_in_day_window(spark, sf_dir):
+    from ratewise.functions.names import stamp_in_name
+    from ratewise.functions.times import day_in_window
+
+    runs = fx.runs(spark, sf_dir).select("run_stem")
+    return runs.filter(day_in_window(stamp_in_name(F.col("run_stem")), "2026-05-14", "2026-05-19"))

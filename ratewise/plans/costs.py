@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ratewise.operators import pricing
 from ratewise.plans import fixtures as fx
-from ratewise.plans.oracle import PRICES, USAGE, with_views
+from ratewise.plans.oracle import PRICES, RUNS, USAGE, with_views
 from ratewise.plans.registry import query
 from ratewise.plans.scores import rd, rounded
 
@@ -206,3 +206,23 @@ WHERE priced AND input_rate IS NOT NULL AND output_rate IS NOT NULL"""),
 def price_plot_rows(spark, sf_dir):
     out = pricing.price_plot_rows(price_rows_of(spark, sf_dir))
     return rounded(out.select("provider", "model", "service_tier_used_for_price", "group_total"))
+
+
+@query(
+    "artifact_configs", "P9 P17 P4",
+    with_views(RUNS, select="""
+SELECT run_stem AS base_name, CASE WHEN run_id % 4 = 3 THEN provider WHEN run_id % 3 = 0 THEN 'e-infra' ELSE 'google' END AS provider,
+  CASE WHEN run_id % 4 = 3 THEN model WHEN run_id % 3 = 0 THEN 'models/gemini35flash' ELSE 'gemini-3.5-flash' END AS model,
+  CASE WHEN run_id % 4 < 2 AND run_id % 5 = 1 THEN 'flex' ELSE 'standard' END AS service_tier, run_id % 4 < 2 AS has_metrics FROM runs"""),
+)
+def artifact_configs(spark, sf_dir):
+    """Half of the outputs have metrics, a quarter only a log, a quarter only a name."""
+    r = fx.runs(spark, sf_dir)
+    key = F.col("run_id")
+    none = F.lit(None).cast("string")
+    facts = r.select(
+        "run_id", F.col("run_stem").alias("base_name"), F.when(key % 3 == 0, "einfra").alias("config_provider"), none.alias("config_model"),
+        F.when((key % 4 < 2) & (key % 5 == 1), "flex").alias("service_tier"), F.lit(" vertex ").alias("details_provider"), F.lit("").alias("model_requested"),
+        F.lit("models/gemini35flash").alias("model_for_requests"),
+    )
+    return pricing.artifact_config(r.select(F.col("run_stem").alias("base_name")), facts.filter("run_id % 4 < 2"), facts.filter("run_id % 4 = 2"))

@@ -59,10 +59,11 @@ def delimited_row_counts(spark, sf_dir):
 def example_files(spark, sf_dir):
     c = fx.table(spark, sf_dir, "customer")
     rows = c.select(
-        F.col("c_custkey").alias("I.D."), F.col("c_mktsegment").alias(" Node "), F.col("c_name").alias("Left-Context"), F.col("c_nationkey").alias("metadata")
+        F.col("c_custkey").cast("string").alias("I.D."), F.col("c_mktsegment").alias(" Node "), F.col("c_name").alias("Left-Context"),
+        F.col("c_nationkey").cast("string").alias("metadata"),
     )
     blank = rows.limit(3).select(*[F.lit(" ").alias(n) for n in rows.columns])
-    path = written_csv(rows.withColumn("I.D.", F.col("`I.D.`").cast("string")).union(blank), "examples", ",")
+    path = written_csv(rows.union(blank), "examples", ",")
     return delimited.read_examples(spark, path).select("id", "node", "left_context", "info")
 
 

@@ -116,7 +116,7 @@ def flatten_runs(parsed: DataFrame) -> DataFrame:
 
     def tags(where: str) -> Column:
         raw = F.get_json_object("text", where)
-        listed = F.filter(F.transform(F.from_json(raw, "array<string>"), F.trim), lambda t: t != "")
+        listed = F.filter(F.transform(F.from_json(raw, "array<string>"), lambda t: F.trim(t)), lambda t: t != "")
         return F.when(F.startswith(raw, F.lit("[")), listed).otherwise(split_tags(raw))
 
     own, outer = tags("$.run_config.tags"), tags("$.tags")
