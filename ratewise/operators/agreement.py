@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ratewise.functions.numbers import t_critical
+from ratewise.operators.skew import join_group_facts
 
 IGNORED_TAG = "open source"  # fixed value: does not separate task variants
 POLICIES = ["latest", "best_accuracy"]
@@ -21,32 +22,33 @@ def alpha_nominal(labels: DataFrame, group: list[str], run: str = "run_id", item
     """
     rated = labels.filter(F.col(label).isNotNull())
     counts = rated.groupBy(*group, item, label).agg(F.count("*").alias("n"))
-    per_item = Window.partitionBy(*group, item)
-    c = counts.withColumn("m", F.sum("n").over(per_item)).withColumn("lead", F.col(label) == F.min(label).over(per_item))
-    runs = rated.select(*group, run).distinct().groupBy(*group).agg(F.count("*").alias("run_count"))
+    squares = F.sum(F.col("n").cast("double") * F.col("n"))
+    items = counts.groupBy(*group, item).agg(F.sum("n").alias("m"), squares.alias("ss"), F.min(label).alias("only"))
     pairable = F.col("m") >= 2
-    per_label = (
-        c.join(runs, group)
-        .groupBy(*group, "run_count", label)
-        .agg(
-            F.sum(F.when(pairable, F.col("n")).otherwise(0)).alias("n_c"),
-            F.sum(F.when(pairable, F.try_divide(F.col("n") * (F.col("m") - F.col("n")), F.col("m") - 1)).otherwise(0.0)).alias("d_c"),
-            F.count_if(F.col("lead")).alias("rated"),
-            F.count_if(F.col("lead") & pairable).alias("pairable"),
-            F.count_if(F.col("lead") & (F.col("m") == F.col("run_count"))).alias("shared"),
-        )
+    m = F.col("m").cast("double")
+    runs = rated.groupBy(*group, run).agg(F.lit(1).alias("one")).groupBy(*group).agg(F.count("*").alias("run_count"))
+    # How many raters the items have: a few numbers per group, so that "all runs" can be looked up without a join per item.
+    by_size = items.groupBy(*group, "m").agg(
+        F.count("*").alias("items"), F.sum(F.when(pairable, F.try_divide(m * m - F.col("ss"), m - 1)).otherwise(0.0)).alias("d")
     )
-    n = F.sum("n_c").cast("double")
-    observed = F.try_divide(F.sum("d_c"), n)
-    expected = F.try_divide(n * n - F.sum(F.col("n_c").cast("double") * F.col("n_c")), n * (n - 1))
-    alpha = F.when(n < 2, None).when(expected == 0, F.when(observed == 0, 1.0)).otherwise(1 - F.try_divide(observed, expected))
-    return per_label.groupBy(*group).agg(
+    per_group = by_size.join(runs, group).groupBy(*group).agg(
         F.max("run_count").alias("run_count"),
-        alpha.alias("alpha_nominal"),
-        F.sum("pairable").alias("pairable_item_count"),
-        F.sum("rated").alias("rated_item_count"),
-        F.sum("shared").alias("fully_shared_item_count"),
-        F.count("*").alias("category_count"),
+        F.sum("d").alias("d"),
+        F.sum(F.when(pairable, F.col("items")).otherwise(0)).alias("pairable_item_count"),
+        F.sum("items").alias("rated_item_count"),
+        F.sum(F.when(F.col("m") == F.col("run_count"), F.col("items")).otherwise(0)).alias("fully_shared_item_count"),
+    )
+    # Label totals over pairable items: all ratings less those of items with a single one.
+    alone = items.filter("m = 1").groupBy(*group, F.col("only").alias(label)).agg(F.count("*").alias("alone"))
+    totals = counts.groupBy(*group, label).agg(F.sum("n").alias("all_n")).join(alone, [*group, label], "left")
+    n_c = (F.col("all_n") - F.coalesce("alone", F.lit(0).cast("long"))).cast("double")
+    margins = totals.groupBy(*group).agg(F.sum(n_c).alias("n"), F.sum(n_c * n_c).alias("sq"), F.count("*").alias("category_count"))
+    n = F.col("n")
+    observed = F.try_divide("d", n)
+    expected = F.try_divide(n * n - F.col("sq"), n * (n - 1))
+    alpha = F.when(n < 2, None).when(expected == 0, F.when(observed == 0, 1.0)).otherwise(1 - F.try_divide(observed, expected))
+    return per_group.join(margins, group).select(
+        *group, "run_count", alpha.alias("alpha_nominal"), "pairable_item_count", "rated_item_count", "fully_shared_item_count", "category_count"
     )
 
 
@@ -79,7 +81,7 @@ def run_pair_counts(
         .select(*group, "__blocks", "__slices")
     )
     placed = (
-        rated.join(sizes, group)
+        join_group_facts(rated, sizes, group, F.col(item))
         .withColumn("__block", F.pmod(F.xxhash64(F.col(run)), F.col("__blocks")))
         .withColumn("__slice", F.pmod(F.xxhash64(F.col(item)), F.col("__slices")))
         .withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))

@@ -26,7 +26,7 @@ FLEX_ROUTES = [
     ("openrouter", "openai/", "openai", ""), ("openrouter", "google/", "google", "models/"), ("requesty", "openai/", "openai", ""),
     ("requesty", "openai-responses/", "openai", ""), ("requesty", "google/", "google", "models/"), ("requesty", "vertex/", "vertex", ""),
 ]
-ADDED_REASON = "Added by --update-models; fill in pricing manually in config_prices.js."
+ADDED_REASON = "Added by --update-models; fill in pricing manually."
 NO_PRICE_REASON = "No compatible official per-token pricing was found for this model."
 
 

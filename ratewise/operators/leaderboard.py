@@ -340,8 +340,8 @@ def profile_ratios(matrix: DataFrame, metric: str, contrast: bool = False) -> Da
     if metric in PERCENT:
         top = F.lit(100.0)
         return matrix.withColumn("ratio", numbers.profile_ratio(F.col("value"), top, metric, contrast))
-    peak = matrix.agg(F.max("value").alias("axis_max"))
-    return matrix.crossJoin(F.broadcast(peak)).withColumn("ratio", numbers.profile_ratio(F.col("value"), F.col("axis_max"), metric, contrast)).drop("axis_max")
+    peak = matrix.agg(F.max("value").alias("axis_max")).scalar()
+    return matrix.withColumn("ratio", numbers.profile_ratio(F.col("value"), peak, metric, contrast))
 
 
 def token_profile(runs: DataFrame) -> DataFrame:

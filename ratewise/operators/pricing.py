@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ratewise.functions import numbers
 from ratewise.functions.names import provider_and_model_from_left
 from ratewise.functions.text import batch_model, batch_provider, provider_key, service_tier, slug, strip
+from ratewise.operators.skew import join_by_identity
 from ratewise.session import cut_lineage
 
 MAX_CHAIN = 12  # fixed value: entries a chain of aliases may pass through, its end included
@@ -137,7 +138,7 @@ def match_prices(runs: DataFrame, catalog: DataFrame) -> DataFrame:
     with the file-name slug, other providers only if the run gives no name at all. Routed providers are never
     looked up elsewhere. Matching works on distinct identities, so its size is that of the catalogue, not the runs.
     """
-    ids = runs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in IDENTITY]).distinct()
+    ids = runs.groupBy(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in IDENTITY]).agg(F.count("*").alias("runs"))
     ids = ids.withColumn("lookup", F.sha2(F.to_json(F.struct(*IDENTITY)), 256)).withColumn("pkey", provider_key(F.col("provider")))
     strong = F.array_distinct(F.flatten(F.array(*[name_candidates(F.col(c), F.col("pkey")) for c in ("requested", "for_requests", "model")])))
     weak = F.array_except(name_candidates(F.col("file_slug"), F.col("pkey")), F.col("strong"))
@@ -186,33 +187,39 @@ def match_prices(runs: DataFrame, catalog: DataFrame) -> DataFrame:
     first = own.unionByName(foreign).groupBy("lookup").agg(F.min_by("e", F.struct("stage", "pos", "sub")).alias("e"))
     return ids.join(first, "lookup", "left").select(
         *IDENTITY, F.col("e.provider").alias("price_provider"), F.col("e.model").alias("matched_key"),
-        F.col("e.resolved").alias("resolved_key"), F.col("e.kind").alias("kind"),
+        F.col("e.resolved").alias("resolved_key"), F.col("e.kind").alias("kind"), "runs",
     )
 
 
+def join_matches(runs: DataFrame, matches: DataFrame) -> DataFrame:
+    """Runs with the entry of their identity; a model that most runs use does not unbalance the join."""
+    base = runs.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in IDENTITY})
+    return join_by_identity(base, cut_lineage(matches, "matches"), IDENTITY, "runs")
+
+
 def estimate_costs(runs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Cost per run with its status.
 
     ``runs`` has the identity columns, ``service_tier`` and token totals ``input_tokens, cached_tokens,
     non_cached_tokens, output_tokens``. Only token kinds that were used need a rate.
     """
-    matches = match_prices(runs, catalog)
-    base = runs
-    for c in IDENTITY:
-        base = base.withColumn(c, F.coalesce(F.col(c), F.lit("")))
-    rates = catalog.filter(F.col("tier").isNotNull()).select(
-        F.col("provider").alias("price_provider"), F.col("model").alias("resolved_key"), F.col("tier").alias("pricing_tier"),
-        "input_rate", "cached_rate", "output_rate", F.lit(True).alias("__has_tier"),
+    rate = F.struct("input_rate", "cached_rate", "output_rate")
+    rates = catalog.filter(F.col("tier").isNotNull()).groupBy(F.col("provider").alias("price_provider"), F.col("model").alias("resolved_key")).agg(
+        F.map_from_entries(F.collect_list(F.struct("tier", rate))).alias("__tiers")
     )
+    # All tiers of an entry travel with its identity: runs are joined once.
+    matches = match_prices(runs, catalog).join(rates, ["price_provider", "resolved_key"], "left")
+    tier_rates = F.element_at("__tiers", F.col("pricing_tier"))
     cached = numbers.non_negative(F.col("cached_tokens"))
     non_cached = F.when(
         F.col("non_cached_tokens").isNotNull(), numbers.non_negative(F.col("non_cached_tokens"))
     ).otherwise(F.greatest(numbers.non_negative(F.col("input_tokens")) - cached, F.lit(0.0)))
     priced = (
-        base.withColumn("pricing_tier", service_tier(F.col("service_tier")))
+        join_matches(runs, matches).withColumn("pricing_tier", service_tier(F.col("service_tier")))
         .withColumn("t_input", non_cached).withColumn("t_cached", cached).withColumn("t_output", numbers.non_negative(F.col("output_tokens")))
-        .join(matches, IDENTITY, "left")
-        .join(rates, ["price_provider", "resolved_key", "pricing_tier"], "left")
+        .withColumns({c: tier_rates[c] for c in ("input_rate", "cached_rate", "output_rate")})
+        .withColumn("__has_tier", F.when(tier_rates.isNotNull(), True))
+        .drop("__tiers")
     )
     missing = F.concat_ws(
         ",",

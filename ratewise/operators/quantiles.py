@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ratewise.operators.skew import join_group_facts
+
 SLACK = 0.001
 ACCURACY = 10_000
 SMALL = 20_000
@@ -23,7 +25,7 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
         F.count("*").alias("__total"),
         F.percentile_approx("__v", F.array(*[F.lit(p) for p in bounds]), ACCURACY).alias("__b"),
     )
-    located = data.join(sketch, group) if group else data.crossJoin(F.broadcast(sketch))
+    located = join_group_facts(data, sketch, group, F.col("__v"))
     ranked = (
         located.groupBy(*group, "__total", _collapsed(len(names)).alias("__v"))
         .agg(F.count("*").alias("__c"))

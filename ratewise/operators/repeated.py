@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ratewise.functions.text import slug
 from ratewise.functions.times import HOUR_BUCKETS, hour_bucket, local_time, zone_offset
+from ratewise.operators.skew import join_group_facts
 
 GROUP = ["task", "provider", "model"]
 CORRELATES = [
@@ -59,12 +60,7 @@ def repeated_runs(runs: DataFrame, group: list[str] = GROUP) -> DataFrame:
 def _group_stats(runs: DataFrame, group: list[str], *aggs) -> DataFrame:
     """Runs with aggregates of their group. Aggregated first and joined back, so a large group is not one window."""
     stats = runs.groupBy(*group).agg(*aggs)
-    names = [c for c in stats.columns if c not in group]
-    renamed = stats.select(*[F.col(c).alias(f"__g_{c}") for c in group], *names)
-    cond = F.lit(True)
-    for c in group:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
-    return runs.join(renamed, cond).drop(*[f"__g_{c}" for c in group])
+    return join_group_facts(runs, stats, group, F.struct(*[c for c in runs.columns if c not in group]), null_safe=True)
 
 
 def details(runs: DataFrame, group: list[str] = GROUP) -> DataFrame:

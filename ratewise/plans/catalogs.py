@@ -79,7 +79,7 @@ kept AS (SELECT * FROM prices ANTI JOIN fresh USING (provider, model)),
 synced AS (SELECT provider, model, tier, input_rate, cached_rate, output_rate, pricing_ref, reason, needs_manual FROM kept
   UNION ALL SELECT provider, model, tier, input_rate, cached_rate, output_rate, NULL, NULL, false FROM fresh),
 added AS (SELECT DISTINCT provider, model FROM config ANTI JOIN synced USING (provider, model)),
-whole AS (FROM synced UNION ALL SELECT provider, model, 'standard', NULL, NULL, NULL, NULL, 'Added by --update-models; fill in pricing manually in config_prices.js.', true FROM added)""",
+whole AS (FROM synced UNION ALL SELECT provider, model, 'standard', NULL, NULL, NULL, NULL, 'Added by --update-models; fill in pricing manually.', true FROM added)""",
         SLUGS.format(src="whole"), select=f"""
 SELECT provider, model, tier, {rd('input_rate')} AS input_rate, {rd('output_rate')} AS output_rate, pricing_ref, reason, needs_manual FROM whole
 UNION ALL SELECT provider, model, NULL, NULL, NULL, pricing_ref, NULL, false FROM slugs"""),

@@ -70,7 +70,7 @@ SELECT u.run_id, price_provider, matched_key, resolved_key, kind FROM usage u LE
 def price_matches(spark, sf_dir):
     runs = fx.usage(spark, sf_dir)
     found = pricing.match_prices(runs, fx.prices(spark, sf_dir))
-    return runs.join(found, pricing.IDENTITY, "left").select("run_id", "price_provider", "matched_key", "resolved_key", "kind")
+    return pricing.join_matches(runs, found).select("run_id", "price_provider", "matched_key", "resolved_key", "kind")
 
 
 COSTS = """

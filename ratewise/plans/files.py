@@ -211,7 +211,7 @@ def price_file_rows(spark, sf_dir):
     alias = F.struct(F.concat(F.lit("to "), "p_name").alias("m"), F.struct(none.cast("map<string,struct<input_usd_per_mtokens:double>>").alias("service_tiers"), F.col("p_name").alias("pricing_ref")).alias("e"))
     models = entries.groupBy("provider").agg(F.map_from_entries(F.flatten(F.collect_list(F.array(priced, alias)))).alias("models"))
     body = F.to_json(F.struct(F.create_map("provider", F.struct("models")).alias("providers")))
-    files = models.select(F.concat(F.lit("window.MODEL_PRICING_CATALOG = "), body, F.lit(";\n")).alias("text"))
+    files = models.select(F.concat(F.lit("window.PRICES = "), body, F.lit(";\n")).alias("text"))
     return documents.price_rows(files).select("provider", "model", "tier", "input_rate", "pricing_ref")
 
 
