@@ -204,8 +204,9 @@ def estimate_costs(runs: DataFrame, catalog: DataFrame) -> DataFrame:
     non_cached_tokens, output_tokens``. Only token kinds that were used need a rate.
     """
     rate = F.struct("input_rate", "cached_rate", "output_rate")
-    rates = catalog.filter(F.col("tier").isNotNull()).groupBy(F.col("provider").alias("price_provider"), F.col("model").alias("resolved_key")).agg(
-        F.map_from_entries(F.collect_list(F.struct("tier", rate))).alias("__tiers")
+    one = catalog.filter(F.col("tier").isNotNull()).groupBy("provider", "model", "tier").agg(F.max(rate).alias("rate"))
+    rates = one.groupBy(F.col("provider").alias("price_provider"), F.col("model").alias("resolved_key")).agg(
+        F.map_from_entries(F.collect_list(F.struct("tier", "rate"))).alias("__tiers")
     )
     # All tiers of an entry travel with its identity: runs are joined once.
     matches = match_prices(runs, catalog).join(rates, ["price_provider", "resolved_key"], "left")

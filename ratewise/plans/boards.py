@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratewise.functions import numbers
-from ratewise.functions.text import display_name, effort_suffix, split_tags
+from ratewise.functions.text import allowed_selection, display_name, effort_suffix, split_tags
 from ratewise.operators import leaderboard as lb, metrics
 from ratewise.operators.quantiles import exact_quantiles
 from ratewise.plans import fixtures as fx
@@ -356,3 +356,17 @@ def symlog_scale(spark, sf_dir):
     rows = b.join(q, "task", "left").withColumn("constant", numbers.symlog_constant(F.col("q1")))
     rows = rows.withColumn("position", numbers.symlog(F.col("estimated_cost_usd"), F.col("constant")))
     return rounded(rows.select("file_name", "constant", "position", numbers.symlog_inverse(F.col("position"), F.col("constant")).alias("restored")))
+
+
+@query(
+    "allowed_tag_selection", "P48 P13",
+    with_views(RUNS, select="""
+SELECT run_id, CASE WHEN run_id % 3 = 0 THEN n_name || '|open source' WHEN run_id % 3 = 1 THEN n_name || '|gold' ELSE n_name END AS chosen
+FROM (SELECT run_id, split_part(tags_text, ';', 1) AS n_name FROM runs)"""),
+)
+def allowed_tag_selection(spark, sf_dir):
+    """A selection with blanks, repeats and unknown tags, cut down to the tags of each run."""
+    r = fx.runs(spark, sf_dir).withColumn("tags", split_tags(F.col("tags_text")))
+    nation = F.get("tags", F.lit(0))
+    chosen = F.array(F.concat(F.lit(" "), nation), F.lit(""), nation, F.lit("gold "), F.lit("nowhere"), F.lit("open source"), F.lit("gold"))
+    return r.select("run_id", F.array_join(allowed_selection(chosen, F.col("tags")), "|").alias("chosen"))
