@@ -51,7 +51,7 @@ def alpha_sql(rated: str, group: list[str]) -> str:
     with_views(PREDICTIONS, RUNS, select=alpha_sql(
         "SELECT task, model, run_id, id, prediction FROM predictions JOIN runs USING (run_id)", GROUP) + f"""
 SELECT task, model, run_count, {rd('alpha_nominal')} AS alpha_nominal, pairable_item_count, rated_item_count, fully_shared_item_count, category_count
-FROM alphas JOIN sizes USING (task, model) JOIN items USING (task, model)"""),
+FROM sizes JOIN items USING (task, model) LEFT JOIN alphas USING (task, model)"""),
 )
 def alpha_per_task_and_model(spark, sf_dir):
     return rounded(agreement.alpha_nominal(grouped_predictions(spark, sf_dir), GROUP))
@@ -183,7 +183,7 @@ stems AS (SELECT scope, task, provider, model, string_agg(run_stem, ',' ORDER BY
                 ["scope", "task", "provider", "model"]) + f"""
 SELECT scope, task, provider, model, run_stems, run_count, {rd('alpha_nominal')} AS alpha_nominal, pairable_item_count, rated_item_count,
   fully_shared_item_count, category_count
-FROM stems JOIN alphas USING (scope, task, provider, model) JOIN sizes USING (scope, task, provider, model) JOIN items USING (scope, task, provider, model)"""),
+FROM stems JOIN sizes USING (scope, task, provider, model) JOIN items USING (scope, task, provider, model) LEFT JOIN alphas USING (scope, task, provider, model)"""),
 )
 def agreement_summary(spark, sf_dir):
     out = agreement.agreement_summary(fx.predictions(spark, sf_dir), run_table(spark, sf_dir))
