@@ -50,7 +50,7 @@ class Runs:
         self.text = np.searchsorted(words.offsets, self.first, "right") - 1
         self.long = W.windows(h, window)
         self.short = least[begins]
-        self.run = W.joined(self.long[self.first], self.long[self.last])
+        self.run = W.joined(self.long[self.first], self.long[self.last] + (self.last - self.first).astype(W.U))
 
     def full_windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(run, start) of all full windows of the runs ``which``, ascending by start."""

@@ -74,8 +74,10 @@ class Splitter:
             r = 0xD1342543DE82EF95
             inverse = pow(r, -1, 1 << 64)
             n = max(n, SLICE + 1)
-            self.powers = np.cumprod(np.concatenate([[1], np.full(n - 1, r, U)]).astype(U), dtype=U)
-            self.inverses = np.cumprod(np.concatenate([[1], np.full(n - 1, inverse, U)]).astype(U), dtype=U)
+            self.powers, self.inverses = np.full(n, r, U), np.full(n, inverse, U)
+            for x in (self.powers, self.inverses):
+                x[0] = 1
+                np.cumprod(x, dtype=U, out=x)
 
     def __call__(self, data: np.ndarray, byte_offsets: np.ndarray) -> Words:
         n = len(data)
