@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratewise.llm import substrings
+from ratewise.llm import contamination, substrings
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all 13-word windows of the benchmark."""
+    found = contamination.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+    named = F.sha2(F.concat_ws(",", F.array_sort("items")), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named.alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Plan] = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 SQL: dict[str, str] = {}
