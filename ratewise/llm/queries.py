@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratewise.llm import contamination, substrings
+from ratewise.llm import contamination, jaccard, substrings
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +28,14 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named.alias("items_sha256"), "contaminated")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: five-word shingles, similarity 0.8 or more."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
+
+
 QUERIES: dict[str, Plan] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 SQL: dict[str, str] = {}
