@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratewise.llm import contamination, jaccard, substrings
+from ratewise.llm import contamination, counts, idfiles, jaccard, packing, substrings
+from ratewise.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +17,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as shard files and read back from them."""
+    root = scratch_path(spark, "ids")
+    idfiles.write_ids(table(spark, sf_dir, "documents"), root, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    back = idfiles.read_ids(spark, root, arrays=False)
+    return back.select(F.when(F.col("doc") != idfiles.NO_ID, F.col("doc")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in bins of 4096 ids, one text per source and copy group in a bin."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in 20-word passages that start earlier are removed."""
     done = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=20)
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every whole text."""
+    return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against all 13-word windows of the benchmark."""
     found = contamination.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
@@ -34,7 +54,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Plan] = {
+    "op1_token_id_output": op1_token_id_output,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_token_counts": op6_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }

@@ -79,9 +79,16 @@ class Splitter:
                 x[0] = 1
                 np.cumprod(x, dtype=U, out=x)
 
-    def __call__(self, data: np.ndarray, byte_offsets: np.ndarray) -> Words:
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges."""
         n = len(data)
         self._grow(n + 1)
+        sums = np.zeros(n + 1, U)
+        np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(U))
+
+    def __call__(self, data: np.ndarray, byte_offsets: np.ndarray) -> Words:
+        n = len(data)
         inside = self.inside[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -91,10 +98,7 @@ class Splitter:
         first[cuts] = inside[cuts]
         last[cuts - 1] = inside[cuts - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.zeros(n + 1, U)
-        np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(U))
-        return Words(data, starts, ends, hashes, np.searchsorted(starts, byte_offsets), byte_offsets)
+        return Words(data, starts, ends, self.hashes(data, starts, ends), np.searchsorted(starts, byte_offsets), byte_offsets)
 
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
