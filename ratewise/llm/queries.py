@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratewise.llm import contamination, counts, idfiles, jaccard, packing, substrings
+from ratewise.llm import contamination, counts, idfiles, jaccard, language, packing, substrings
 from ratewise.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the four folds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    fitted = language.train(docs.filter(~language.held_out()), public_tokenizers.path("piece_bpe_32k.model"))
+    return language.identify(docs, fitted, others={"held_out": language.held_out()})
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against all 13-word windows of the benchmark."""
     found = contamination.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
@@ -58,6 +65,7 @@ QUERIES: dict[str, Plan] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
