@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratewise.llm import contamination, counts, idfiles, jaccard, language, packing, substrings
+from ratewise.llm import contamination, counts, fingerprints, idfiles, jaccard, language, packing, substrings
 from ratewise.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    found = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    edited = F.sha2(F.col("edited"), 256).alias("edited_sha256")
+    return found.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in 20-word passages that start earlier are removed."""
     done = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=20)
@@ -63,6 +70,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Plan] = {
     "op1_token_id_output": op1_token_id_output,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
