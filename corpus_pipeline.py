@@ -4,26 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratewise.llm import substrings
+from ratewise.llm import contamination, jaccard, language, packing, substrings
 from ratewise.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language that was learned from the labelled ones, with a posterior of at least ``LEAST_SCORE``.
+
+    Texts that are null or have no letter go. A label never decides: it is only learned from, outside the held-out fifth.
+    """
+    fitted = language.train(docs.filter(~language.held_out()), public_tokenizers.path("piece_bpe_32k.model"))
+    rest = {c: F.col(c) for c in COLUMNS[1:]}
+    named = language.identify(docs, fitted, others=rest)
+    return named.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every class of near duplicates the document with the least id stays."""
+    found = jaccard.near_duplicates(docs, threshold=0.8, size=5)
+    stays = found.filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
+    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+    return kept.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut the words of 20-word passages that start earlier in the corpus; texts without such words stay as they are."""
-    done = substrings.remove_repeats(docs, window=20).select("doc_id", "n_removed", "kept")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return docs.join(done, "doc_id", "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    done = substrings.remove_repeats(docs, window=20, keep=["lang", "source", "n_chars"])
+    cut = F.col("n_removed") > 0
+    text = F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text")
+    return done.select("doc_id", text, "lang", "source", F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words at least one in twenty lies in a 13-word window of the benchmark go."""
+    found = contamination.contamination(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
+    bad = found.filter("contaminated").select("doc_id").distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every remaining document's place in bins of 4096 ids, one text per source and copy group in a bin."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("jaccard_join", jaccard_join),
     ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
 ]
-# Language identification and packing have no SQL form; tests/llm compares every stage with brute force.
+# Language identification and packing have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL: str | None = None
 
 

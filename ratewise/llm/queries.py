@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratewise.llm import contamination, counts, fingerprints, idfiles, jaccard, language, packing, substrings
+from ratewise.llm import contamination, counts, fingerprints, idfiles, jaccard, language, packing, scoring, substrings, urls
 from ratewise.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document under a network trained on all of them."""
+    return scoring.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every whole text."""
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
@@ -67,14 +72,59 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
 
 
+# The tables hold neither fetch days nor lists. A page's fetch day and a pattern's three dated entries come from digests of their text.
+FETCHED = "date_add(date'2024-01-01', cast(conv(substr(md5(url), 1, 4), 16, 10) as int) % 730)"
+LISTED = "date_add(date'2024-01-01', cast(conv(substr(md5(concat(pattern, k)), 1, 4), 16, 10) as int) % 730)"
+ACTION = "element_at(array('block', 'allow', 'remove'), cast(conv(substr(md5(concat(pattern, k)), 5, 4), 16, 10) as int) % 3 + 1)"
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the dated entries of all hosts, parent domains and first path segments."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    name = urls.host(F.col("url"))
+    patterns = F.array(name, F.regexp_extract(name, r"([^.]+\.[^.]+)$", 1), F.concat_ws("/", name, urls.path_segments(F.col("url"))[0]))
+    entries = pages.select(F.explode(patterns).alias("pattern")).distinct().withColumn("k", F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("2"))))
+    entries = entries.select("pattern", F.expr(ACTION).alias("action"), F.expr(LISTED).alias("listed_on"))
+    return urls.evaluate(pages.withColumn("fetched_on", F.expr(FETCHED)), entries).select("page_id", F.col("fetched_on").cast("string").alias("fetched_on"), "pattern", "action", "blocked")
+
+
+OP10 = """
+WITH shots AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(('0x' || substr(md5(url), 1, 4)) AS INT) % 730 AS fetched,
+         lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+),
+cut AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments FROM shots),
+listed AS (
+  SELECT pattern, DATE '2024-01-01' + CAST(('0x' || substr(md5(pattern || k), 1, 4)) AS INT) % 730 AS day,
+         ['block', 'allow', 'remove'][CAST(('0x' || substr(md5(pattern || k), 5, 4)) AS INT) % 3 + 1] AS action
+  FROM (SELECT DISTINCT unnest([host, array_to_string(labels[-2:], '.'), host || coalesce('/' || segments[1], '')]) AS pattern FROM cut), (VALUES ('0'), ('1'), ('2')) v(k)
+),
+days AS (SELECT pattern, day, max(action) AS action FROM listed GROUP BY ALL),
+asked AS (
+  SELECT page_id, fetched, host, segments, unnest(list_distinct(
+    list_concat(list_transform(range(1, greatest(len(labels), 2)), lambda i: array_to_string(labels[i:], '.')),
+                list_transform(range(1, least(len(segments), 2) + 1), lambda i: host || '/' || array_to_string(segments[1:i], '/'))))) AS pattern
+  FROM cut
+),
+latest AS (
+  SELECT page_id, a.pattern, arg_max(action, day) AS action FROM asked a JOIN days d ON a.pattern = d.pattern AND d.day <= a.fetched GROUP BY ALL
+),
+verdict AS (SELECT page_id, max((length(pattern), pattern, action)) AS e FROM latest WHERE action <> 'remove' GROUP BY ALL)
+SELECT page_id, CAST(fetched AS VARCHAR) AS fetched_on, e[2] AS pattern, e[3] AS action, coalesce(e[3] = 'block', false) AS blocked
+FROM shots LEFT JOIN verdict USING (page_id)
+"""
+
 QUERIES: dict[str, Plan] = {
     "op1_token_id_output": op1_token_id_output,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_url_filters": op10_url_filters,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_url_filters": OP10}

@@ -136,7 +136,7 @@ def joined_words(words: W.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, closing - np.concatenate([[0], np.cumsum(np.diff(kept) > 0)])
 
 
-def _kept(window: int, extra: list[str]):
+def _kept(window: int, passed: list[str]):
     def emit(batches):
         for batch, lo, hi, _, found, runs in _slices(batches, window):
             left, own = _owned(runs, batch, lo, hi)
@@ -155,7 +155,7 @@ def _kept(window: int, extra: list[str]):
             kept = np.diff(np.concatenate([[0], np.cumsum(keep)])[found.offsets])
             text = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(body)).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).slice(lo, hi - lo) for c in extra], pa.array(counts), pa.array(counts - kept), text], names=[*extra, "n_words", "n_removed", "kept"],
+                [*[batch.column(c).slice(lo, hi - lo) for c in passed], pa.array(counts), pa.array(counts - kept), text], names=[*passed, "n_words", "n_removed", "kept"],
             )
 
     return emit
@@ -167,18 +167,21 @@ def _first_holders(found: DataFrame, name: str) -> DataFrame:
     return first.groupBy("doc").agg(F.collect_list("b").alias(name))
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Documents without the words that lie in a ``window``-word passage which starts earlier in the corpus as well.
 
-    Returns the id, the text as it was, ``n_words``, ``n_removed`` and ``kept``: the kept words, one space between them.
+    Returns the id, the text as it was, the columns named in ``keep``, ``n_words``, ``n_removed`` and ``kept``: the kept
+    words, one space between them.
     Earlier means a smaller id, or the same document and an earlier start; windows are judged on the input. Words are
     runs of non-white-space bytes. A null or empty text has no words and an empty ``kept``; a null id counts as smaller than
     all others; rows that share an id are judged against other ids and, each by itself, against their own start.
-    Texts of fewer than ``window`` words stay whole. Other columns are not read, whatever their names.
+    Texts of fewer than ``window`` words stay whole. Other columns are not read, and names may clash with those used here.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
+    keep = keep or []
+    kept = F.struct(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    texts = docs.select(kept.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     row = "a long, b long, doc long"
     short = texts.select("doc", "text").mapInArrow(_short_windows(window), row)
     single = short.groupBy("a").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).filter("n = 1")
@@ -188,5 +191,6 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     with_runs = with_single.join(own_run, "doc", "left")
     own_window = _first_holders(with_runs.mapInArrow(_full_windows(window), row), "own_window")
     done = with_runs.join(own_window, "doc", "left")
-    out = done.mapInArrow(_kept(window, ["id", "text"]), "id long, text string, n_words long, n_removed long, kept string")
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "n_removed", "kept")
+    schema = f"row {texts.schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string"
+    out = done.mapInArrow(_kept(window, ["row", "text"]), schema)
+    return out.select(F.col("row.id").alias(id_col), F.col("text").alias(text_col), *[F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", "kept")
