@@ -206,7 +206,7 @@ def identify(docs: DataFrame, fitted: Model, id_col: str = "doc_id", text_col: s
     longer than ``SPAN`` bytes in spans. Equal posteriors go to the first language by name. Rows and ids pass as they are.
     """
     others = others or {}
-    passed = ["id", *others]
+    passed = ["id", *[f"o{i}" for i in range(len(others))]]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, lattice = W.Splitter(W.alphanumeric()), Lattice(fitted.pieces)
@@ -239,10 +239,11 @@ def identify(docs: DataFrame, fitted: Model, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score)], names=[*passed, "lang_pred", "score"])
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), letters.alias("letters"), *[c.alias(n) for n, c in others.items()])
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), letters.alias("letters"), *[c.alias(n) for n, c in zip(passed[1:], others.values())])
     kinds = dict(given.dtypes)
-    schema = ", ".join(["id long", *[f"`{c}` {kinds[c]}" for c in others], "lang_pred string", "score double"])
-    return given.mapInArrow(emit, schema).withColumnRenamed("id", id_col)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in passed], "lang_pred string", "score double"])
+    out = given.mapInArrow(emit, schema)
+    return out.select(F.col("id").alias(id_col), *[F.col(c).alias(n) for c, n in zip(passed[1:], others)], "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
