@@ -54,7 +54,7 @@ class PieceCounter:
     def counts(self, texts: list[str]) -> np.ndarray:
         parts = [self.parts(t) for t in texts]
         lengths = np.array([len(x) for x in self.model.encode([p for ps in parts for p in ps], num_threads=1)], np.int64)
-        ends = np.concatenate([[0], np.cumsum([len(ps) for ps in parts])])
+        ends = np.concatenate([[0], np.cumsum([len(ps) for ps in parts], dtype=np.int64)])
         return np.diff(np.concatenate([[0], np.cumsum(lengths)])[ends])
 
 

@@ -35,9 +35,10 @@ def banding(threshold: float, recall: float, most_hashes: int = 96) -> tuple[int
     best = None
     for rows in range(1, most_hashes + 1):
         chance = threshold**rows
-        bands = 1 if chance >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - chance))
-        if bands * rows <= most_hashes:
-            best = bands, rows
+        bands = 1 if chance >= 1 else math.ceil(math.log1p(-recall) / math.log1p(-chance))
+        if bands * rows > most_hashes:
+            break
+        best = bands, rows
     if best is None:
         raise ValueError("the recall needs more hashes")
     return best
