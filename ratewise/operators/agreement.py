@@ -18,9 +18,10 @@ def alpha_nominal(labels: DataFrame, group: list[str], run: str = "run_id", item
     """Krippendorff's alpha for nominal labels per group, without forming rater pairs.
 
     With m ratings on an item, a label given n times adds n(m-n)/(m-1) to the observed disagreement.
-    Items with one rating are rated but not pairable. Input: one label per run and item.
+    Items with one rating are rated but not pairable. Rows without run, item or label are no ratings. Input: one label
+    per run and item.
     """
-    rated = labels.filter(F.col(label).isNotNull())
+    rated = labels.filter(F.col(label).isNotNull() & F.col(run).isNotNull() & F.col(item).isNotNull())
     counts = rated.groupBy(*group, item, label).agg(F.count("*").alias("n"))
     squares = F.sum(F.col("n").cast("double") * F.col("n"))
     items = counts.groupBy(*group, item).agg(F.sum("n").alias("m"), squares.alias("ss"), F.min(label).alias("only"))
@@ -59,16 +60,18 @@ def run_pair_counts(
     item: str = "id",
     label: str = "prediction",
     by_label: bool = False,
-    block: int = 64,
+    block: int = 128,
     rows_per_task: int = 200_000,
 ) -> DataFrame:
     """Shared and equally labelled items for every pair of runs of a group that share an item (run_a < run_b).
 
     The runs of a group are hashed into blocks and its items into slices; a task sees two blocks of runs on one
     slice of items, so no group, run or item has to fit into one task, and no row is written per pair and item.
-    With ``by_label`` there is one row per pair and label: how often each side used it, and both.
+    With ``by_label`` there is one row per pair and label: how often each side used it, and both. Rows without run, item or
+    label are no ratings; of several labels a run gave one item the greatest counts.
     """
-    rated = labels.filter(F.col(label).isNotNull()).select(*group, run, item, label)
+    whole = F.col(label).isNotNull() & F.col(run).isNotNull() & F.col(item).isNotNull()
+    rated = labels.filter(whole).select(*group, run, item, label)
     sizes = (
         rated.groupBy(*group, run).agg(F.count("*").alias("__n"))
         .groupBy(*group).agg(F.count("*").alias("__runs"), F.sum("__n").alias("__rows"), F.max("__n").alias("__top"))
@@ -103,39 +106,36 @@ def run_pair_counts(
         low, high = key[len(group)], key[len(group) + 1]
         run_code, runs = pd.factorize(pdf[run], sort=True)
         item_code, items = pd.factorize(pdf[item])
-        label_code, names = pd.factorize(pdf[label])
+        label_code, names = pd.factorize(pdf[label], sort=True)
         grid = np.full((len(items), len(runs)), -1, dtype=np.int32)
-        grid[item_code, run_code] = label_code
+        np.maximum.at(grid, (item_code, run_code), label_code)
         block_of = np.empty(len(runs), dtype=np.int64)
         block_of[run_code] = pdf["__block"].to_numpy()
-        left = np.flatnonzero(block_of == low)
-        out = []
-        for a in left:
-            right = left[left > a] if low == high else np.flatnonzero(block_of == high)
-            if not len(right):
-                continue
-            rows = np.flatnonzero(grid[:, a] >= 0)
-            mine, theirs = grid[rows, a][:, None], grid[np.ix_(rows, right)]
-            both = theirs >= 0
+        left, right = np.flatnonzero(block_of == low), np.flatnonzero(block_of == high)
+        # Every pair once: within one block the run that sorts first is the left one.
+        wanted = np.ones((len(left), len(right)), bool) if low != high else left[:, None] < right[None, :]
+
+        def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            # Sums of 0 and 1 in float32 are exact for the items of a slice.
+            return (x[:, left].astype(np.float32).T @ y[:, right].astype(np.float32)).astype(np.int64) * wanted
+
+        per_label = []
+        by_name = np.argsort(label_code, kind="stable")
+        for code, at in zip(range(len(names)), np.split(by_name, np.cumsum(np.bincount(label_code, minlength=len(names)))[:-1])):
+            part = grid[np.unique(item_code[at])]
+            used, any_label = part == code, part >= 0
+            per_label.append((shared(used, any_label), shared(any_label, used), shared(used, used)))
+        run_names, parts = np.asarray(runs), []
+        for name, counts in zip(names, per_label) if by_label else [(None, (shared(grid >= 0, grid >= 0), sum(p[2] for p in per_label)))]:
+            i, j = np.nonzero(sum(counts[:2]))
+            first, second = left[i], right[j]
+            turned = first > second
+            values = [c[i, j] for c in counts]
             if by_label:
-                i, r = np.nonzero(both)
-                mine_l, their_l = mine[i, 0], theirs[i, r]
-                size = len(right) * len(names)
-                n_mine = np.bincount(r * len(names) + mine_l, minlength=size)
-                n_theirs = np.bincount(r * len(names) + their_l, minlength=size)
-                same = mine_l == their_l
-                n_same = np.bincount((r * len(names) + mine_l)[same], minlength=size)
-                for pos in np.flatnonzero(n_mine + n_theirs):
-                    b, name = right[pos // len(names)], names[pos % len(names)]
-                    x, y = (n_mine, n_theirs) if a < b else (n_theirs, n_mine)
-                    out.append((runs[min(a, b)], runs[max(a, b)], name, x[pos], y[pos], n_same[pos]))
-            else:
-                overlap = both.sum(axis=0)
-                same = ((theirs == mine) & both).sum(axis=0)
-                for pos in np.flatnonzero(overlap):
-                    b = right[pos]
-                    out.append((runs[min(a, b)], runs[max(a, b)], overlap[pos], same[pos]))
-        frame = pd.DataFrame(out, columns=[f.name for f in schema.fields[len(group):]])
+                values = [np.where(turned, values[1], values[0]), np.where(turned, values[0], values[1]), values[2]]
+            named = [np.full(len(i), name, object)] if by_label else []
+            parts.append([run_names[np.where(turned, second, first)], run_names[np.where(turned, first, second)], *named, *values])
+        frame = pd.DataFrame({f.name: np.concatenate(columns) for f, columns in zip(schema.fields[len(group):], zip(*parts))})
         for name, value in zip(reversed(group), reversed(key[: len(group)])):
             frame.insert(0, name, value)
         return frame

@@ -9,19 +9,18 @@ from pyspark.sql import DataFrame, functions as F
 from ratewise.session import cut_lineage
 
 STEP = "step int, left int, right int, distance double, size int"
+UNITS = 10**12  # distances are summed as whole numbers of this fraction, so no order of summing can change a tie
 
 
 def merge_steps(leaves: int, pairs: pd.DataFrame) -> list[tuple[int, int, float, int]] | None:
     """Merges of one group: always the closest two clusters, the smaller ids on ties; pairs without a distance
-    do not count. ``None`` if the leaves do not connect."""
-    leaf = np.full((leaves, leaves), np.nan)
+    do not count. ``None`` if the leaves do not connect. ``pairs``: ``a, b, units``, each pair once."""
+    total, known = np.zeros((leaves, leaves), np.int64), np.zeros((leaves, leaves), np.int64)
     a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-    leaf[a, b] = leaf[b, a] = pairs["distance"].to_numpy()
-    between = np.where(np.isnan(leaf), np.inf, leaf)
-    np.fill_diagonal(between, np.inf)
-    ids = np.arange(leaves)
-    members = {i: np.array([i]) for i in range(leaves)}
-    alive = np.ones(leaves, dtype=bool)
+    total[a, b] = total[b, a] = pairs["units"].to_numpy()
+    known[a, b] = known[b, a] = 1
+    ids, sizes = np.arange(leaves), np.ones(leaves, np.int64)
+    between = np.where(known > 0, total.astype(float), np.inf)
     steps = []
     for new_id in range(leaves, 2 * leaves - 1):
         low = between.min()
@@ -33,18 +32,18 @@ def merge_steps(leaves: int, pairs: pd.DataFrame) -> list[tuple[int, int, float,
         i, j = rows[pick], cols[pick]
         if ids[i] > ids[j]:
             i, j = j, i
-        joined = np.sort(np.concatenate([members[ids[i]], members[ids[j]]]))
-        steps.append((int(ids[i]), int(ids[j]), float(low), len(joined)))
-        alive[j] = False
-        between[j, :] = between[:, j] = np.inf
+        sizes[i] += sizes[j]
+        steps.append((int(ids[i]), int(ids[j]), float(low) / UNITS, int(sizes[i])))
+        # The joined cluster takes the place of the first; only its row changes.
+        for x in (total, known):
+            x[i] += x[j]
+            x[i, [i, j]] = 0
+            x[:, i] = x[i]
+            x[j] = x[:, j] = 0
+        between[j] = between[:, j] = np.inf
+        row = np.divide(total[i].astype(float), known[i], out=np.full(leaves, np.inf), where=known[i] > 0)
+        between[i] = between[:, i] = row
         ids[i] = new_id
-        members[new_id] = joined
-        for k in np.flatnonzero(alive):
-            if k == i:
-                continue
-            known = leaf[np.ix_(members[ids[k]], joined)].ravel()
-            known = known[~np.isnan(known)]
-            between[i, k] = between[k, i] = np.cumsum(known)[-1] / len(known) if len(known) else np.inf
     return steps
 
 
@@ -56,9 +55,9 @@ def average_linkage(pairs: DataFrame, sizes: DataFrame, max_leaves: int = 2_000)
     not connect have no tree.
     """
     usable = pairs.filter((F.col("a") != F.col("b")) & F.col("distance").isNotNull())
-    ordered = usable.select(
-        "group_id", F.least("a", "b").cast("int").alias("a"), F.greatest("a", "b").cast("int").alias("b"), "distance"
-    )
+    units = F.round(F.col("distance") * UNITS).cast("long")
+    # Of a pair that is given twice the larger distance counts.
+    ordered = usable.groupBy("group_id", F.least("a", "b").cast("int").alias("a"), F.greatest("a", "b").cast("int").alias("b")).agg(F.max(units).alias("units"))
     sizes = sizes.filter("leaves >= 2").select("group_id", F.col("leaves").cast("int").alias("leaves"))
     joined = ordered.join(sizes, "group_id")
     id_type = pairs.schema["group_id"].dataType.simpleString()
@@ -81,11 +80,13 @@ def average_linkage(pairs: DataFrame, sizes: DataFrame, max_leaves: int = 2_000)
 def linkage_by_rounds(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """The same trees without a group in one task: each round merges the closest clusters of every open group.
 
+    Both ways divide the same whole sums, so they agree on every tie.
+
     The state is one row per pair of clusters with the sum and number of its known leaf distances; it is
     written between rounds.
     """
     state = cut_lineage(
-        pairs.groupBy("group_id", "a", "b").agg(F.max("distance").alias("total")).withColumn("known", F.lit(1).cast("long")),
+        pairs.select("group_id", "a", "b", F.col("units").cast("decimal(38,0)").alias("total"), F.lit(1).cast("long").alias("known")),
         "pairs",
     )
     weights = cut_lineage(
@@ -95,8 +96,8 @@ def linkage_by_rounds(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     step = 0
     while not state.isEmpty():
         best = state.groupBy("group_id").agg(
-            F.min(F.struct((F.col("total") / F.col("known")).alias("distance"), F.col("a").alias("left"), F.col("b").alias("right"))).alias("m")
-        ).select("group_id", "m.*")
+            F.min(F.struct((F.col("total").cast("double") / F.col("known")).alias("units"), F.col("a").alias("left"), F.col("b").alias("right"))).alias("m")
+        ).select("group_id", "m.left", "m.right", (F.col("m.units") / UNITS).alias("distance"))
         w = weights.join(best, "group_id").groupBy("group_id", "left", "right", "distance").agg(
             F.sum(F.when(F.col("c").isin(F.col("left"), F.col("right")), F.col("size"))).cast("int").alias("size")
         )
@@ -116,7 +117,7 @@ def linkage_by_rounds(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
         moved = state.join(m, "group_id").filter(~gone).withColumn("a", renamed("a")).withColumn("b", renamed("b"))
         state = cut_lineage(
             moved.groupBy("group_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-                F.sum("total").alias("total"), F.sum("known").alias("known")
+                F.sum("total").cast("decimal(38,0)").alias("total"), F.sum("known").alias("known")
             ),
             "pairs",
         )

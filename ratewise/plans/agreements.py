@@ -15,8 +15,12 @@ GROUP = ["task", "model"]
 
 
 def grouped_predictions(spark, sf_dir):
+    """Predictions with their groups, and as many rows without an item or a run, which no measure may count."""
     runs = fx.runs(spark, sf_dir).select("run_id", "task", "model", "temperature")
-    return fx.predictions(spark, sf_dir).join(runs, "run_id")
+    whole = fx.predictions(spark, sf_dir).join(runs, "run_id")
+    odd = F.col("id") % 2 == 1
+    gaps = whole.withColumn("run_id", F.when(odd, F.col("run_id"))).withColumn("id", F.when(~odd, F.col("id")))
+    return whole.unionByName(gaps)
 
 
 # Alpha over all rater pairs of an item, the definition of the coincidence matrix.
@@ -266,14 +270,57 @@ def visible_cluster_pairs(spark, sf_dir):
     return rounded(agreement.visible_pairs(pairs, kept))
 
 
-@query("agreement_trees", "D15 A8")
+# The same merges by recursion over the pairs of living clusters, with distances summed as whole trillionths.
+TREES_SQL = """
+, members AS (SELECT DISTINCT task, model, unnest([run_a, run_b]) AS run_id FROM pairs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY task, model ORDER BY run_id) - 1 AS pos FROM members),
+leaves AS (SELECT task || '/' || model AS g, count(*) AS n FROM members GROUP BY ALL),
+state AS (
+  SELECT g, 0 AS step, n, x.pos AS a, y.pos AS b, CAST(round((overlap_count - agreement_count) / overlap_count * 1e12) AS HUGEINT) AS total, CAST(1 AS HUGEINT) AS known, 1 AS sa, 1 AS sb
+  FROM pairs p JOIN placed x ON p.run_a = x.run_id AND p.task = x.task AND p.model = x.model JOIN placed y ON p.run_b = y.run_id AND p.task = y.task AND p.model = y.model
+    JOIN leaves l ON l.g = p.task || '/' || p.model
+  UNION ALL
+  SELECT g, step, n, least(a, b), greatest(a, b), sum(total), sum(known), max(CASE WHEN a < b THEN sa ELSE sb END), max(CASE WHEN a < b THEN sb ELSE sa END)
+  FROM (
+    SELECT g, step + 1 AS step, n, total, known, CASE WHEN a IN (l, r) THEN n + step ELSE a END AS a, CASE WHEN b IN (l, r) THEN n + step ELSE b END AS b,
+      CASE WHEN a IN (l, r) THEN size ELSE sa END AS sa, CASE WHEN b IN (l, r) THEN size ELSE sb END AS sb
+    FROM (SELECT *, first_value(a) OVER w AS l, first_value(b) OVER w AS r, first_value(sa + sb) OVER w AS size FROM state
+          WINDOW w AS (PARTITION BY g ORDER BY CAST(total AS DOUBLE) / CAST(known AS DOUBLE), a, b))
+    WHERE NOT (a = l AND b = r))
+  GROUP BY g, step, n, least(a, b), greatest(a, b)
+),
+merges AS (
+  SELECT g, n, step, a AS l, b AS r, CAST(total AS DOUBLE) / CAST(known AS DOUBLE) / 1e12 AS distance, sa + sb AS size FROM state
+  QUALIFY row_number() OVER (PARTITION BY g, step ORDER BY CAST(total AS DOUBLE) / CAST(known AS DOUBLE), a, b) = 1),
+steps AS (SELECT * FROM merges WHERE g IN (SELECT g FROM merges GROUP BY g, n HAVING count(*) = n - 1))
+"""
+LEAVES_SQL = """
+, walk AS (
+  SELECT g, n, 2 * n - 2 AS node, '' AS path FROM leaves WHERE g IN (SELECT g FROM steps)
+  UNION ALL
+  SELECT w.g, w.n, CASE side WHEN 0 THEN s.l ELSE s.r END, path || side FROM walk w JOIN steps s ON s.g = w.g AND s.step = w.node - w.n, (VALUES (0), (1)) v(side)
+)
+"""
+
+
+@query(
+    "agreement_trees", "D15 A8",
+    with_views(PREDICTIONS, RUNS, select=PAIRS_SQL + TREES_SQL + f"""
+SELECT g AS group_id, CAST(step AS INTEGER) AS step, CAST(l AS INTEGER) AS "left", CAST(r AS INTEGER) AS "right", {rd('distance')} AS distance, CAST(size AS INTEGER) AS size FROM steps"""),
+)
 def agreement_trees(spark, sf_dir):
     pairs, members = pair_table(spark, sf_dir)
     sizes = members.groupBy("group_id").agg(F.count("*").alias("leaves"))
-    return linkage.average_linkage(pairs, sizes)
+    return rounded(linkage.average_linkage(pairs, sizes))
 
 
-@query("agreement_tree_leaves", "D16")
+@query(
+    "agreement_tree_leaves", "D16",
+    with_views(PREDICTIONS, RUNS, select=PAIRS_SQL + TREES_SQL + LEAVES_SQL + """
+SELECT g AS group_id, CAST(node AS INTEGER) AS leaf, CAST(row_number() OVER (PARTITION BY g ORDER BY path) - 1 AS INTEGER) AS position FROM walk WHERE node < n
+UNION ALL
+SELECT g, CAST(unnest(range(n)) AS INTEGER), CAST(unnest(range(n)) AS INTEGER) FROM leaves WHERE g NOT IN (SELECT g FROM steps)"""),
+)
 def agreement_tree_leaves(spark, sf_dir):
     pairs, members = pair_table(spark, sf_dir)
     sizes = members.groupBy("group_id").agg(F.count("*").alias("leaves"))

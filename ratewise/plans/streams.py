@@ -10,13 +10,26 @@ from ratewise.plans.labels import lexicon
 from ratewise.plans.oracle import ATTEMPTS, LEXICON, with_views
 from ratewise.plans.registry import query
 from ratewise.plans.scores import rd, rounded
+from ratewise.session import scratch_path
 from ratewise.streaming import live
 
 
+def event_stream(spark, sf_dir):
+    """The events as a stream of four files, the newest quarter first, one file to a micro-batch."""
+    events = fx.table(spark, sf_dir, "events")
+    path = scratch_path(spark, "events")
+    cuts = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.01) or [0.0, 0.0, 0.0]
+    when = F.unix_micros(F.col("ts").cast("timestamp"))
+    quarter = sum(((when >= F.lit(int(c))).cast("int") for c in cuts), F.lit(0))
+    for q in (3, 2, 1, 0):
+        rows = events.filter(F.coalesce(quarter, F.lit(0)) == q)
+        rows.write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def attempt_stream(spark, sf_dir):
-    """The event file as a stream, in the columns of the attempts view."""
-    schema = fx.table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*")
+    """The events in the columns of the attempts view."""
+    raw = event_stream(spark, sf_dir)
     is_error = F.col("event_type") == "error"
     return raw.select(
         F.col("user_id").alias("run_id"), F.col("event_id").alias("id"),
@@ -40,7 +53,7 @@ SELECT run_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_s
 FROM attempts GROUP BY ALL"""),
 )
 def live_run_counters(spark, sf_dir):
-    rows = live.run_to_table(live.live_counters(attempt_stream(spark, sf_dir)), ["run_id", "window_start"], *live.places(spark, "counters"))
+    rows = live.keep_table(attempt_stream(spark, sf_dir), live.live_counters(), *live.places(spark, "counters"))
     return rounded(stamped(rows, "window_start"))
 
 
@@ -51,7 +64,7 @@ def live_run_counters(spark, sf_dir):
 SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, attempts, timeouts, {rd('timeouts / attempts')} AS timeout_share, timeouts / attempts > 0.05 AS alert FROM d"""),
 )
 def live_timeout_alerts(spark, sf_dir):
-    rows = live.run_to_table(live.timeout_alerts(attempt_stream(spark, sf_dir)), ["window_start"], *live.places(spark, "alerts"))
+    rows = live.keep_table(attempt_stream(spark, sf_dir), live.timeout_alerts(), *live.places(spark, "alerts"))
     return rounded(stamped(rows, "window_start"))
 
 
@@ -63,8 +76,7 @@ sessions AS (SELECT run_id, ts, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts
 SELECT run_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS attempts FROM sessions GROUP BY run_id, s"""),
 )
 def live_sessions(spark, sf_dir):
-    stream = live.active_sessions(attempt_stream(spark, sf_dir), "12 hours")
-    rows = live.run_to_table(stream, None, *live.places(spark, "sessions"), mode="complete")
+    rows = live.keep_table(attempt_stream(spark, sf_dir), live.active_sessions("12 hours"), *live.places(spark, "sessions"))
     return stamped(rows, "first_ts", "last_ts").select("run_id", "first_ts", "last_ts", "attempts")
 
 
@@ -74,7 +86,7 @@ def live_sessions(spark, sf_dir):
 )
 def live_first_predictions(spark, sf_dir):
     stream = attempt_stream(spark, sf_dir).select("run_id", F.floor(F.col("id") / 5).alias("id"), "ts")
-    rows = live.run_to_table(live.first_predictions(stream, "60 days"), None, *live.places(spark, "firsts"))
+    rows = live.keep_table(stream, live.first_predictions(), *live.places(spark, "firsts"))
     return rows.groupBy("run_id", "id").agg(F.count("*").alias("kept"))
 
 

@@ -3,85 +3,96 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ratewise.operators.telemetry import TIMEOUT
 from ratewise.session import scratch_path
 
 
-def live_counters(attempts: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
+@dataclass(frozen=True)
+class LiveTable:
+    """A table kept by a stream: what a micro-batch adds to it, and how the added rows make up the result.
+
+    Each micro-batch is summed up by itself and appended; reading merges the parts. So rows may arrive in any order and as
+    late as they like, nothing is dropped, no state grows in the stream, and the result equals the batch result over the same rows.
+    """
+
+    part: Callable[[DataFrame], DataFrame]
+    merge: Callable[[DataFrame], DataFrame]
+
+
+def _timeout() -> Column:
+    return (F.col("status") == "error") & F.col("error_category").eqNullSafe(TIMEOUT)
+
+
+def live_counters(window: str = "1 hour") -> LiveTable:
     """Attempts, outcomes and seconds per run and time window."""
-    is_error = F.col("status") == "error"
-    return (
-        attempts.withWatermark("ts", late)
-        .groupBy("run_id", F.window("ts", window).alias("w"))
-        .agg(
+    def part(attempts: DataFrame) -> DataFrame:
+        is_error = F.col("status") == "error"
+        return attempts.groupBy("run_id", F.window("ts", window)["start"].alias("window_start")).agg(
             F.count("*").alias("attempts"), F.count_if(F.col("status") == "success").alias("successes"), F.count_if(is_error).alias("errors"),
-            F.count_if(is_error & F.col("error_category").eqNullSafe(TIMEOUT)).alias("timeouts"), F.sum("duration_seconds").alias("seconds"),
+            F.count_if(_timeout()).alias("timeouts"), F.sum("duration_seconds").alias("seconds"),
         )
-        .select("run_id", F.col("w.start").alias("window_start"), "attempts", "successes", "errors", "timeouts", "seconds")
-    )
+
+    counted = ["attempts", "successes", "errors", "timeouts", "seconds"]
+    return LiveTable(part, lambda parts: parts.groupBy("run_id", "window_start").agg(*[F.sum(c).alias(c) for c in counted]))
 
 
-def timeout_alerts(attempts: DataFrame, window: str = "1 day", late: str = "1 day", share: float = 0.05) -> DataFrame:
+def timeout_alerts(window: str = "1 day", share: float = 0.05) -> LiveTable:
     """Windows in which the share of timed-out attempts is above a limit."""
-    hit = (F.col("status") == "error") & F.col("error_category").eqNullSafe(TIMEOUT)
-    return (
-        attempts.withWatermark("ts", late)
-        .groupBy(F.window("ts", window).alias("w"))
-        .agg(F.count("*").alias("attempts"), F.count_if(hit).alias("timeouts"))
-        .select(F.col("w.start").alias("window_start"), "attempts", "timeouts", (F.col("timeouts") / F.col("attempts")).alias("timeout_share"))
-        .withColumn("alert", F.col("timeout_share") > share)
-    )
+    def part(attempts: DataFrame) -> DataFrame:
+        return attempts.groupBy(F.window("ts", window)["start"].alias("window_start")).agg(F.count("*").alias("attempts"), F.count_if(_timeout()).alias("timeouts"))
 
+    def merge(parts: DataFrame) -> DataFrame:
+        total = parts.groupBy("window_start").agg(F.sum("attempts").alias("attempts"), F.sum("timeouts").alias("timeouts"))
+        return total.withColumn("timeout_share", F.col("timeouts") / F.col("attempts")).withColumn("alert", F.col("timeout_share") > share)
 
-def active_sessions(attempts: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
-    """First and last attempt of every session of a run; a pause longer than ``gap`` ends a session."""
-    return (
-        attempts.withWatermark("ts", late)
-        .groupBy("run_id", F.session_window("ts", gap).alias("w"))
-        .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("attempts"))
-        .select("run_id", F.col("w.start").alias("window_start"), "first_ts", "last_ts", "attempts")
-    )
+    return LiveTable(part, merge)
 
 
-def first_predictions(rows: DataFrame, late: str = "1 day") -> DataFrame:
-    """Rows of a resumed run once per run and item."""
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "id"])
+def active_sessions(gap: str) -> LiveTable:
+    """First and last attempt of every session of a run; a pause of ``gap`` or longer ends a session.
 
+    A micro-batch adds its spans; on reading, spans that lie less than the gap apart become one.
+    """
+    ends = {"first_ts": F.min, "last_ts": F.max, "attempts": F.sum}
 
-def run_to_table(stream: DataFrame, keys: list[str] | None, checkpoint: str, path: str, mode: str | None = None) -> DataFrame:
-    """Runs a stream over all available files into a table and returns its rows.
+    def part(attempts: DataFrame) -> DataFrame:
+        spans = attempts.groupBy("run_id", F.session_window("ts", gap)).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("attempts"))
+        return spans.drop("session_window")
 
-    Changing results (``keys`` given) are appended per batch and the latest row of each key is read, so no batch is
-    overwritten and the state stays bounded by the watermark. Others are appended once. ``mode="complete"`` keeps
-    every window open and reads the last batch; sessions need it where their last ones are wanted too.
-    """
+    def merge(parts: DataFrame) -> DataFrame:
+        length = F.concat((F.unix_micros("last_ts") - F.unix_micros("first_ts")).cast("string"), F.lit(f" microseconds {gap}"))
+        return parts.groupBy("run_id", F.session_window("first_ts", length)).agg(*[f(c).alias(c) for c, f in ends.items()]).drop("session_window")
+
+    return LiveTable(part, merge)
+
+
+def first_predictions() -> LiveTable:
+    """Rows of a resumed run once per run and item: the earliest, whenever it arrives."""
+    def earliest(rows: DataFrame) -> DataFrame:
+        rest = ["ts", *[c for c in rows.columns if c not in ("run_id", "id", "ts")]]
+        return rows.groupBy("run_id", "id").agg(F.min(F.struct(*rest)).alias("r")).select("run_id", "id", "r.*")
+
+    return LiveTable(earliest, earliest)
+
+
+def keep_table(stream: DataFrame, table: LiveTable, checkpoint: str, path: str) -> DataFrame:
+    """Runs a stream over all available files into a table and returns the merged rows."""
     spark = stream.sparkSession
-    mode = mode or ("update" if keys else "append")
+    empty = spark.createDataFrame([], stream.schema)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         # A batch that is run again after a failure replaces its own rows only.
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        table.part(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
     query.awaitTermination()
-    rows = spark.read.option("recursiveFileLookup", True).schema(_with_batch(stream)).parquet(path)
-    if mode == "complete":
-        last = rows.agg(F.max("batch_id").alias("batch_id"))
-        rows = rows.join(F.broadcast(last), "batch_id", "left_semi")
-    if not keys:
-        return rows.select(*stream.columns)
-    rest = [c for c in stream.columns if c not in keys]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("l"))
-    return latest.select(*keys, "l.*")
-
-
-def _with_batch(stream: DataFrame):
-    from pyspark.sql import types as T
-
-    return T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
+    # Without a single batch there is no folder yet.
+    table.part(empty).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    return table.merge(spark.read.schema(table.part(empty).schema).parquet(path))
 
 
 def validate_stream(requests: DataFrame, decide: Callable[[DataFrame], DataFrame], checkpoint: str, path: str) -> DataFrame:

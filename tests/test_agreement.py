@@ -1,6 +1,7 @@
 """Agreement measures and trees against their definitions."""
 
 import random
+from fractions import Fraction
 from itertools import combinations
 
 import pandas as pd
@@ -28,10 +29,27 @@ def tree_by_definition(leaves, pairs):
     return steps
 
 
-def sample_pairs(seed):
+def sample_pairs(seed, part=8):
     rng = random.Random(seed)
     n = rng.randint(2, 9)
-    return n, [(a, b, rng.randint(0, 8) / 8) for a, b in combinations(range(n), 2) if rng.random() < 0.8]
+    return n, [(a, b, rng.randint(0, part) / part) for a, b in combinations(range(n), 2) if rng.random() < 0.8]
+
+
+def units(pairs):
+    return pd.DataFrame([(a, b, round(d * linkage.UNITS)) for a, b, d in pairs], columns=["a", "b", "units"])
+
+
+@pytest.mark.parametrize("seed", range(40))
+@pytest.mark.parametrize("part", [3, 10])
+def test_ties_of_thirds_and_tenths(seed, part):
+    n, pairs = sample_pairs(seed + 100, part)
+    if not pairs:
+        return
+    exact = [(a, b, Fraction(round(d * linkage.UNITS))) for a, b, d in pairs]
+    got, want = linkage.merge_steps(n, units(pairs)), tree_by_definition(n, exact)
+    assert (got is None) == (want is None)
+    if want:
+        assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want]
 
 
 @pytest.mark.parametrize("seed", range(12))
@@ -39,7 +57,7 @@ def test_merge_steps(seed):
     n, pairs = sample_pairs(seed)
     if not pairs:
         return
-    got = linkage.merge_steps(n, pd.DataFrame(pairs, columns=["a", "b", "distance"]))
+    got = linkage.merge_steps(n, units(pairs))
     want = tree_by_definition(n, pairs)
     assert (got is None) == (want is None)
     if want:
@@ -49,8 +67,8 @@ def test_merge_steps(seed):
 
 def test_trees_in_one_task_and_by_rounds_agree(spark):
     rows, sizes = [], []
-    for g in range(4):
-        n, pairs = sample_pairs(g + 3)
+    for g in range(12):
+        n, pairs = sample_pairs(g + 3, (8, 3, 10)[g % 3])
         sizes.append((g, n))
         rows += [(g, a, b, d) for a, b, d in pairs]
     p = spark.createDataFrame(rows, "group_id long, a int, b int, distance double")
@@ -81,6 +99,17 @@ def test_pair_counts_do_not_depend_on_blocks(spark):
         assert k[a, b].kappa == pytest.approx((observed - expected) / (1 - expected))
 
 
+def test_rows_without_run_or_item_are_no_ratings(spark):
+    rows = [("a", "x", "P"), ("a", None, "P"), ("b", "x", "P"), ("b", "y", "Q"), (None, "x", "P"), ("b", None, None), ("a", "z", None)]
+    df = spark.createDataFrame([("g", *r) for r in rows], "task string, run_id string, id string, prediction string")
+    assert [tuple(r) for r in agreement.run_pair_counts(df, ["task"]).collect()] == [("g", "a", "b", 1, 1)]
+    assert [tuple(r) for r in agreement.run_pair_counts(df, ["task"], by_label=True).collect()] == [("g", "a", "b", "P", 1, 1, 1)]
+    alpha = agreement.alpha_nominal(df, ["task"]).first()
+    assert (alpha.run_count, alpha.rated_item_count, alpha.pairable_item_count) == (2, 2, 1)
+    twice = df.unionByName(spark.createDataFrame([("g", "b", "x", "A")], df.schema))
+    assert [tuple(r) for r in agreement.run_pair_counts(twice, ["task"]).collect()] == [("g", "a", "b", 1, 1)]
+
+
 def test_kappa_without_variation(spark):
     rows = [("g", r, i, "A") for r in (1, 2) for i in range(3)]
     df = spark.createDataFrame(rows, "task string, run_id long, id long, prediction string")
