@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ratewise.functions import html
 from ratewise.functions.numbers import optional_rate
 from ratewise.functions.text import slug, snapshot_base
+from ratewise.operators.pricing import classify_entries, resolve_aliases
 from ratewise.session import cut_lineage
 
 RATES = ["input_rate", "cached_rate", "output_rate"]
@@ -26,10 +27,18 @@ FLEX_ROUTES = [
     ("openrouter", "openai/", "openai", ""), ("openrouter", "google/", "google", "models/"), ("requesty", "openai/", "openai", ""),
     ("requesty", "openai-responses/", "openai", ""), ("requesty", "google/", "google", "models/"), ("requesty", "vertex/", "vertex", ""),
 ]
+# Reason texts.
 ADDED_REASON = "Added by --update-models; fill in pricing manually."
 NO_PRICE_REASON = "No compatible official per-token pricing was found for this model."
 
 
+def in_context(catalog: DataFrame, context: str = "base") -> DataFrame:
+    """Rows of one context; a catalogue without that column has base rates only."""
+    if "context" not in catalog.columns:
+        return catalog if context == "base" else catalog.filter(F.lit(False))
+    return catalog.filter(F.coalesce("context", F.lit("base")) == context)
+
+
 def rated(df: DataFrame) -> Column:
     return F.coalesce(*RATES).isNotNull()
 
@@ -140,12 +149,18 @@ def inherited_rates(catalog: DataFrame, resolved: DataFrame, reseller: str = "re
     best = hits.groupBy("provider", "model").agg(F.min(F.struct("pos", "sub", "up", "resolved")).alias("b")).select(
         "provider", "model", F.col("b.up").alias("up"), F.col("b.resolved").alias("resolved")
     )
-    tiers = catalog.filter(F.col("tier").isNotNull()).select(F.col("provider").alias("up"), F.col("model").alias("resolved"), "tier", *RATES)
+    tiers = in_context(catalog).filter(F.col("tier").isNotNull()).select(F.col("provider").alias("up"), F.col("model").alias("resolved"), "tier", *RATES)
     return best.join(tiers, ["up", "resolved"]).select("provider", "model", "tier", *RATES, F.col("up").alias("inherited_from"))
 
 
 def copied_tiers(catalog: DataFrame, resolved: DataFrame, tier: str = "flex", routes=FLEX_ROUTES) -> DataFrame:
-    """A tier taken over from upstream by priced, routed models that lack it."""
+    """A tier taken over from upstream by priced, routed models that lack it, in both contexts.
+
+    The long-context rates of the tier come along where the model has none of its own. Rows carry ``context``, ``inherited_from`` and
+    ``inherited_model``; :func:`copied_facts` brings the sources and notes.
+    """
+    long = in_context(catalog, "long")
+    catalog = in_context(catalog)
     table = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("to", "prefix", "up", "lead"))]) for r in routes])
     have = catalog.filter(F.col("tier") == tier).select("provider", "model").distinct()
     targets = priced_models(catalog).join(have, ["provider", "model"], "left_anti")
@@ -153,12 +168,33 @@ def copied_tiers(catalog: DataFrame, resolved: DataFrame, tier: str = "flex", ro
     t = targets.select("provider", "model", F.explode(fit).alias("r"))
     t = t.select("provider", "model", F.col("r.up").alias("up"), F.concat(F.col("r.lead"), F.substring(F.col("model"), F.length("r.prefix") + 1, F.length("model"))).alias("key"))
     hits = t.join(resolved.filter("kind = 'priced'").select(F.col("provider").alias("up"), F.col("model").alias("key"), "resolved"), ["up", "key"])
-    source = catalog.filter(F.col("tier") == tier).select(F.col("provider").alias("up"), F.col("model").alias("resolved"), "tier", *RATES)
-    return hits.join(source, ["up", "resolved"]).select("provider", "model", "tier", *RATES, F.col("up").alias("inherited_from"))
+    # Several routes may lead to one upstream entry; the first name in order stands for them.
+    hits = hits.groupBy("provider", "model").agg(F.min(F.struct("up", "resolved")).alias("h")).select("provider", "model", "h.*")
+
+    def rates(of: DataFrame, context: str) -> DataFrame:
+        return of.filter(F.col("tier") == tier).select(F.col("provider").alias("up"), F.col("model").alias("resolved"), "tier", *RATES, F.lit(context).alias("context"))
+
+    copied = hits.join(rates(catalog, "base"), ["up", "resolved"])
+    own_long = long.filter(F.col("tier") == tier).select("provider", "model").distinct()
+    longer = copied.select("provider", "model", "up", "resolved").join(own_long, ["provider", "model"], "left_anti").join(rates(long, "long"), ["up", "resolved"])
+    return copied.unionByName(longer).select(
+        "provider", "model", "tier", *RATES, "context", F.col("up").alias("inherited_from"), F.col("resolved").alias("inherited_model"),
+    )
+
+
+def copied_facts(facts: DataFrame, copied: DataFrame, note: str | None = None) -> DataFrame:
+    """Sources and notes of models that took a tier over: their own, then the upstream entry's sources, and a note."""
+    models = copied.select("provider", "model", "inherited_from", "inherited_model").distinct()
+    own = models.join(facts, ["provider", "model"]).select("provider", "model", F.lit(0).alias("rank"), "sources", "notes")
+    up = facts.select(F.col("provider").alias("inherited_from"), F.col("model").alias("inherited_model"), "sources")
+    said = F.array(F.lit(note)) if note else F.array().cast("array<string>")
+    theirs = models.join(up, ["inherited_from", "inherited_model"], "left").select("provider", "model", F.lit(1).alias("rank"), "sources", said.alias("notes"))
+    return merge_facts(own.unionByName(theirs))
 
 
 def derived_flex(catalog: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Flex tier of priced models that lack it: the batch tier, else half of standard."""
+    catalog = in_context(catalog)
     base = priced_models(catalog)
     if models is not None:
         base = base.join(models.select("provider", "model"), ["provider", "model"], "left_semi")
@@ -176,6 +212,7 @@ def derived_flex(catalog: DataFrame, models: DataFrame | None = None) -> DataFra
 
 def equivalent_entries(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Pairs ``provider, candidate, target`` where every tier of the candidate equals the target's."""
+    catalog = in_context(catalog)
     t = catalog.filter(F.col("tier").isNotNull())
     a = t.select("provider", F.col("model").alias("candidate"), "tier", *[F.col(r).alias(f"a_{r}") for r in RATES])
     b = t.select("provider", F.col("model").alias("target"), "tier", *[F.col(r).alias(f"b_{r}") for r in RATES], F.lit(True).alias("found"))
@@ -196,7 +233,9 @@ def build_catalog(config: DataFrame, sources: DataFrame, metadata: DataFrame, al
     ``sources`` are catalogue rows from pages, ``aliases`` are ``provider, model, target`` used only if the target
     has an entry.
     """
-    models = config.select("provider", "model").distinct()
+    # Both are read by every stage: written once, they are scanned instead of derived again.
+    models = cut_lineage(config.select("provider", "model").distinct(), "models")
+    sources = cut_lineage(in_context(sources), "sources")
     known = sources.select("provider", "model").distinct()
     dated = models.withColumn("target", snapshot_base(F.col("model"))).filter(F.col("target").isNotNull()).join(
         known.withColumnRenamed("model", "target"), ["provider", "target"], "left_semi"
@@ -223,11 +262,29 @@ def build_catalog(config: DataFrame, sources: DataFrame, metadata: DataFrame, al
         "provider", "model", F.lit(5).alias("stage"), none.alias("tier"), *zero, none.alias("pricing_ref"), none.alias("alias_kind"), F.lit(NO_PRICE_REASON).alias("reason"), F.lit(False).alias("needs_manual")
     )
     options = alias_rows.unionByName(from_pages).unionByName(from_meta).unionByName(unsupported)
-    wanted = options.join(models, ["provider", "model"], "left_semi")
+    wanted = cut_lineage(options.join(models, ["provider", "model"], "left_semi"), "options")
     first = wanted.groupBy("provider", "model").agg(F.min("stage").alias("stage"))
     return wanted.join(first, ["provider", "model", "stage"], "left_semi").drop("stage")
 
 
+def finish_catalog(catalog: DataFrame, flagship: DataFrame, reseller: str = "requesty", shared=SHARED_ROUTES, flex=FLEX_ROUTES) -> DataFrame:
+    """Closing steps of a build: slug aliases, flex tiers, rates shared by a reseller's routes, and flex tiers once more.
+
+    ``flagship``: ``provider, model`` whose flex tier may be derived from the batch or standard tier.
+    """
+    def with_flex(rows: DataFrame) -> DataFrame:
+        rows = cut_lineage(rows.unionByName(derived_flex(rows, flagship), allowMissingColumns=True), "flex")
+        resolved = resolve_aliases(classify_entries(in_context(rows)))
+        return cut_lineage(rows.unionByName(copied_tiers(rows, resolved, "flex", flex).drop("inherited_from", "inherited_model"), allowMissingColumns=True), "copied")
+
+    if "context" not in catalog.columns:
+        catalog = catalog.withColumn("context", F.lit("base"))
+    full = with_flex(catalog.unionByName(slug_aliases(catalog), allowMissingColumns=True))
+    found = inherited_rates(full, resolve_aliases(classify_entries(in_context(full))), reseller, shared).drop("inherited_from")
+    done = with_flex(cut_lineage(overlay(full, found), "shared"))
+    return done.withColumn("context", F.coalesce("context", F.lit("base"))).withColumn("needs_manual", F.coalesce("needs_manual", F.lit(False)))
+
+
 def detail_links(pages: DataFrame, models: DataFrame) -> DataFrame:
     """Detail page per routed model: the first link of the provider's page with the same normalised tail.
 
@@ -248,12 +305,13 @@ def detail_links(pages: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def page_entries(priced: DataFrame, overrides: DataFrame, aliases: DataFrame, unsupported: DataFrame) -> DataFrame:
-    """Source entries of a provider: merged page prices, replaced by overrides, aliases to existing entries, unsupported last.
+    """Source entries of a provider: merged page prices (base and long context), replaced by overrides, aliases to existing
+    entries, unsupported last.
 
     ``priced``: as for :func:`merge_tiers`; others are catalogue rows (``aliases``: ``provider, model, target``).
     """
     none = F.lit(None).cast("string")
-    base = merge_tiers(priced).filter("context = 'base'").drop("context").select(
+    base = merge_tiers(priced).select(
         "*", none.alias("pricing_ref"), none.alias("reason"), F.lit(False).alias("needs_manual")
     )
     full = overlay(base, overrides)

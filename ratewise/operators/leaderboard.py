@@ -320,10 +320,10 @@ def scatter(runs: DataFrame, metric: str, group_by: str = "none", per_prediction
     )
 
 
-def profile_matrix(runs: DataFrame, metric: str, axis: str = "task", top: int | None = PAGE["profile"], models: list[str] = ()) -> DataFrame:
+def profile_matrix(runs: DataFrame, metric: str, axis: str = "task", top: int | None = None, models: list[str] = ()) -> DataFrame:
     """Mean metric per model and task (or tag) with the mean of the axis means; a run counts under each of its tags.
 
-    Without a model selection only the ``top`` models by that mean are shown.
+    With ``top`` and no model selection only so many models by that mean are kept (a dashboard shows 8).
     """
     rows = runs.select("model", F.explode("tags").alias("axis"), metric) if axis == "tag" else runs.select("model", F.col("task").alias("axis"), metric)
     if models:

@@ -14,7 +14,6 @@ from ratewise.functions.text import batch_model, batch_provider, provider_key, s
 from ratewise.operators.skew import join_by_identity
 from ratewise.session import cut_lineage
 
-MAX_CHAIN = 12  # fixed value: entries a chain of aliases may pass through, its end included
 TOKENS_PER_PRICE = 1_000_000
 # How routed model names rank when only the tail of a name is known.
 ROUTE_RANKS = {"policy": 100, "bedrock": 40, "vertex": 30, "openai-responses": 20}
@@ -42,11 +41,11 @@ def classify_entries(catalog: DataFrame) -> DataFrame:
     )
 
 
-def resolve_aliases(entries: DataFrame, max_chain: int | None = MAX_CHAIN) -> DataFrame:
+def resolve_aliases(entries: DataFrame, max_chain: int | None = None) -> DataFrame:
     """Entry at the end of each alias chain: ``provider, model, resolved, kind``.
 
-    Hops are doubled, so a chain of twelve needs four joins and none grows. Dead ends, cycles and chains over
-    ``max_chain`` entries have no result. With ``max_chain=None`` any finite chain resolves.
+    Hops are doubled, so a chain of twelve needs four joins and none grows. Dead ends and cycles have no result; with
+    ``max_chain`` chains over so many entries have none either (a dashboard's limit is 12).
     """
     # Every round joins the table with itself, so it is written between rounds: the plan would double each time.
     entries = cut_lineage(entries, "entries")

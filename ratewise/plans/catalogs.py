@@ -29,11 +29,12 @@ def config(spark, sf_dir):
     return p.select(F.lower("p_brand").alias("provider"), F.explode(names).alias("model")).distinct()
 
 
-def metadata(spark, sf_dir):
+def metadata(spark, sf_dir, some="p_size % 3 = 0"):
+    """Metadata of the models; by default some configured models have none."""
     p = fx.table(spark, sf_dir, "part")
     brand = F.lower("p_brand").alias("provider")
     none = F.lit(None).cast("double")
-    fresh = p.filter("p_size % 3 = 0").groupBy(brand, F.col("p_size")).agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi")).select(
+    fresh = p.filter(some).groupBy(brand, F.col("p_size")).agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi")).select(
         "provider", F.concat(F.lit("fresh-"), F.col("p_size").cast("string")).alias("model"), (F.col("lo") / 1e9).alias("input_cost"), none.alias("cached_cost"),
         F.when(F.col("p_size") % 2 == 0, F.col("hi") / 1e9).alias("output_cost"),
     )
@@ -45,11 +46,11 @@ def metadata(spark, sf_dir):
 
 @query(
     "metadata_prices", "D18",
-    with_views(PRICES, CONFIG, select=f"""
+    with_views(PRICES, CONFIG.replace("WHERE p_size % 3 = 0 ", ""), select=f"""
 SELECT provider, model, tier, {rd('input_rate')} AS input_rate, cached_rate, {rd('output_rate')} AS output_rate FROM meta_prices"""),
 )
 def metadata_prices(spark, sf_dir):
-    return rounded(cat.metadata_prices(metadata(spark, sf_dir)))
+    return rounded(cat.metadata_prices(metadata(spark, sf_dir, "true")))
 
 
 @query(
@@ -179,17 +180,25 @@ def inherited_rates(spark, sf_dir):
 @query(
     "copied_flex_tiers", "J24",
     with_views(PRICES, ENTRIES, select="""
-, lacking AS (SELECT DISTINCT model FROM prices WHERE provider = 'brand#1' AND tier = 'standard'),
-targets AS (SELECT 'via/' || model AS model, model AS key FROM lacking)
-SELECT 'seller' AS provider, t.model, 'flex' AS tier, p.input_rate, p.cached_rate, p.output_rate, 'brand#1' AS inherited_from
-FROM targets t JOIN prices p ON p.provider = 'brand#1' AND p.model = t.key AND p.tier = 'flex'"""),
+, targets AS (SELECT DISTINCT provider AS up, model AS key FROM prices WHERE tier = 'standard')
+SELECT 'seller' AS provider, up || '/' || key AS model, 'flex' AS tier, p.input_rate * f AS input_rate, p.cached_rate * f AS cached_rate, p.output_rate * f AS output_rate, context,
+  up AS inherited_from, key AS inherited_model, 'own,' || up AS sources, 'flex from upstream' AS notes
+FROM targets t JOIN prices p ON p.provider = t.up AND p.model = t.key AND p.tier = 'flex', (VALUES ('base', 1), ('long', 2)) c(context, f)"""),
 )
 def copied_flex_tiers(spark, sf_dir):
     base = fx.prices(spark, sf_dir)
-    mine = base.filter("provider = 'brand#1' and tier = 'standard'").withColumn("provider", F.lit("seller")).withColumn("model", F.concat(F.lit("via/"), "model"))
-    full = base.unionByName(mine)
-    resolved = pricing.resolve_aliases(pricing.classify_entries(full), None)
-    return cat.copied_tiers(full, resolved, "flex", [("seller", "via/", "brand#1", "")])
+    mine = base.filter("tier = 'standard'").withColumn("model", F.concat_ws("/", "provider", "model")).withColumn("provider", F.lit("seller"))
+    full = base.unionByName(mine).withColumn("context", F.lit("base"))
+    # Beyond a threshold the brands charge twice as much; the seller says nothing of that.
+    twice = [(F.col(r) * 2).alias(r) for r in cat.RATES]
+    long = base.filter("tier is not null").select(*[c for c in base.columns if c not in cat.RATES], *twice, F.lit("long").alias("context"))
+    resolved = pricing.resolve_aliases(pricing.classify_entries(full))
+    copied = cat.copied_tiers(full.unionByName(long), resolved, "flex", [("seller", f"brand#{i}/", f"brand#{i}", "") for i in range(1, 26)])
+    label = F.when(F.col("provider") == "seller", "own").otherwise(F.col("provider"))
+    facts = full.select("provider", "model").distinct().select("provider", "model", F.array(F.struct(label.alias("label"), F.lit("u").alias("url"))).alias("sources"), F.array().cast("array<string>").alias("notes"))
+    said = cat.copied_facts(facts, copied, "flex from upstream")
+    named = said.select("provider", "model", F.array_join(F.transform("sources", lambda s: s["label"]), ",").alias("sources"), F.array_join("notes", ",").alias("notes"))
+    return copied.join(named, ["provider", "model"])
 
 
 @query(
@@ -235,12 +244,13 @@ def built_catalogue(spark, sf_dir):
 @query(
     "page_source_entries", "D19 U4",
     with_views(MERGE_ROWS, """
-firsts AS (SELECT provider, model, tier, arg_min(input_rate, rank) FILTER (WHERE input_rate IS NOT NULL) AS input_rate FROM ranked WHERE context = 'base' GROUP BY ALL)""",
+kept AS (SELECT * FROM ranked WHERE context = 'base' OR (provider, model, rank) IN (SELECT (provider, model, min(rank)) FROM ranked WHERE context = 'long' GROUP BY provider, model)),
+firsts AS (SELECT provider, model, context, tier, arg_min(input_rate, rank) FILTER (WHERE input_rate IS NOT NULL) AS input_rate FROM kept GROUP BY ALL)""",
         select=f"""
-SELECT provider, model, tier, {rd('input_rate')} AS input_rate, CAST(NULL AS VARCHAR) AS pricing_ref, CAST(NULL AS VARCHAR) AS reason FROM firsts WHERE model NOT IN ('red ring', 'blue gear')
-UNION ALL SELECT DISTINCT provider, 'red ring', 'standard', 1.0, NULL, NULL FROM ranked
-UNION ALL SELECT DISTINCT provider, 'ring', NULL, NULL, 'red ring', NULL FROM ranked
-UNION ALL SELECT DISTINCT provider, 'blue gear', NULL, NULL, NULL, 'no token price' FROM ranked"""),
+SELECT provider, model, context, tier, {rd('input_rate')} AS input_rate, CAST(NULL AS VARCHAR) AS pricing_ref, CAST(NULL AS VARCHAR) AS reason FROM firsts WHERE model NOT IN ('red ring', 'blue gear')
+UNION ALL SELECT DISTINCT provider, 'red ring', NULL, 'standard', 1.0, NULL, NULL FROM ranked
+UNION ALL SELECT DISTINCT provider, 'ring', NULL, NULL, NULL, 'red ring', NULL FROM ranked
+UNION ALL SELECT DISTINCT provider, 'blue gear', NULL, NULL, NULL, NULL, 'no token price' FROM ranked"""),
 )
 def page_source_entries(spark, sf_dir):
     ranked = ranked_rows(spark, sf_dir)
@@ -258,4 +268,4 @@ def page_source_entries(spark, sf_dir):
         none.alias("pricing_ref"), F.lit("no token price").alias("reason"), F.lit(False).alias("needs_manual"),
     )
     out = cat.page_entries(ranked, over, aliases, closed)
-    return rounded(out.select("provider", "model", "tier", "input_rate", "pricing_ref", "reason"))
+    return rounded(out.select("provider", "model", "context", "tier", "input_rate", "pricing_ref", "reason"))

@@ -8,6 +8,7 @@ from ratewise.operators import quality, resume, telemetry
 from ratewise.plans import fixtures as fx
 from ratewise.plans.oracle import ATTEMPTS, PREDICTIONS, RUNS, TOKENS, with_views
 from ratewise.plans.registry import query
+from ratewise.session import cut_lineage
 
 CSV = """
 csv AS (SELECT run_id, count(*) AS row_count, count(coalesce(prompt_tokens, completion_tokens, total_tokens)) AS rows_with_token_usage,
@@ -160,7 +161,8 @@ SELECT count(*) AS files, count(*) FILTER (WHERE metrics_file IN (SELECT metrics
   count(*) FILTER (WHERE metrics_file IN (SELECT metrics_file FROM repairs WHERE repair_reasons <> '')) AS repaired FROM metrics"""),
 )
 def issue_counts(spark, sf_dir):
-    j = joined(spark, sf_dir)
+    # Three measures read the joined artifacts: written once instead of derived three times.
+    j = cut_lineage(joined(spark, sf_dir), "joined")
     return quality.issue_counts(j, quality.artifact_issues(j), quality.repair_totals(j))
 
 
@@ -178,19 +180,19 @@ def overridden_truth(spark, sf_dir):
 
 # First pass: items of some sizes are still open; second pass: fewer are.
 PASSES = """
-, first_pass AS (SELECT run_id, id, truth, CASE WHEN confidence > 0.85 THEN 'Unclassified ' ELSE prediction END AS prediction FROM predictions WHERE id % 5 <> 2),
+, first_pass AS (SELECT run_id, id, truth, CASE WHEN confidence > 0.85 THEN 'Unclassified ' ELSE prediction END AS prediction FROM predictions),
 second_pass AS (SELECT run_id, id, CASE WHEN run_id % 4 = 1 THEN 'unclassified' ELSE truth END AS truth,
-  CASE WHEN confidence > 0.85 AND (run_id % 3 = 0 OR confidence > 0.95) AND run_id % 7 <> 5 THEN 'unclassified' ELSE prediction END AS prediction FROM predictions WHERE id % 5 <> 2)
+  CASE WHEN confidence > 0.85 AND (run_id % 3 = 0 OR confidence > 0.95) AND run_id % 7 <> 5 THEN 'unclassified' ELSE prediction END AS prediction FROM predictions)
 """
 
 
 def first_pass(spark, sf_dir):
-    p = fx.predictions(spark, sf_dir).filter("id % 5 <> 2")
+    p = fx.predictions(spark, sf_dir)
     return p.withColumn("prediction", F.when(F.col("confidence") > 0.85, "Unclassified ").otherwise(F.col("prediction")))
 
 
 def second_pass(spark, sf_dir):
-    p = fx.predictions(spark, sf_dir).filter("id % 5 <> 2")
+    p = fx.predictions(spark, sf_dir)
     still = (F.col("confidence") > 0.85) & ((F.col("run_id") % 3 == 0) | (F.col("confidence") > 0.95)) & (F.col("run_id") % 7 != 5)
     return p.withColumn("truth", F.when(F.col("run_id") % 4 == 1, "unclassified").otherwise(F.col("truth"))).withColumn(
         "prediction", F.when(still, "unclassified").otherwise(F.col("prediction"))
@@ -199,11 +201,11 @@ def second_pass(spark, sf_dir):
 
 @query(
     "open_inputs", "J5",
-    with_views(PREDICTIONS, select=PASSES + "SELECT run_id, id FROM predictions ANTI JOIN first_pass USING (run_id, id)"),
+    with_views(PREDICTIONS, select=PASSES + "SELECT run_id, id FROM predictions ANTI JOIN (FROM first_pass WHERE id % 5 <> 2) USING (run_id, id)"),
 )
 def open_inputs(spark, sf_dir):
     inputs = fx.predictions(spark, sf_dir).select("run_id", "id")
-    return resume.not_yet_predicted(inputs, first_pass(spark, sf_dir), ["run_id", "id"])
+    return resume.not_yet_predicted(inputs, first_pass(spark, sf_dir).filter("id % 5 <> 2"), ["run_id", "id"])
 
 
 @query(

@@ -37,7 +37,7 @@ def resolved_aliases(spark, sf_dir):
 
 
 @query(
-    "resolved_aliases_unbounded", "J16 J12",
+    "resolved_aliases_unbounded", "J16",
     with_views(PRICES, ENTRIES, select="SELECT provider, model, resolved, kind FROM resolved"),
 )
 def resolved_aliases_unbounded(spark, sf_dir):
@@ -229,10 +229,10 @@ def artifact_configs(spark, sf_dir):
 
 
 ROUTES = """
-brands AS (SELECT *, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) AS b FROM part),
+brands AS (SELECT *, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) AS w FROM part),
 routes AS (SELECT DISTINCT CASE b % 6 WHEN 0 THEN 'policy' WHEN 1 THEN 'bedrock' WHEN 2 THEN 'vertex' WHEN 3 THEN 'openai-responses' WHEN 4 THEN 'azure' ELSE 'coding' END AS prefix,
     CASE b % 6 WHEN 0 THEN 100 WHEN 1 THEN 40 WHEN 2 THEN 30 WHEN 3 THEN 20 ELSE 0 END AS rank, replace(p_name, ' ', '-') AS name, CASE WHEN p_size % 3 = 0 THEN '@eu' WHEN p_size % 3 = 1 THEN '@us' ELSE '' END AS region
-  FROM brands WHERE b % 6 >= p_partkey % 6),
+  FROM (SELECT *, CASE WHEN w % 6 >= p_partkey % 6 THEN w ELSE 5 END AS b FROM brands)),
 tailed AS (SELECT prefix || '/' || name || region AS model, rank, CASE WHEN region <> '' THEN 1 ELSE 0 END AS regional, unnest(list_distinct([name || region, name])) AS tail FROM routes),
 best AS (SELECT *, count(*) OVER (PARTITION BY tail, rank, regional) AS ties, rank() OVER (PARTITION BY tail ORDER BY rank, regional) AS r FROM tailed)"""
 
@@ -240,11 +240,11 @@ best AS (SELECT *, count(*) OVER (PARTITION BY tail, rank, regional) AS ties, ra
 @query("route_choice", "J14", with_views(ROUTES, select="SELECT tail, model AS key FROM best WHERE r = 1 AND ties = 1"))
 def route_choice(spark, sf_dir):
     """Part names as model tails that several routes of one reseller offer, some with a region."""
-    p = fx.table(spark, sf_dir, "part").withColumn("b", F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int"))
+    brand = F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int")
+    p = fx.table(spark, sf_dir, "part").withColumn("b", F.when(brand % 6 >= F.col("p_partkey") % 6, brand).otherwise(5))
     names = F.array(*[F.lit(x) for x in ("policy", "bedrock", "vertex", "openai-responses", "azure", "coding")])
     region = F.when(F.col("p_size") % 3 == 0, "@eu").when(F.col("p_size") % 3 == 1, "@us").otherwise("")
-    offered = p.filter(F.col("b") % 6 >= F.col("p_partkey") % 6)
-    rows = offered.select(F.lit("requesty").alias("provider"), F.concat(F.get(names, (F.col("b") % 6).cast("int")), F.lit("/"), F.translate("p_name", " ", "-"), region).alias("model")).distinct()
+    rows = p.select(F.lit("requesty").alias("provider"), F.concat(F.get(names, (F.col("b") % 6).cast("int")), F.lit("/"), F.translate("p_name", " ", "-"), region).alias("model")).distinct()
     listed = rows.select(
         "provider", "model", F.lit("standard").alias("tier"), F.lit(1.0).alias("input_rate"), F.lit(None).cast("double").alias("cached_rate"), F.lit(1.0).alias("output_rate"),
         F.lit(None).cast("string").alias("pricing_ref"), F.lit(None).cast("string").alias("reason"), F.lit(False).alias("needs_manual"),

@@ -11,7 +11,7 @@ from ratewise.plans.oracle import ATTEMPTS, PREDICTIONS, RUNS, SCORES, with_view
 from ratewise.plans.registry import query
 from ratewise.plans.repeats import TELEMETRY
 from ratewise.plans.scores import rd, rounded, scores_of
-from ratewise.session import scratch_path
+from ratewise.session import cut_lineage, scratch_path
 from ratewise.sources import delimited, documents, sinks
 
 
@@ -113,10 +113,11 @@ def run_metadata_of_logs(spark, sf_dir):
     with_views(ATTEMPTS, select="SELECT CAST(run_id AS VARCHAR) AS path, count(DISTINCT example_id) AS records, count(*) AS attempts FROM attempts GROUP BY run_id"),
 )
 def legacy_array_logs(spark, sf_dir):
-    lines = log_lines(spark, sf_dir).filter("text like '%example_result%'")
+    # Broken lines cannot stand in an array; all other records do.
+    lines = log_lines(spark, sf_dir).filter(F.try_parse_json("text").isNotNull())
     whole = lines.groupBy("path").agg(F.concat(F.lit("["), F.array_join(F.collect_list("text"), ","), F.lit("]")).alias("text"))
     records = documents.parse_log(documents.legacy_log_lines(whole))
-    return records.groupBy("path").agg(F.count("*").alias("records"), F.sum(F.size("attempts")).alias("attempts"))
+    return records.filter("record_type = 'example_result'").groupBy("path").agg(F.count("*").alias("records"), F.sum(F.size("attempts")).alias("attempts"))
 
 
 def metrics_files(spark, sf_dir):
@@ -198,21 +199,25 @@ def agreement_file_groups(spark, sf_dir):
 
 @query(
     "price_file_rows", "S12",
-    """SELECT lower(p_brand) AS provider, p_name AS model, 'standard' AS tier, max(p_retailprice) AS input_rate, CAST(NULL AS VARCHAR) AS pricing_ref FROM part WHERE p_size % 2 = 0 GROUP BY ALL
-UNION ALL SELECT DISTINCT lower(p_brand), 'to ' || p_name, NULL, NULL, p_name FROM part WHERE p_size % 2 = 0""",
+    """SELECT lower(p_brand) AS provider, p_name AS model, 'standard' AS tier, max(p_retailprice) AS input_rate, CAST(NULL AS VARCHAR) AS pricing_ref, 'base' AS context,
+  CAST(NULL AS DOUBLE) AS threshold_input_tokens FROM part GROUP BY ALL
+UNION ALL SELECT lower(p_brand), p_name, 'standard', max(p_retailprice) * 2, NULL, 'long', 200000 FROM part GROUP BY ALL
+UNION ALL SELECT DISTINCT lower(p_brand), 'to ' || p_name, NULL, NULL, p_name, 'base', NULL FROM part""",
 )
 def price_file_rows(spark, sf_dir):
     """Price files, one per brand, wrapped in a script."""
-    p = fx.table(spark, sf_dir, "part").filter("p_size % 2 = 0")
+    p = fx.table(spark, sf_dir, "part")
     tier = F.struct(F.col("rate").alias("input_usd_per_mtokens"))
     none = F.lit(None)
+    twice = F.struct((F.col("rate") * 2).alias("input_usd_per_mtokens"))
+    long = F.struct(F.lit(200_000).alias("threshold_input_tokens"), F.create_map(F.lit("standard"), twice).alias("service_tiers"))
     entries = p.groupBy(F.lower("p_brand").alias("provider"), "p_name").agg(F.max("p_retailprice").alias("rate"))
-    priced = F.struct(F.col("p_name").alias("m"), F.struct(F.create_map(F.lit("standard"), tier).alias("service_tiers"), none.cast("string").alias("pricing_ref")).alias("e"))
-    alias = F.struct(F.concat(F.lit("to "), "p_name").alias("m"), F.struct(none.cast("map<string,struct<input_usd_per_mtokens:double>>").alias("service_tiers"), F.col("p_name").alias("pricing_ref")).alias("e"))
+    priced = F.struct(F.col("p_name").alias("m"), F.struct(F.create_map(F.lit("standard"), tier).alias("service_tiers"), none.cast("string").alias("pricing_ref"), long.alias("long_context")).alias("e"))
+    alias = F.struct(F.concat(F.lit("to "), "p_name").alias("m"), F.struct(none.cast("map<string,struct<input_usd_per_mtokens:double>>").alias("service_tiers"), F.col("p_name").alias("pricing_ref"), F.when(F.lit(False), long).alias("long_context")).alias("e"))
     models = entries.groupBy("provider").agg(F.map_from_entries(F.flatten(F.collect_list(F.array(priced, alias)))).alias("models"))
     body = F.to_json(F.struct(F.create_map("provider", F.struct("models")).alias("providers")))
     files = models.select(F.concat(F.lit("window.PRICES = "), body, F.lit(";\n")).alias("text"))
-    return documents.price_rows(files).select("provider", "model", "tier", "input_rate", "pricing_ref")
+    return documents.price_rows(files).select("provider", "model", "tier", "input_rate", "pricing_ref", "context", "threshold_input_tokens")
 
 
 @query(
@@ -226,3 +231,33 @@ def versioned_rows(spark, sf_dir):
     sinks.write_version(o, root, "0001")
     sinks.write_version(o.filter("o_orderkey % 4 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), root, "0002")
     return sinks.read_latest(spark, root, "o_orderkey")
+
+
+@query(
+    "discovered_files", "S8 S9",
+    with_views(RUNS, select="""
+SELECT 'all' AS kind, replace(run_stem, ' ', '-') || '__metrics.json' AS file FROM runs WHERE run_id % 3 <> 0
+UNION ALL SELECT 'listed', replace(run_stem, ' ', '-') || '__metrics.json' FROM runs WHERE run_id % 3 <> 0 AND run_id % 2 = 0"""),
+)
+def discovered_files(spark, sf_dir):
+    """Metrics files among others in nested folders, with and without a manifest."""
+    from pyarrow import fs
+
+    runs = fx.runs(spark, sf_dir)
+    ending = F.when(F.col("run_id") % 3 == 0, "__notes.json").otherwise("__metrics.json")
+    named = runs.select("run_id", F.concat(F.translate("run_stem", " ", "-"), ending).alias("file"))
+    root = scratch_path(spark, "found")
+
+    def write(frames):
+        place, base = fs.FileSystem.from_uri(root)
+        for frame in frames:
+            for run, file in zip(frame["run_id"], frame["file"]):
+                place.create_dir(f"{base}/f{run % 4}/g{run % 2}", recursive=True)
+                with place.open_output_stream(f"{base}/f{run % 4}/g{run % 2}/{file}") as out:
+                    out.write(b"{}")
+            yield frame
+
+    manifest = cut_lineage(named.mapInPandas(write, named.schema), "manifest").filter("run_id % 2 = 0").select(F.concat(F.lit("m/"), "file").alias("name"))
+    found = documents.discover(spark, [root]).select(F.lit("all").alias("kind"), "path")
+    listed = documents.discover(spark, [root], manifest=manifest).select(F.lit("listed").alias("kind"), "path")
+    return found.unionByName(listed).select("kind", F.element_at(F.split("path", "/"), -1).alias("file"))

@@ -93,16 +93,15 @@ def live_first_predictions(spark, sf_dir):
 @query(
     "live_validation", "T2 J17",
     with_views(LEXICON, select="""
-SELECT conv_id || '-' || turn AS request_id, CASE WHEN w IN (SELECT norm FROM lexicon) THEN 'accept' ELSE 'retry' END AS action
-FROM (SELECT conv_id, turn, regexp_extract(lower(text), '\\p{L}+') AS w FROM conversations) GROUP BY ALL"""),
+SELECT conv_id || '-' || turn || '-' || pos AS request_id, CASE WHEN w IN (SELECT norm FROM lexicon) THEN 'accept' ELSE 'retry' END AS action
+FROM (SELECT conv_id, turn, unnest(words) AS w, unnest(range(len(words))) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '\\p{L}+') AS words FROM conversations))"""),
 )
 def live_validation(spark, sf_dir):
-    """First word of every turn, validated as it arrives."""
+    """Every word of every turn, validated as it arrives against one prepared lexicon."""
     schema = fx.table(spark, sf_dir, "conversations").schema
     raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parque*")
-    asked = raw.select(
-        F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.regexp_extract(F.lower("text"), r"\p{L}+", 0).alias("label"), F.lit("").alias("info"), F.lit(1).alias("attempt")
-    )
-    terms = lexicon(spark, sf_dir)
+    words = raw.select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("pos", "label"))
+    asked = words.select(F.concat_ws("-", "conv_id", "turn", "pos").alias("request_id"), "label", F.lit("").alias("info"), F.lit(1).alias("attempt"))
+    terms = lx.prepare(lexicon(spark, sf_dir))
     rows = live.validate_stream(asked, lambda batch: lx.decide_lemma(batch, terms, max_distance=1, max_suggestions=3), *live.places(spark, "validation"))
-    return rows.select("request_id", "action").distinct()
+    return rows.select("request_id", "action")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratewise.functions import html, names, text
+from ratewise.functions.nested import drop_key
+from ratewise.functions.numbers import whole_number
 from ratewise.operators import catalog as cat, prompts
 from ratewise.plans import fixtures as fx
 from ratewise.plans.oracle import RUNS, with_views
@@ -352,3 +354,28 @@ def dated_model_names(spark, sf_dir):
     name = F.when(key % 3 == 0, F.concat(F.lit("GPT-5.1-mini-"), day)).when(key % 3 == 1, F.concat(F.lit("gpt-4o-"), day)).otherwise(F.concat(F.lit("claude-"), day))
     asked = F.when(key % 5 == 4, F.concat(name, F.lit("-tts"))).otherwise(name)
     return r.select("run_id", text.snapshot_base(name).alias("base"), text.text_model_candidate(asked).alias("candidate"))
+
+
+@query(
+    "entries_without_status", "P50",
+    """SELECT p_partkey, '{"model":"' || p_name || '","tiers":[{"rate":' || p_size || '},{"rate":' || (p_size + 1) || '}],"extras":{"a":{"size":' || p_size || '}}}' AS entry FROM part""",
+)
+def entries_without_status(spark, sf_dir):
+    """Price entries that carry a status at every level, without it."""
+    p = fx.table(spark, sf_dir, "part")
+    status = F.lit("ok").alias("status")
+    tier = lambda n: F.struct(status, (F.col("p_size") + n).alias("rate"))
+    extras = F.create_map(F.lit("a"), F.struct(F.col("p_size").alias("size"), status), F.lit("status"), F.struct(F.col("p_size").alias("size"), status))
+    rows = p.select("p_partkey", F.struct(status, F.col("p_name").alias("model"), F.array(tier(0), tier(1)).alias("tiers"), extras.alias("extras")).alias("e"))
+    return rows.select("p_partkey", F.to_json(drop_key(F.col("e"), rows.schema["e"].dataType, "status")).alias("entry"))
+
+
+@query(
+    "whole_numbers", "P11",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_extendedprice = floor(l_extendedprice) THEN CAST(l_extendedprice AS BIGINT) END AS whole,
+  CASE WHEN l_tax = floor(l_tax) THEN CAST(l_tax AS BIGINT) END AS tax FROM lineitem""",
+)
+def whole_numbers(spark, sf_dir):
+    """Amounts that are whole numbers, others as null."""
+    rows = fx.table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", whole_number(F.col("l_extendedprice")).alias("whole"), whole_number(F.col("l_tax")).alias("tax"))

@@ -192,12 +192,19 @@ def _fields(ddl: str) -> str:
 
 
 def price_rows(files: DataFrame) -> DataFrame:
-    """Catalogue rows of a price file (JSON, perhaps inside a script): one row per tier, one for entries without tiers."""
+    """Catalogue rows of a price file (JSON, perhaps inside a script): one row per context and tier, one for entries without tiers.
+
+    ``context`` is ``base`` or ``long``; long-context rows name the threshold they begin at.
+    """
     body = F.regexp_extract("text", r"(?s)(\{.*\})", 1)
     models = files.select(F.explode(F.from_json(body, schemas.PRICE_CATALOG)["providers"]).alias("provider", "p")).select("provider", F.explode("p.models").alias("model", "e"))
-    tiers = models.select("provider", "model", "e", F.explode_outer("e.service_tiers").alias("tier", "t"))
+    none = F.lit(None).cast("double")
+    tiers = models.select("provider", "model", "e", F.lit("base").alias("context"), none.alias("threshold_input_tokens"), F.explode_outer("e.service_tiers").alias("tier", "t"))
+    longer = models.select("provider", "model", "e", F.lit("long").alias("context"), F.col("e.long_context.threshold_input_tokens").alias("threshold_input_tokens"), F.explode("e.long_context.service_tiers").alias("tier", "t"))
+    tiers = tiers.unionByName(longer)
     return tiers.select(
         "provider", "model", "tier", F.col("t.input_usd_per_mtokens").alias("input_rate"), F.col("t.cached_input_usd_per_mtokens").alias("cached_rate"),
         F.col("t.output_usd_per_mtokens").alias("output_rate"), F.col("e.pricing_ref").alias("pricing_ref"), F.col("e.reason").alias("reason"),
         F.coalesce("e.needs_manual_update", F.lit(False)).alias("needs_manual"), F.col("e.alias_kind").alias("alias_kind"), F.col("e.sources").alias("sources"), F.col("e.notes").alias("notes"),
+        "context", "threshold_input_tokens",
     )

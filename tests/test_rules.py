@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratewise.functions import html, names, numbers, text, times
-from ratewise.operators import interrater, leaderboard as lb, pricing, prompts, quality
+from ratewise.functions.nested import drop_key
+from ratewise.operators import catalog, interrater, leaderboard as lb, pricing, prompts, quality
 from ratewise.operators.quantiles import exact_quantiles
 
 
@@ -135,10 +136,10 @@ def test_alias_chains(spark):
     rows = [priced("p", "end"), alias("p", "c1", "c2"), alias("p", "c2", "c1"), alias("p", "dead", "gone")]
     rows += [alias("p", f"n{i}", f"n{i + 1}" if i < 12 else "end") for i in range(13)]
     entries = pricing.classify_entries(spark.createDataFrame(rows, CATALOG))
-    short = {r.model for r in pricing.resolve_aliases(entries).collect()}
+    short = {r.model for r in pricing.resolve_aliases(entries, 12).collect()}
     # Twelve entries at most: n2..n12 reach the end within them, n0 and n1 do not.
     assert short == {"end"} | {f"n{i}" for i in range(2, 13)}
-    assert {r.model for r in pricing.resolve_aliases(entries, None).collect()} == {"end"} | {f"n{i}" for i in range(13)}
+    assert {r.model for r in pricing.resolve_aliases(entries).collect()} == {"end"} | {f"n{i}" for i in range(13)}
 
 
 def test_price_matching_order(spark):
@@ -196,3 +197,25 @@ def test_page_prices(spark):
     eight = one(spark, html.table_row(F.lit("m-1 $1 $2 $9 $3 - - - - rest"), F.lit("m-1")))
     assert tuple(eight.base) == (1.0, 2.0, 3.0) and eight.long is None
     assert one(spark, html.section(F.lit("x A one B two A"), "B", ["A", "B"])) == "B two "
+
+
+def test_closing_steps_of_a_build(spark):
+    rows = [
+        ("openai", "gpt 1", "standard", 2.0, None, 8.0), ("openai", "gpt 1", "batch", 1.0, None, 3.0), ("openai", "gpt-2", "standard", 4.0, 1.0, None),
+        ("requesty", "openai/gpt-2", "standard", 5.0, None, None), ("requesty", "openai-responses/gpt-2", None, None, None, None),
+    ]
+    base = spark.createDataFrame([(*r, None, None, False, "base") for r in rows] + [("openai", "gpt-2", "flex", 9.0, None, 9.0, None, None, False, "long")], CATALOG + ", context string")
+    flagship = spark.createDataFrame([("openai", "gpt 1"), ("openai", "gpt-2")], "provider string, model string")
+    got = {(r.provider, r.model, r.tier, r.context): (r.input_rate, r.output_rate, r.pricing_ref) for r in catalog.finish_catalog(base, flagship).collect()}
+    assert got["openai", "gpt 1", "flex", "base"] == (1.0, 3.0, None)
+    assert got["openai", "gpt-2", "flex", "base"] == (2.0, None, None)
+    assert got["openai", "gpt1", None, "base"] == (None, None, "gpt 1")
+    assert got["requesty", "openai/gpt-2", "flex", "base"] == (2.0, None, None)
+    assert got["requesty", "openai/gpt-2", "flex", "long"] == (9.0, 9.0, None)
+    assert {t for p, m, t, c in got if m == "openai-responses/gpt-2" and c == "base"} == {"standard", "flex"}
+
+
+def test_keys_dropped_at_any_depth(spark):
+    df = spark.sql("select named_struct('status', 1, 'a', array(named_struct('status', 2, 'b', map('status', 3, 'c', 4)), null), 'd', cast(null as struct<status: int, e: int>)) as v")
+    got = df.select(F.to_json(drop_key(F.col("v"), df.schema["v"].dataType, "status")).alias("j")).first().j
+    assert got == '{"a":[{"b":{"c":4}},null]}'
