@@ -13,18 +13,31 @@ from ratewise.functions.text import strip
 MONEY = r"\$[0-9.]+"
 
 
+# Character references resolved in the JVM, the ampersand last so that no new reference comes about.
+COMMON = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+RARE = r"&(?!(?:lt|gt|quot|#39|nbsp|amp);)[#\w]"
+MARKUP = r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->|<[^>]+>"
+
+
 @F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
-    # Character references only: the table of names is the standard library's.
-    return s.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
+    # The table of names is the standard library's.
+    return s.map(lambda x: html.unescape(x) if isinstance(x, str) else x)
+
+
+def _resolved(text: Column) -> Column:
+    """Character references resolved; only texts with other than the common ones pass through Python."""
+    rare = F.regexp_like(text, F.lit(RARE))
+    plain = text
+    for name, value in COMMON:
+        plain = F.replace(plain, F.lit(name), F.lit(value))
+    return F.when(rare, _unescape(F.when(rare, text))).otherwise(plain)
 
 
 def page_text(raw: Column) -> Column:
-    """Readable text: scripts, styles, comments and tags out, character references resolved, white space single."""
-    t = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"<[^>]+>", " ")
-    return strip(F.regexp_replace(_unescape(t), r"(?U)\s+", " "))
+    """Readable text: scripts, styles, comments and tags out in one pass, character references resolved, white space single."""
+    bare = F.regexp_replace(F.coalesce(raw, F.lit("")), MARKUP, " ")
+    return strip(F.regexp_replace(_resolved(bare), r"(?U)\s+", " "))
 
 
 def links(raw: Column) -> Column:
@@ -128,39 +141,45 @@ def _quoted(name: Column) -> Column:
     return F.regexp_replace(name, r"([\\.^$|?*+()\[\]{}\-])", r"\\$1")
 
 
-def table_row(text: Column, model: Column) -> Column:
-    """``struct<base, long>`` of a table row with 6 to 8 price cells after a model name; a dash is no price.
+CELL = r"(?:\$[0-9.]+|-)"
+DASHED = r"(?:\$[0-9.]+|-|—)"
 
-    Eight cells hold cache-write prices at the third and seventh place, which are left out.
+
+def cells_after(text: Column, name: Column, run: str, cell: str = CELL, before: str = "", after: str = "") -> Column:
+    """Price cells of the first run of cells behind a name; empty where there is none. A dash is a cell without a price.
+
+    The run is taken from the end of what was found, since a name may itself hold dashes.
     """
-    # The model name may itself hold dashes: count cells from the end.
-    tail = F.regexp_extract(
-        F.regexp_substr(text, F.concat(F.lit("(?i)"), _quoted(model), F.lit(r"(?:\s*(?:\$[0-9.]+|-)){6,8}"))), r"((?:\s*(?:\$[0-9.]+|-)){6,8})$", 1
-    )
-    cells = F.regexp_extract_all(tail, F.lit(r"(\$[0-9.]+|-)"), F.lit(1))
+    found = F.regexp_substr(text, F.concat(F.lit("(?is)" + before), _quoted(name), F.lit(after + run)))
+    return F.coalesce(F.regexp_extract_all(F.regexp_extract(found, f"({run})$", 1), F.lit(f"({cell})"), F.lit(1)), F.array().cast("array<string>"))
 
-    def at(*places: int) -> Column:
-        return rates(*[price_text(F.get(cells, F.lit(p))) for p in places])
 
+def _rates_at(cells: Column, *places: int) -> Column:
+    return rates(*[price_text(F.get(cells, F.lit(p))) for p in places])
+
+
+def _three(cells: Column) -> Column:
+    return F.when(F.size(cells) == 3, _rates_at(cells, 0, 1, 2))
+
+
+def table_row(text: Column, model: Column) -> Column:
+    """``struct<base, long>`` of a table row with 6 to 8 price cells after a model name.
+
+    Eight cells hold cache-write prices at the third and seventh place, which are left out.
+    """
+    cells = cells_after(text, model, rf"(?:\s*{CELL}){{6,8}}")
     eight = F.size(cells) >= 8
-    base = F.when(eight, at(0, 1, 3)).otherwise(at(0, 1, 2))
-    long = F.when(eight, at(4, 5, 7)).otherwise(at(3, 4, 5))
-    some = long["input_rate"].isNotNull() | long["cached_rate"].isNotNull() | long["output_rate"].isNotNull()
+    base = F.when(eight, _rates_at(cells, 0, 1, 3)).otherwise(_rates_at(cells, 0, 1, 2))
+    long = F.when(eight, _rates_at(cells, 4, 5, 7)).otherwise(_rates_at(cells, 3, 4, 5))
+    some = F.coalesce(long["input_rate"], long["cached_rate"], long["output_rate"]).isNotNull()
     return F.when(F.size(cells) >= 6, F.struct(base.alias("base"), F.when(some, long).alias("long")))
 
 
 def three_cells(text: Column, model: Column) -> Column:
     """Rates of a row of three cells right after a model name, or null."""
-    hit = F.regexp_substr(text, F.concat(F.lit("(?i)"), _quoted(model), F.lit(r"\s+(?:\$[0-9.]+|-)\s+(?:\$[0-9.]+|-)\s+(?:\$[0-9.]+|-)")))
-    cell = r"(\$[0-9.]+|-)\s+(\$[0-9.]+|-)\s+(\$[0-9.]+|-)$"
-    return F.when(hit.isNotNull(), rates(money(hit, cell, 1), money(hit, cell, 2), money(hit, cell, 3)))
+    return _three(cells_after(text, model, rf"(?:\s+{CELL}){{3}}"))
 
 
 def cells_near_label(text: Column, label: Column) -> Column:
     """Rates of the first three cells within 120 characters after a label that stands alone, or null."""
-    price = "(?:\\$[0-9.]+|-|—)"
-    hit = F.regexp_substr(
-        text, F.concat(F.lit("(?is)(?<![A-Za-z0-9.])"), _quoted(label), F.lit(rf"(?![A-Za-z0-9.-]).{{0,120}}?{price}\s+{price}\s+{price}"))
-    )
-    cell = "(\\$[0-9.]+|-|—)\\s+(\\$[0-9.]+|-|—)\\s+(\\$[0-9.]+|-|—)$"
-    return F.when(hit.isNotNull(), rates(money(hit, cell, 1), money(hit, cell, 2), money(hit, cell, 3)))
+    return _three(cells_after(text, label, rf"{DASHED}(?:\s+{DASHED}){{2}}", DASHED, before=r"(?<![A-Za-z0-9.])", after=r"(?![A-Za-z0-9.-]).{0,120}?"))
