@@ -27,11 +27,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near duplicates the document with the least id stays."""
-    found = jaccard.near_duplicates(docs, threshold=0.8, size=5)
-    stays = found.filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
-    return kept.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    """Of every class of near duplicates the document with the least id stays; documents without an id all stay."""
+    named = docs.filter(F.col("doc_id").isNotNull())
+    found = jaccard.near_duplicates(named, threshold=0.8, size=5)
+    stays = found.filter("class_id = doc_id").select("doc_id").distinct()
+    kept = named.select("doc_id", F.struct(*COLUMNS).alias("row")).join(stays, "doc_id", "left_semi")
+    # Rows that share an id are in one class: the least of them stays. The rows of an id already lie together here.
+    once = kept.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
+    return once.unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

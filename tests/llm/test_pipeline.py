@@ -53,6 +53,17 @@ def test_stages_against_plain_definitions(spark, tmp_path):
         assert kept
 
 
+def test_repeated_rows_and_null_ids_in_every_stage(spark, tmp_path):
+    text = "der und die nicht mit das ist ein " * 3
+    data = [(1, text, "de", "a", 1), (1, text, "de", "a", 1), (2, text + "x", "de", "a", 1), (None, "one more text of its own here", "en", None, None), (None, None, None, None, None), (3, "", None, "a", 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "not found anywhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() >= 0
+    once = corpus_pipeline.jaccard_join(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in once) == ["1", "3", "None", "None"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
