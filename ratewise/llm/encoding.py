@@ -1,8 +1,8 @@
 """Token ids of whole texts with a tokenizers file, each distinct unit of a task encoded once.
 
 The tokenizer drops white space and never merges across it, so a text's ids are the ids of its white-space units in a row.
-A full stop or comma after an ASCII letter at a unit's end is a unit of its own, and ASCII case does not matter to a
-lower-casing tokenizer; both only make units repeat more often. Special strings keep their meaning: a slice of texts that holds
+One or two marks of ``.,;:!?`` after a letter at a unit's end are a unit of their own (letters and marks are never in one word of
+the tokenizer), and ASCII case does not matter to a lower-casing tokenizer; both only make units repeat more often. Special strings keep their meaning: a slice of texts that holds
 ``<|`` is split at white space alone, case kept.
 """
 
@@ -18,6 +18,19 @@ CACHE = 2_000_000
 JOIN = 400
 
 
+def worker_encoder(path: str) -> UnitEncoder:
+    """The encoder of this Python worker, so that units seen by earlier tasks of the worker are not encoded again.
+
+    Functions travel to the workers by value with globals of their own, so it is kept at a module that every worker has.
+    """
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_worker_encoders", {})
+    if path not in held:
+        held[path] = UnitEncoder(path)
+    return held[path]
+
+
 class UnitEncoder:
     """Ids of slices of texts; holds the ids of units seen so far, up to ``CACHE`` units."""
 
@@ -33,9 +46,13 @@ class UnitEncoder:
         lower = W.spaced()
         lower[65:91] += 32
         self.fold = W.Splitter(lower)
-        letter = np.zeros(256, bool)
-        letter[65:91] = letter[97:123] = True
-        self.letter = letter
+        self.letter, self.mark = np.zeros(256, bool), np.zeros(256, bool)
+        self.letter[65:91] = self.letter[97:123] = True
+        self.mark[list(b".,;:!?")] = True
+        # Second bytes of the letters U+00C0 to U+00FF, whose first byte is 0xC3.
+        self.second = np.zeros(256, bool)
+        self.second[0x80:0xC0] = True
+        self.second[[0x97, 0xB7]] = False
         self._reset()
 
     def _reset(self) -> None:
@@ -47,11 +64,17 @@ class UnitEncoder:
         starts, ends = found.starts, found.ends
         if b"<|" in data.tobytes():
             return starts, ends, found.hashes, found.offsets
-        last = data[ends - 1]
-        cut = ends[((last == 0x2E) | (last == 0x2C)) & (ends - starts > 1) & self.letter[data[np.maximum(ends - 2, 0)]]] - 1
+        cut = np.concatenate([ends[self._closed(data, starts, ends, k)] - k for k in (1, 2)])
         starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
         return starts, ends, self.fold.hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
+    def _closed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: int) -> np.ndarray:
+        """Units that end in exactly so many marks after a letter."""
+        at = lambda k: data[np.maximum(ends - k, 0)]
+        long = ends - starts > marks
+        letter = self.letter[at(marks + 1)] | (self.second[at(marks + 1)] & (at(marks + 2) == 0xC3) & (ends - starts > marks + 1))
+        return long & letter & np.logical_and.reduce([self.mark[at(k)] for k in range(1, marks + 1)])
+
     def _encode(self, units: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(units)
         plain = [i for i, u in enumerate(units) if u.isalpha()]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ratewise.llm import words as W
-from ratewise.llm.encoding import UnitEncoder
+from ratewise.llm.encoding import worker_encoder
 
 MAGIC = b"RWIDS01\n"
 HEAD, TAIL = "<8s32sQ", "<QQ"
@@ -127,7 +127,7 @@ def _write(root: str, digest: str, tokenizer: str, end_id: int, width: int):
             docs = batch.column("doc").to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in W.slices(batch.column("text"), SLICE):
                 if writer is None:
-                    writer, encoder = ShardWriter(root, digest, width), UnitEncoder(tokenizer)
+                    writer, encoder = ShardWriter(root, digest, width), worker_encoder(tokenizer)
                 ids, ends = encoder.encode(data, offsets)
                 for i in range(hi - lo):
                     writer.add(int(docs[lo + i]), np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)))
@@ -146,14 +146,17 @@ def write_ids(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1, id_co
 
     A null text is empty (its ids are the end id alone); a null id comes first, stored as the least 64-bit number; rows that share
     an id lie in the order of their texts' hashes. An empty table has an empty manifest. ``root`` must be a folder or URI
-    all executors reach. The dictionary is trained on the ``SAMPLE_ROWS`` documents of the least id hash, the
+    all executors reach. The dictionary is trained on about ``SAMPLE_ROWS`` documents drawn by hash, the
     first ``SAMPLE_CHARS`` characters of each; it changes sizes, never ids.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    encoder = UnitEncoder(tokenizer)
+    encoder = worker_encoder(tokenizer)
     width = 2 if len(encoder.closes) <= 1 << 16 else 4
-    sample = texts.select(F.xxhash64("doc").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE_ROWS).collect()
+    chance = SAMPLE_ROWS / max(SAMPLE_ROWS, docs.count())
+    drawn = F.pmod(F.xxhash64("doc", F.xxhash64("text")), F.lit(1 << 30)) < int(chance * (1 << 30))
+    sample = texts.filter(drawn).select("doc", F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE_ROWS).collect()
+    sample.sort(key=lambda r: (r["doc"], r["text"]))
     arrays = []
     for _, _, data, offsets in W.slices(pa.array([r["text"] for r in sample], pa.string()), SLICE):
         ids, ends = encoder.encode(data, offsets)
