@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ratewise.functions.text import header_key, header_name, strip
+from ratewise.session import cut_lineage
 
 RULES = ("two", "three", "header")
 CANDIDATES = {"two": [";", ","], "three": [";", ",", "\t"], "header": [";", ","]}
@@ -40,7 +41,8 @@ def scan_delimited(spark: SparkSession, paths: str | list[str], rule: str = "two
     One pass per candidate delimiter, keeping the files sniffed with it, so file lists never pass through the driver.
     Of equal headers the first counts. ``multi_line`` reads quoted line breaks (a file is then one task).
     """
-    sniffed = header_lines(spark, paths).withColumn("sep", delimiter_of(F.col("header"), rule))
+    # One row per file, read by every pass below: sniffed once.
+    sniffed = cut_lineage(header_lines(spark, paths).withColumn("sep", delimiter_of(F.col("header"), rule)), "sniffed")
     counts = [F.max(F.regexp_count("header", F.lit(s if s != "\t" else "\\t"))) for s in CANDIDATES[rule]]
     width = max([c or 0 for c in sniffed.agg(*counts).head()] or [0]) + 1
     schema = ", ".join(f"c{i} string" for i in range(width))
