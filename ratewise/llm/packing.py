@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ratewise.llm import words as W
-from ratewise.llm.encoding import UnitEncoder
+from ratewise.llm.encoding import worker_encoder
+from ratewise.session import cut_lineage
 
 SHARD_DOCS = 4096
 SLICE = 2 << 20
@@ -91,7 +92,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, k
     """Ids of every whole text, counted, with ``added`` closing ids, and the columns to keep; a null text is empty."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in batches:
             for lo, hi, data, offsets in W.slices(batch.column("text"), SLICE):
                 n = encoder.lengths(data, offsets) + added
@@ -106,5 +107,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, k
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Packs documents by their token counts; no bin holds two texts of one source or two copies of one text."""
-    copies = docs.withColumn("__copy", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return pack(token_lengths(copies, tokenizer, id_col, text_col, [source_col, "__copy"]), capacity, [source_col, "__copy"], id_col)
+    copies = docs.select(F.col(id_col), F.col(text_col), F.col(source_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("copy_of_text"))
+    # The lengths are counted and then dealt out: written once, the texts are encoded once.
+    lengths = cut_lineage(token_lengths(copies, tokenizer, id_col, text_col, [source_col, "copy_of_text"]), "lengths")
+    return pack(lengths, capacity, [source_col, "copy_of_text"], id_col)
