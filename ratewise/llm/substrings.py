@@ -1,11 +1,11 @@
 """Repeated word windows across and within documents, found level by level with doubled window lengths.
 
-Level 1 takes windows of half the asked length. Of any ``window`` consecutive words exactly one short window is chosen,
-the one with the least hash (leftmost on ties), so equal passages choose equal short windows, and only the chosen ones,
-about one in six, are counted over the corpus. Only short windows that repeat are extended. Level 2 extends a short
-window to the run of all full windows that chose it; a run that an earlier document holds as a whole is decided at
-once. Level 3 compares the single full windows of the remaining runs, those whose first holder the document is. After it no
-candidate is left.
+The first level takes short windows, by default of half the asked length. Of any ``window`` consecutive words exactly one short
+window is chosen, the one with the least hash (leftmost on ties), so equal passages choose equal short windows, and only the
+chosen ones, about one in six, are counted over the corpus. Full windows whose short window repeats are looked at again with
+twice its length, and so on until the full length is reached or no candidate survives. At the last level the full windows
+that chose one short window form a run; a run that an earlier document holds as a whole is decided at once, and
+the single full windows are compared in the remaining runs, those whose first holder the document is.
 
 Every level is one aggregation by hash (count, least document) whose partial sums are made before the shuffle; its
 outcome goes back to one owner document each. No level joins on a hash, so a passage in a third of all documents
@@ -26,27 +26,31 @@ NO_ID = -(1 << 63)
 
 
 class Runs:
-    """Chosen short windows of the texts of one slice: word position, first and last full window, hashes."""
+    """Chosen short windows of the texts of one slice: first and last full window, hashes.
 
-    def __init__(self, words: W.Words, window: int):
-        short = window // 2
+    ``lengths`` are the levels so far; ``single`` holds hashes of short windows that do not repeat, of all levels but the last.
+    """
+
+    def __init__(self, words: W.Words, window: int, lengths: list[int], single: np.ndarray):
         h = words.hashes
-        self.full = W.inside_texts(words.offsets, window)
-        halves = W.windows(h, short)
-        if len(self.full) == 0:
-            self.at = self.first = self.last = self.text = np.empty(0, np.int64)
-            self.short = self.run = self.long = np.empty(0, W.U)
-            return
-        least, chosen = halves[self.full].copy(), self.full.copy()
-        for step in range(1, window - short + 1):
-            other = halves[self.full + step]
-            smaller = other < least
-            np.copyto(least, other, where=smaller)
-            np.copyto(chosen, self.full + step, where=smaller)
-        begins = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-        self.at = chosen[begins]
-        self.first = self.full[begins]
-        self.last = self.full[np.concatenate([begins[1:] - 1, [len(self.full) - 1]])]
+        full = W.inside_texts(words.offsets, window)
+        least = chosen = np.empty(0, W.U)
+        for level, length in enumerate(lengths):
+            if level:
+                full = full[~np.isin(least, single)]
+            short = W.windows(h, length)
+            least, chosen = short[full], full.copy()
+            for step in range(1, window - length + 1):
+                other = short[full + step]
+                smaller = other < least
+                np.copyto(least, other, where=smaller)
+                np.copyto(chosen, full + step, where=smaller)
+            least = W.joined(least, np.full(len(least), length, W.U))  # keeps the levels apart
+        new = np.ones(len(full), bool)
+        new[1:] = (chosen[1:] != chosen[:-1]) | (full[1:] != full[:-1] + 1)
+        begins = np.flatnonzero(new)
+        self.first = full[begins]
+        self.last = full[np.append(begins[1:], len(full))[: len(begins)] - 1]
         self.text = np.searchsorted(words.offsets, self.first, "right") - 1
         self.long = W.windows(h, window)
         self.short = least[begins]
@@ -75,45 +79,47 @@ def _emit(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(W.signed(a)), pa.array(W.signed(b)), pa.array(doc)], names=["a", "b", "doc"])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], window: int):
+def _slices(batches: Iterator[pa.RecordBatch], window: int, lengths: list[int]):
     import pyarrow.compute  # noqa: F401  (loads pa.compute)
 
     split = W.Splitter(W.spaced())
     for batch in batches:
         docs = batch.column("doc").to_numpy(zero_copy_only=False)
+        known = [c for c in batch.schema.names if c.startswith("single")]
         for lo, hi, data, offsets in W.slices(batch.column("text")):
             found = split(data, offsets)
-            yield batch, lo, hi, docs[lo:hi], found, Runs(found, window)
+            single = np.concatenate([np.empty(0, W.U), *[_lists(batch, c, lo, hi)[1] for c in known]])
+            yield batch, lo, hi, docs[lo:hi], found, Runs(found, window, lengths, single), single
 
 
-def _short_windows(window: int):
+def _short_windows(window: int, lengths: list[int]):
     def emit(batches):
-        for _, _, _, docs, _, runs in _slices(batches, window):
+        for _, _, _, docs, _, runs, _ in _slices(batches, window, lengths):
             yield _emit(docs[runs.text], runs.short, runs.short)
 
     return emit
 
 
-def _whole_runs(window: int):
+def _whole_runs(window: int, lengths: list[int]):
     def emit(batches):
-        for batch, lo, hi, docs, _, runs in _slices(batches, window):
-            left = ~np.isin(runs.short, _lists(batch, "single", lo, hi)[1])
+        for _, _, _, docs, _, runs, single in _slices(batches, window, lengths):
+            left = ~np.isin(runs.short, single)
             yield _emit(docs[runs.text[left]], runs.short[left], runs.run[left])
 
     return emit
 
 
-def _owned(runs: Runs, batch: pa.RecordBatch, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+def _owned(runs: Runs, single: np.ndarray, batch: pa.RecordBatch, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Which runs repeat in part, and which of them the document is the first to hold as a whole."""
-    left = ~np.isin(runs.short, _lists(batch, "single", lo, hi)[1])
+    left = ~np.isin(runs.short, single)
     own = np.isin(_within(runs.text, runs.run), _within(*_lists(batch, "own_run", lo, hi)))
     return left, own
 
 
-def _full_windows(window: int):
+def _full_windows(window: int, lengths: list[int]):
     def emit(batches):
-        for batch, lo, hi, docs, _, runs in _slices(batches, window):
-            left, own = _owned(runs, batch, lo, hi)
+        for batch, lo, hi, docs, _, runs, single in _slices(batches, window, lengths):
+            left, own = _owned(runs, single, batch, lo, hi)
             which, starts = runs.full_windows(np.flatnonzero(left & own))
             yield _emit(docs[runs.text[which]], runs.short[which], runs.long[starts])
 
@@ -136,10 +142,10 @@ def joined_words(words: W.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, closing - np.concatenate([[0], np.cumsum(np.diff(kept) > 0)])
 
 
-def _kept(window: int, passed: list[str]):
+def _kept(window: int, lengths: list[int], passed: list[str]):
     def emit(batches):
-        for batch, lo, hi, _, found, runs in _slices(batches, window):
-            left, own = _owned(runs, batch, lo, hi)
+        for batch, lo, hi, _, found, runs, single in _slices(batches, window, lengths):
+            left, own = _owned(runs, single, batch, lo, hi)
             which, starts = runs.full_windows(np.flatnonzero(left))
             keys = _within(runs.text[which], runs.long[starts])
             again = np.ones(len(keys), bool)
@@ -167,7 +173,7 @@ def _first_holders(found: DataFrame, name: str) -> DataFrame:
     return first.groupBy("doc").agg(F.collect_list("b").alias(name))
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, start: int | None = None) -> DataFrame:
     """Documents without the words that lie in a ``window``-word passage which starts earlier in the corpus as well.
 
     Returns the id, the text as it was, the columns named in ``keep``, ``n_words``, ``n_removed`` and ``kept``: the kept
@@ -175,22 +181,26 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     Earlier means a smaller id, or the same document and an earlier start; windows are judged on the input. Words are
     runs of non-white-space bytes. A null or empty text has no words and an empty ``kept``; a null id counts as smaller than
     all others; rows that share an id are judged against other ids and, each by itself, against their own start.
-    Texts of fewer than ``window`` words stay whole. Other columns are not read, and names may clash with those used here.
+    Texts of fewer than ``window`` words stay whole. ``start`` is the first level's length (half the window if not given); a
+    smaller one adds levels, which pays where most short windows repeat but long ones do not. Other columns are not read, and names may clash with those used here.
     """
-    if window < 2 or window % 2:
-        raise ValueError("window must be even")
+    start = start or window // 2
+    lengths = [start << k for k in range(window.bit_length()) if start << k < window]
+    if not lengths:
+        raise ValueError("the first level must be shorter than the window")
     keep = keep or []
     kept = F.struct(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     texts = docs.select(kept.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     row = "a long, b long, doc long"
-    short = texts.select("doc", "text").mapInArrow(_short_windows(window), row)
-    single = short.groupBy("a").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).filter("n = 1")
-    single = single.groupBy("doc").agg(F.collect_list("a").alias("single"))
-    with_single = texts.join(single, "doc", "left")
-    own_run = _first_holders(with_single.mapInArrow(_whole_runs(window), row), "own_run")
-    with_runs = with_single.join(own_run, "doc", "left")
-    own_window = _first_holders(with_runs.mapInArrow(_full_windows(window), row), "own_window")
+    found = texts
+    for level in range(len(lengths)):
+        short = found.mapInArrow(_short_windows(window, lengths[: level + 1]), row)
+        single = short.groupBy("a").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).filter("n = 1")
+        found = found.join(single.groupBy("doc").agg(F.collect_list("a").alias(f"single{level}")), "doc", "left")
+    own_run = _first_holders(found.mapInArrow(_whole_runs(window, lengths), row), "own_run")
+    with_runs = found.join(own_run, "doc", "left")
+    own_window = _first_holders(with_runs.mapInArrow(_full_windows(window, lengths), row), "own_window")
     done = with_runs.join(own_window, "doc", "left")
     schema = f"row {texts.schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string"
-    out = done.mapInArrow(_kept(window, ["row", "text"]), schema)
+    out = done.mapInArrow(_kept(window, lengths, ["row", "text"]), schema)
     return out.select(F.col("row.id").alias(id_col), F.col("text").alias(text_col), *[F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", "kept")

@@ -56,11 +56,11 @@ def removed(docs, window):
     return out
 
 
-@pytest.mark.parametrize("window", [20, 6])
-def test_substring_dedup(spark, window):
+@pytest.mark.parametrize("window, start", [(20, None), (6, None), (20, 4), (7, 2)])
+def test_substring_dedup(spark, window, start):
     data = rows(2)
     data += [(None, *data[3][1:]), data[9], data[9], (5_000, "la " * 70, *data[0][2:])]
-    got = substrings.remove_repeats(frame(spark, data), window, keep=["n_words", "row"]).toDF("doc_id", "text", "clash", "clash2", "n_words", "n_removed", "kept").collect()
+    got = substrings.remove_repeats(frame(spark, data), window, keep=["n_words", "row"], start=start).toDF("doc_id", "text", "clash", "clash2", "n_words", "n_removed", "kept").collect()
     want = removed([(-1 if r[0] is None else r[0], r[1]) for r in data], window)
     want = sorted((repr(data[i][0]), repr(data[i][1]), "clash", n, n - len(kept), " ".join(kept)) for i, (n, kept) in want.items())
     assert sorted((repr(r.doc_id), repr(r.text), r.clash, r.n_words, r.n_removed, r.kept) for r in got) == want
@@ -70,7 +70,7 @@ def test_substring_dedup(spark, window):
 def test_substring_dedup_of_nothing(spark):
     assert substrings.remove_repeats(frame(spark, []), 20).count() == 0
     with pytest.raises(ValueError):
-        substrings.remove_repeats(frame(spark, []), 7)
+        substrings.remove_repeats(frame(spark, []), 7, start=7)
 
 
 def contaminated(text, items, window):
