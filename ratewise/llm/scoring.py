@@ -6,8 +6,8 @@ document's score is the sum of the log-probabilities of its tokens.
 
 Training covers the whole corpus: every task counts its windows, Spark adds the counts up by window, and the network is
 fitted with numpy on the counted windows. Each round every worker shard starts from the same weights, goes over its windows
-once, and returns its weights, which are averaged; only ``workers`` sets of weights of a fixed size reach the driver. Scoring
-evaluates each distinct window of a slice once.
+once, batch by batch as they arrive, and returns its weights, which are averaged; at most ``MOST_WORKERS`` sets of weights of
+a fixed size (0.13 MB) reach the driver. Scoring evaluates each distinct window of a slice once.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ RADIUS = 2
 HIDDEN = 24
 OUTSIDE = 256  # stands for a place before or after the text
 SLICE = 4 << 20
-WORKERS = 24
+WINDOWS_PER_WORKER = 50_000
+MOST_WORKERS = 256
 ROUNDS = 4
 BATCH = 512
 RATE = 0.02
@@ -133,24 +134,32 @@ def count_windows(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
     return texts.select("text").mapInArrow(emit, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def train(counted: DataFrame, network: Network, rounds: int = ROUNDS, workers: int = WORKERS, batch: int = BATCH, rate: float = RATE) -> Network:
-    """Rounds of local passes and averaging, weighted by each worker's tokens; without windows the network stays as it is."""
-    shards = cut_lineage(counted.repartition(workers, "code").sortWithinPartitions("code"), "windows")
+def train(counted: DataFrame, network: Network, rounds: int = ROUNDS, workers: int | None = None, batch: int = BATCH, rate: float = RATE) -> Network:
+    """Rounds of local passes and averaging, weighted by each worker's tokens; without windows the network stays as it is.
+
+    A worker sees its windows in the order of a hash, so every batch is a mixture, and holds one Arrow batch at a time.
+    """
+    counted = cut_lineage(counted, "counts")
+    workers = workers or min(MOST_WORKERS, max(1, -(-counted.count() // WINDOWS_PER_WORKER)))
+    mixed = F.xxhash64(F.lit(1), "code")
+    shards = cut_lineage(counted.repartition(workers, "code").sortWithinPartitions(mixed), "windows")
     for turn in range(rounds):
         start = network
 
         def fit(frames: Iterator[pd.DataFrame], start=start, turn=turn) -> Iterator[pd.DataFrame]:
-            rows = [(f["code"].to_numpy(np.int64), f["n"].to_numpy(np.float64)) for f in frames if len(f)]
-            if not rows:
-                return
-            codes, n = np.concatenate([r[0] for r in rows]).view(W.U), np.concatenate([r[1] for r in rows])
-            order = np.random.default_rng(turn).permutation(len(codes))
             own = start.shaped(start.flat().copy())
-            state = [np.zeros_like(x) for x in own.parts()]
-            for lo in range(0, len(order), batch):
-                at = order[lo : lo + batch]
-                own.step(codes[at], n[at], state, rate)
-            yield pd.DataFrame({"first": [int(codes[0])], "n": [float(n.sum())], "weights": [own.flat().astype(np.float32).tobytes()]})
+            state, total, first = [np.zeros_like(x) for x in own.parts()], 0.0, None
+            rng = np.random.default_rng(turn)
+            for frame in frames:
+                codes, n = frame["code"].to_numpy(np.int64), frame["n"].to_numpy(np.float64)
+                order = rng.permutation(len(codes))
+                for lo in range(0, len(order), batch):
+                    at = order[lo : lo + batch]
+                    own.step(codes[at].view(W.U), n[at], state, rate)
+                if len(codes):
+                    first, total = int(codes[0]) if first is None else first, total + float(n.sum())
+            if first is not None:
+                yield pd.DataFrame({"first": [first], "n": [total], "weights": [own.flat().astype(np.float32).tobytes()]})
 
         rows = shards.mapInPandas(fit, "first long, n double, weights binary").collect()
         if not rows:
