@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 WHOLE_LANES, WHOLE_BITS = 8, 32
 SIGN_LANES, SIGN_BITS = 128, 12
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 1_000
 MOST_BUCKETS = 1 << 16
 NO_ID = -(1 << 63)
 

@@ -148,7 +148,7 @@ def test_packing_documents(spark, tokenizer):
     assert {r[0]: r[1] for r in got} == {r[0]: len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in data}
 
 
-@pytest.mark.parametrize("bucket_rows", [4000, 7])
+@pytest.mark.parametrize("bucket_rows", [1000, 7])
 def test_edited_texts_and_likeness(spark, bucket_rows, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", bucket_rows)
     monkeypatch.setattr(fingerprints.with_next, "__defaults__", (bucket_rows,))
