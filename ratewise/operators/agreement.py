@@ -228,7 +228,6 @@ def agreement_summary(preds: DataFrame, runs: DataFrame, variant: str = "task")
 
     ``runs`` has ``run_id, run_stem, provider, model, started, accuracy`` and the variant column.
     """
-    parts = []
     repeat = runs.select("run_id", "run_stem", variant, "provider", "model", F.lit("repeat").alias("scope"))
     chosen = repeat
     for policy in POLICIES:
@@ -237,12 +236,11 @@ def agreement_summary(preds: DataFrame, runs: DataFrame, variant: str = "task")
             reps.select("run_id", "run_stem", variant, F.lit("").alias("provider"), F.lit("").alias("model"), F.lit(policy).alias("scope"))
         )
     group = ["scope", variant, "provider", "model"]
-    stems = chosen.groupBy(*group).agg(F.array_sort(F.collect_set("run_stem")).alias("run_stems"))
-    # Groups of one run have nothing to compare.
-    stems = stems.filter(F.size("run_stems") >= 2)
-    labels = preds.join(chosen.join(stems.select(*group), group, "left_semi").drop("run_stem"), "run_id")
-    parts = alpha_nominal(labels, group)
-    return stems.join(parts, group)
+    # Groups of one run have nothing to compare; two different stems are enough to see that a group has several.
+    several = chosen.groupBy(*group).agg(F.min("run_stem").alias("low"), F.max("run_stem").alias("high")).filter("low <> high").select(*group)
+    compared = chosen.join(several, group, "left_semi")
+    stems = compared.groupBy(*group).agg(F.array_sort(F.collect_set("run_stem")).alias("run_stems"))
+    return stems.join(alpha_nominal(preds.join(compared.drop("run_stem"), "run_id"), group), group)
 
 
 def with_agreement(runs: DataFrame, groups: DataFrame) -> DataFrame:
