@@ -26,7 +26,7 @@ from ratewise.session import cut_lineage
 RADIUS = 2
 HIDDEN = 24
 OUTSIDE = 256  # stands for a place before or after the text
-SLICE = 4 << 20
+SLICE = 2 << 20
 WINDOWS_PER_WORKER = 50_000
 MOST_WORKERS = 256
 ROUNDS = 4
@@ -39,9 +39,9 @@ def windows(data: np.ndarray, offsets: np.ndarray, radius: int = RADIUS) -> np.n
     n = len(data)
     padded = np.full(n + 2 * radius, OUTSIDE, W.U)
     padded[radius : radius + n] = data
-    at, lengths = np.arange(n), np.diff(offsets)
-    into = at - np.repeat(offsets[:-1], lengths)
-    left = np.repeat(offsets[1:], lengths) - at
+    at, lengths = np.arange(n, dtype=np.int32), np.diff(offsets)
+    into = at - np.repeat(offsets[:-1].astype(np.int32), lengths)
+    left = np.repeat(offsets[1:].astype(np.int32), lengths) - at
     code = np.zeros(n, W.U)
     for step in range(-radius, radius + 1):
         value = padded[radius + step : radius + step + n].copy()
