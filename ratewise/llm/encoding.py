@@ -14,7 +14,7 @@ import numpy as np
 
 from ratewise.llm import words as W
 
-CACHE = 2_000_000
+CACHE = 1_000_000  # units; about 25 bytes each
 JOIN = 400
 
 
@@ -56,8 +56,9 @@ class UnitEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.slots = np.empty(0, W.U), np.empty(0, np.int64)
-        self.begins, self.counts, self.ids, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 16, np.uint32), 0
+        narrow = np.uint16 if len(self.closes) <= 1 << 16 else np.uint32
+        self.keys, self.slots = np.empty(0, W.U), np.empty(0, np.int32)
+        self.begins, self.counts, self.ids, self.used = np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(1 << 16, narrow), 0
 
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         found = self.split(data, offsets)
@@ -97,12 +98,14 @@ class UnitEncoder:
         ids = self._encode(units)
         counts = np.array([len(x) for x in ids], np.int64)
         flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        if self.used + len(flat) > len(self.ids):
+            grown = np.empty((self.used + len(flat)) * 5 // 4, self.ids.dtype)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
         self.ids[self.used : self.used + len(flat)] = flat
-        slots = np.arange(len(keys)) + len(self.begins)
-        self.begins = np.concatenate([self.begins, self.used + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
+        slots = (np.arange(len(keys)) + len(self.begins)).astype(np.int32)
+        self.begins = np.concatenate([self.begins, (self.used + np.cumsum(counts) - counts).astype(np.uint32)])
+        self.counts = np.concatenate([self.counts, counts.astype(np.uint32)])
         self.used += len(flat)
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
@@ -126,13 +129,13 @@ class UnitEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a slice in a row, and the range of ids of each text."""
         slots, units = self.slots_of(data, offsets)
-        counts = self.counts[slots]
+        counts = self.counts[slots].astype(np.int64)
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(self.begins[slots] - (ends - counts), counts)
-        return self.ids[at], np.concatenate([[0], ends])[units]
+        at = np.arange(total) + np.repeat(self.begins[slots].astype(np.int64) - (ends - counts), counts)
+        return self.ids[at].astype(np.uint32), np.concatenate([[0], ends])[units]
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """How many ids each text of a slice has."""
         slots, units = self.slots_of(data, offsets)
-        return np.diff(np.concatenate([[0], np.cumsum(self.counts[slots])])[units])
+        return np.diff(np.concatenate([[0], np.cumsum(self.counts[slots], dtype=np.int64)])[units])

@@ -30,7 +30,7 @@ HEAD, TAIL = "<8s32sQ", "<QQ"
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 1_000
 SAMPLE_CHARS = 20_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 NO_ID = -(1 << 63)
 MANIFEST = "shard int, name string, first long, last long, docs long, ids long"
 

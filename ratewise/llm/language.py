@@ -21,7 +21,7 @@ from ratewise.llm import words as W
 from ratewise.session import cut_lineage
 
 SPAN = 40  # longer words are scored in spans of so many bytes
-SLICE = 4 << 20
+SLICE = 1 << 20
 ROUNDS = 3
 SMOOTHING = 0.1
 LEAST = 1e-7

@@ -22,7 +22,7 @@ from ratewise.llm.encoding import worker_encoder
 from ratewise.session import cut_lineage
 
 SHARD_DOCS = 4096
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def best_fit(lengths: list[int], marks: list[int], capacity: int) -> list[tuple[int, int]]:
