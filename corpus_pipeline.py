@@ -27,13 +27,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near duplicates the document with the least id stays; documents without an id all stay."""
-    named = docs.filter(F.col("doc_id").isNotNull())
-    found = jaccard.near_duplicates(named, threshold=0.8, size=5)
-    stays = found.filter("class_id = doc_id").select("doc_id").distinct()
-    kept = named.select("doc_id", F.struct(*COLUMNS).alias("row")).join(stays, "doc_id", "left_semi")
-    # Rows that share an id are in one class: the least of them stays. The rows of an id already lie together here.
-    once = kept.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
+    """Of every class of near duplicates the row with the least id stays; rows without an id all stay.
+
+    Rows that share an id are judged by their own texts; of rows with the same id and text the least stays.
+    """
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("key", F.xxhash64("doc_id", "text"))
+    found = jaccard.near_duplicates(named, threshold=0.8, size=5, id_col="key")
+    ids = named.select("key", "doc_id").distinct()
+    classes = found.select("key", "class_id").distinct().join(ids, "key")
+    stays = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("least.*")
+    kept = named.select("key", "doc_id", "text", F.struct(*COLUMNS).alias("row")).join(stays.select("key"), "key", "left_semi")
+    # The rows of a key already lie together here.
+    once = kept.groupBy("key", "doc_id", "text").agg(F.min("row").alias("row")).select("row.*")
     return once.unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
@@ -46,10 +51,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words at least one in twenty lies in a 13-word window of the benchmark go."""
-    found = contamination.contamination(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
-    bad = found.filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(*COLUMNS)
+    """Rows of whose words at least one in twenty lies in a 13-word window of the benchmark go, whatever their ids.
+
+    The verdict is a function of the text alone, so rows are named by their texts' hashes.
+    """
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    found = contamination.contamination(spark, keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, id_col="key")
+    bad = found.filter("contaminated").select("key").distinct()
+    return keyed.join(bad, "key", "left_anti").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,21 @@ def test_repeated_rows_and_null_ids_in_every_stage(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in once) == ["1", "3", "None", "None"]
 
 
+def test_rows_without_or_with_a_shared_id_are_judged_by_themselves(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(30))
+    clean = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    named = lambda pairs: spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in pairs], schema)
+    left = lambda df: sorted((repr(r.doc_id), r.text) for r in df.collect())
+    data = [(None, item), (None, clean[0]), (7, item), (7, clean[1]), (8, clean[2])]
+    assert left(corpus_pipeline.decontamination(spark, named(data), str(tmp_path))) == [("7", clean[1]), ("8", clean[2]), ("None", clean[0])]
+    # Namesakes with texts of their own stay, also where one of them is a copy of an earlier row; equal rows stay once.
+    data = [(1, clean[0]), (2, clean[0]), (2, clean[1]), (3, clean[2]), (3, clean[3]), (3, clean[3]), (None, clean[0])]
+    want = [("1", clean[0]), ("2", clean[1]), ("3", clean[2]), ("3", clean[3]), ("None", clean[0])]
+    assert left(corpus_pipeline.jaccard_join(spark, named(data), str(tmp_path))) == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
