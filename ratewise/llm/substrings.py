@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ratewise.llm import words as W
 
-NO_ID = -(1 << 63)
+# Which document is earlier: rows without an id, by the hash of their text, then ids; the last part names the document.
+ORDER = ["named", "at", "doc"]
+ROW = "a long, b long, named byte, at long, doc long"
 
 
 class Runs:
@@ -75,8 +77,8 @@ def _lists(batch: pa.RecordBatch, name: str, lo: int, hi: int) -> tuple[np.ndarr
     return np.repeat(np.arange(hi - lo), lengths), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(W.U)
 
 
-def _emit(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(W.signed(a)), pa.array(W.signed(b)), pa.array(doc)], names=["a", "b", "doc"])
+def _emit(docs: list[np.ndarray], text: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(W.signed(a)), pa.array(W.signed(b)), *[pa.array(c[text]) for c in docs]], names=["a", "b", *ORDER])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], window: int, lengths: list[int]):
@@ -84,18 +86,18 @@ def _slices(batches: Iterator[pa.RecordBatch], window: int, lengths: list[int]):
 
     split = W.Splitter(W.spaced())
     for batch in batches:
-        docs = batch.column("doc").to_numpy(zero_copy_only=False)
+        docs = [batch.column(c).to_numpy(zero_copy_only=False) for c in ORDER]
         known = [c for c in batch.schema.names if c.startswith("single")]
         for lo, hi, data, offsets in W.slices(batch.column("text")):
             found = split(data, offsets)
             single = np.concatenate([np.empty(0, W.U), *[_lists(batch, c, lo, hi)[1] for c in known]])
-            yield batch, lo, hi, docs[lo:hi], found, Runs(found, window, lengths, single), single
+            yield batch, lo, hi, [c[lo:hi] for c in docs], found, Runs(found, window, lengths, single), single
 
 
 def _short_windows(window: int, lengths: list[int]):
     def emit(batches):
         for _, _, _, docs, _, runs, _ in _slices(batches, window, lengths):
-            yield _emit(docs[runs.text], runs.short, runs.short)
+            yield _emit(docs, runs.text, runs.short, runs.short)
 
     return emit
 
@@ -104,7 +106,7 @@ def _whole_runs(window: int, lengths: list[int]):
     def emit(batches):
         for _, _, _, docs, _, runs, single in _slices(batches, window, lengths):
             left = ~np.isin(runs.short, single)
-            yield _emit(docs[runs.text[left]], runs.short[left], runs.run[left])
+            yield _emit(docs, runs.text[left], runs.short[left], runs.run[left])
 
     return emit
 
@@ -121,7 +123,7 @@ def _full_windows(window: int, lengths: list[int]):
         for batch, lo, hi, docs, _, runs, single in _slices(batches, window, lengths):
             left, own = _owned(runs, single, batch, lo, hi)
             which, starts = runs.full_windows(np.flatnonzero(left & own))
-            yield _emit(docs[runs.text[which]], runs.short[which], runs.long[starts])
+            yield _emit(docs, runs.text[which], runs.short[which], runs.long[starts])
 
     return emit
 
@@ -169,7 +171,7 @@ def _kept(window: int, lengths: list[int], passed: list[str]):
 
 def _first_holders(found: DataFrame, name: str) -> DataFrame:
     """For each document the hashes it is the first to hold."""
-    first = found.groupBy("a", "b").agg(F.min("doc").alias("doc"))
+    first = found.groupBy("a", "b").agg(F.min(F.struct(*ORDER)).alias("least")).select("b", "least.doc")
     return first.groupBy("doc").agg(F.collect_list("b").alias(name))
 
 
@@ -180,7 +182,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     words, one space between them.
     Earlier means a smaller id, or the same document and an earlier start; windows are judged on the input. Words are
     runs of non-white-space bytes. A null or empty text has no words and an empty ``kept``; a null id counts as smaller than
-    all others; rows that share an id are judged against other ids and, each by itself, against their own start.
+    all others. Every row without an id is a document of its own, and so are the different texts of one id: they are ordered by a
+    hash of the text. Rows of one id and text are one document, each judged by itself against its own start.
     Texts of fewer than ``window`` words stay whole. ``start`` is the first level's length (half the window if not given); a
     smaller one adds levels, which pays where most short windows repeat but long ones do not. Other columns are not read, and names may clash with those used here.
     """
@@ -190,16 +193,18 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         raise ValueError("the first level must be shorter than the window")
     keep = keep or []
     kept = F.struct(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-    texts = docs.select(kept.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    row = "a long, b long, doc long"
+    # Equal rows without an id are told apart by their place; which of them counts as the first does not show in the texts kept.
+    given, digest = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
+    name = F.when(given.isNull(), F.xxhash64(digest, F.monotonically_increasing_id())).otherwise(F.xxhash64(digest, given, F.lit(1)))
+    texts = docs.select(kept.alias("row"), given.isNotNull().cast("byte").alias("named"), F.coalesce(given, digest).alias("at"), name.alias("doc"), F.col(text_col).alias("text"))
     found = texts
     for level in range(len(lengths)):
-        short = found.mapInArrow(_short_windows(window, lengths[: level + 1]), row)
+        short = found.mapInArrow(_short_windows(window, lengths[: level + 1]), ROW)
         single = short.groupBy("a").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).filter("n = 1")
         found = found.join(single.groupBy("doc").agg(F.collect_list("a").alias(f"single{level}")), "doc", "left")
-    own_run = _first_holders(found.mapInArrow(_whole_runs(window, lengths), row), "own_run")
+    own_run = _first_holders(found.mapInArrow(_whole_runs(window, lengths), ROW), "own_run")
     with_runs = found.join(own_run, "doc", "left")
-    own_window = _first_holders(with_runs.mapInArrow(_full_windows(window, lengths), row), "own_window")
+    own_window = _first_holders(with_runs.mapInArrow(_full_windows(window, lengths), ROW), "own_window")
     done = with_runs.join(own_window, "doc", "left")
     schema = f"row {texts.schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string"
     out = done.mapInArrow(_kept(window, lengths, ["row", "text"]), schema)

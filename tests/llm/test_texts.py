@@ -67,6 +67,21 @@ def test_substring_dedup(spark, window, start):
     assert any(r.n_removed for r in got)
 
 
+def test_passages_of_rows_without_or_with_a_shared_id(spark):
+    rng = np.random.default_rng(5)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage, other = some(25), some(25)
+    texts = [(None, f"{some(5)} {passage} {some(5)}"), (None, f"{some(7)} {passage}"), (7, f"{some(3)} {other}"), (7, f"{other} {some(9)}"), (8, other)]
+    texts += [(None, some(30))] * 3
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = substrings.remove_repeats(docs, 20).collect()
+    assert len(got) == len(texts)
+    # Exactly one row holds each passage, and one of the three copies stays.
+    assert sorted(r.n_removed for r in got) == [0, 0, 0, 25, 25, 25, 30, 30]
+    assert sum(passage in r.kept for r in got) == sum(other in r.kept for r in got) == 1
+    assert next(r.n_removed for r in got if r.doc_id == 8) == 25
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substrings.remove_repeats(frame(spark, []), 20).count() == 0
     with pytest.raises(ValueError):
