@@ -1,8 +1,8 @@
 """Homomorphic document fingerprints, in DataFrame functions only.
 
 A fingerprint is the sum of one wide vector per paragraph, lane by lane modulo a power of two. The first lanes hold hashes of whole
-paragraphs modulo 2^32: equal multisets of paragraphs have equal sums in any order. The other lanes hold +1 or -1 per sentence of a
-paragraph modulo 2^12: the cosine of two such sums estimates how much of the text two documents share. Sums can be
+paragraphs modulo 2^32: equal multisets of paragraphs have equal sums in any order. The other lanes hold +1 or -1 per sentence and
+per three consecutive words of a paragraph, modulo 2^32: the cosine of two such sums estimates how much of the text two documents share. Sums can be
 added and taken away, so inserting or deleting paragraphs needs only the paragraphs concerned.
 """
 
@@ -12,13 +12,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 WHOLE_LANES, WHOLE_BITS = 8, 32
-SIGN_LANES, SIGN_BITS = 128, 12
+SIGN_LANES, SIGN_BITS = 128, 32
+SHORT_BITS = 12  # of a sign lane in the digest, as long as all of them fit
+CHUNK = 127  # hashes whose bits a byte counts without a sign overflow
 BUCKET_ROWS = 1_000
 MOST_BUCKETS = 1 << 16
 NO_ID = -(1 << 63)
 
 PARAGRAPHS = r"filter(split(coalesce(`{text}`, ''), '[\\r\\n]+'), p -> p <> '')"
 SENTENCES = r"flatten(transform({paragraphs}, p -> split(p, '(?<=[.!?])[ \\t]+')))"
+# In scripts without blanks (Thai to Khmer, kana, ideographs) every character is a word.
+WORDS = r"split(p, '[ \\t]+|(?<=[\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3000-\\u9fff\\uf900-\\ufaff])')"
+SHINGLES = f"flatten(transform({{paragraphs}}, p -> transform(array({WORDS}), w -> transform(sequence(0, greatest(size(w) - 3, 0)), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))))[0]))"
+# Bits j of eight bytes are counted at once in chunks of ``CHUNK``, so that 64 lanes cost eight additions per hash.
+COUNTED = "aggregate({chunk}, transform(sequence(1, 8), j -> 0L), (s, p) -> transform(s, (a, j) -> a + (shiftrightunsigned(p, j) & 72340172838076673L)))"
 
 
 def vector(text_col: str) -> Column:
@@ -29,19 +36,24 @@ def vector(text_col: str) -> Column:
     # Two lanes from each 64-bit hash of a paragraph; each sum is brought back below 2^32 at once.
     lane = f"shiftrightunsigned(xxhash64(p, j div 2), {half} * (j % 2)) & {low}L"
     whole = f"aggregate({paragraphs}, transform(sequence(1, {WHOLE_LANES}), j -> 0L), (s, p) -> transform(s, (a, j) -> (a + ({lane})) & {low}L))"
-    zeros = "transform(sequence(1, 64), j -> 0L)"
-    parts = [whole]
+    hashed = f"concat(transform({sentences}, p -> xxhash64(p, 1000)), {SHINGLES.format(paragraphs=paragraphs)})"
+    signs = []
     for seed in range(SIGN_LANES // 64):
-        hashed = f"transform({sentences}, p -> xxhash64(p, 1000 + {seed}))"
-        ones = f"aggregate({hashed}, named_struct('n', 0L, 'v', {zeros}), (s, p) -> named_struct('n', s.n + 1, 'v', transform(s.v, (a, j) -> a + (shiftrightunsigned(p, j) & 1L))))"
-        parts.append(f"transform(array({ones}), s -> transform(s.v, a -> (2 * a - s.n) & {(1 << SIGN_BITS) - 1}L))[0]")
-    return F.expr(f"concat({', '.join(parts)})")
+        seeded = f"transform(hs, h -> xxhash64(h, 1000 + {seed}))"
+        chunks = f"transform(sequence(0, greatest(size(hs) - 1, 0) div {CHUNK}), c -> {COUNTED.format(chunk=f'slice(ks, int(c) * {CHUNK} + 1, {CHUNK})')})"
+        ones = f"aggregate({chunks}, transform(sequence(1, 64), j -> 0L), (s, c) -> transform(s, (a, j) -> a + (shiftrightunsigned(c[j % 8], 8 * int(j div 8)) & 255L)))"
+        signs.append(f"transform(array({seeded}), ks -> transform({ones}, a -> (2 * a - size(hs)) & {(1 << SIGN_BITS) - 1}L))[0]")
+    return F.expr(f"concat({whole}, transform(array({hashed}), hs -> concat({', '.join(signs)}))[0])")
 
 
 def _limits(lane: Column) -> Column:
     return F.when(lane < WHOLE_LANES, F.lit((1 << WHOLE_BITS) - 1)).otherwise(F.lit((1 << SIGN_BITS) - 1))
 
 
+def _hex(lanes: Column, digits: int) -> Column:
+    return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), digits, F.lit("0"))), ""))
+
+
 def inserted(vector_a: Column, vector_b: Column) -> Column:
     """The fingerprint vector of the paragraphs of both."""
     total = F.zip_with(vector_a, vector_b, lambda a, b: a + b)
@@ -55,9 +67,13 @@ def deleted(vector_a: Column, vector_b: Column) -> Column:
 
 
 def digest(lanes: Column) -> Column:
-    """The lanes as lowercase hex."""
-    width = lambda j: F.when(j < WHOLE_LANES, F.lit(WHOLE_BITS // 4)).otherwise(F.lit(SIGN_BITS // 4))
-    return F.lower(F.array_join(F.transform(lanes, lambda x, j: F.lpad(F.hex(x), width(j), F.lit("0"))), ""))
+    """The lanes as lowercase hex: the sign lanes modulo 2^12 and, only where one of them does not fit, the upper bits of all after that."""
+    whole, signs = F.slice(lanes, 1, WHOLE_LANES), F.slice(lanes, WHOLE_LANES + 1, SIGN_LANES)
+    half, low = 1 << (SHORT_BITS - 1), (1 << SHORT_BITS) - 1
+    wide = F.exists(signs, lambda x: (x >= half) & (x < (1 << SIGN_BITS) - half))
+    upper = _hex(F.transform(signs, lambda x: F.shiftright(x, SHORT_BITS)), (SIGN_BITS - SHORT_BITS) // 4)
+    short = _hex(F.transform(signs, lambda x: x.bitwiseAND(F.lit(low))), SHORT_BITS // 4)
+    return F.concat(_hex(whole, WHOLE_BITS // 4), short, F.when(wide, upper).otherwise(""))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -191,6 +191,20 @@ def test_fingerprints_of_few_and_repeated_rows(spark):
     assert len(many) == 4
 
 
+def test_likeness_of_long_and_unpunctuated_texts(spark):
+    rng = np.random.default_rng(6)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    lines, long, signs = "The same line again.\n" * 5_000, some(4_000), "".join(chr(0x4E00 + x) for x in rng.integers(0, 20_000, 3_000))
+    pairs = [(lines, lines[: len(lines) // 2]), ("A line.\n" * 4_096, "A line.\n" * 2_048), (long, " ".join([*long.split()[:2_000], some(2_000)])), (signs, signs[:1_500] + signs[:1_500][::-1]), (long, some(4_000))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    df = df.withColumn("va", fingerprints.vector("a")).withColumn("vb", fingerprints.vector("b"))
+    got = df.select("i", fingerprints.likeness(F.col("va"), F.col("vb")).alias("x"), fingerprints.digest(F.col("va")).alias("f")).orderBy("i").collect()
+    assert got[0].x == pytest.approx(1) and got[1].x == pytest.approx(1)
+    assert all(0.3 < got[i].x < 0.75 for i in (2, 3)) and got[4].x < 0.3
+    # Lanes beyond 12 bits are in the digest as well.
+    assert len(got[0].f) == 448 + 128 * 5 and len(got[2].f) == 448
+
+
 def plain_codes(texts, radius):
     for t in texts:
         b = [*([scoring.OUTSIDE] * radius), *(t or "").encode(), *([scoring.OUTSIDE] * radius)]
