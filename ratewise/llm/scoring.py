@@ -7,7 +7,7 @@ document's score is the sum of the log-probabilities of its tokens.
 Training covers the whole corpus: every task counts its windows, Spark adds the counts up by window, and the network is
 fitted with numpy on the counted windows. Each round every worker shard starts from the same weights, goes over its windows
 once, batch by batch as they arrive, and returns its weights, which are averaged; at most ``MOST_WORKERS`` sets of weights of
-a fixed size (0.13 MB) reach the driver. Scoring evaluates each distinct window of a slice once.
+a fixed size (0.17 MB) reach the driver. Scoring evaluates each distinct window of a slice once.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from ratewise.llm import words as W
 from ratewise.session import cut_lineage
 
-RADIUS = 2
+RADIUS = 3  # the widest whose windows fit a 64-bit code
 HIDDEN = 24
 OUTSIDE = 256  # stands for a place before or after the text
 SLICE = 2 << 20
@@ -104,13 +104,13 @@ class Network:
         return out
 
     def step(self, codes: np.ndarray, weight: np.ndarray, state: list[np.ndarray], rate: float) -> None:
-        """One AdaGrad step on weighted windows."""
+        """One AdaGrad step on weighted windows; the weights are taken as they are, so a batch counts by their sum."""
         around, token = _unpack(codes, self.radius)
         hidden, logits = self._forward(around)
         p = np.exp(logits)
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(token)), token] -= 1
-        p *= (weight / weight.sum())[:, None].astype(np.float32)
+        p *= weight[:, None].astype(np.float32)
         back = (p @ self.w.T) * (1 - hidden * hidden)
         grads = [np.zeros_like(self.e), back.sum(0), hidden.T @ p, p.sum(0)]
         for k in range(around.shape[1]):
@@ -137,10 +137,13 @@ def count_windows(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
 def train(counted: DataFrame, network: Network, rounds: int = ROUNDS, workers: int | None = None, batch: int = BATCH, rate: float = RATE) -> Network:
     """Rounds of local passes and averaging, weighted by each worker's tokens; without windows the network stays as it is.
 
-    A worker sees its windows in the order of a hash, so every batch is a mixture, and holds one Arrow batch at a time.
+    Steps are weighted by the true counts. A worker sees its windows in the order of a hash, so every batch is a mixture, and holds one Arrow batch at a time.
     """
     counted = cut_lineage(counted, "counts")
-    workers = workers or min(MOST_WORKERS, max(1, -(-counted.count() // WINDOWS_PER_WORKER)))
+    size = counted.agg(F.count("*").alias("windows"), F.sum("n").alias("n")).first()
+    workers = workers or min(MOST_WORKERS, max(1, -(-size["windows"] // WINDOWS_PER_WORKER)))
+    # A window weighs its count, measured by the mean count of the corpus: the same in every batch and worker.
+    unit = batch * size["n"] / size["windows"] if size["windows"] else 1.0
     mixed = F.xxhash64(F.lit(1), "code")
     shards = cut_lineage(counted.repartition(workers, "code").sortWithinPartitions(mixed), "windows")
     for turn in range(rounds):
@@ -155,7 +158,7 @@ def train(counted: DataFrame, network: Network, rounds: int = ROUNDS, workers: i
                 order = rng.permutation(len(codes))
                 for lo in range(0, len(order), batch):
                     at = order[lo : lo + batch]
-                    own.step(codes[at].view(W.U), n[at], state, rate)
+                    own.step(codes[at].view(W.U), n[at] / unit, state, rate)
                 if len(codes):
                     first, total = int(codes[0]) if first is None else first, total + float(n.sum())
             if first is not None:

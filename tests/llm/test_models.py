@@ -244,6 +244,15 @@ def test_window_counts_cover_every_byte(spark):
     assert got == want
 
 
+def test_windows_weigh_their_counts(spark):
+    # One window in each batch: the rule of a common one and the rules of rare ones against it share a context.
+    middle = scoring.RADIUS
+    code = lambda token: sum(x << 9 * (2 * middle - k) for k, x in enumerate([97] * middle + [token] + [97] * middle))
+    counted = spark.createDataFrame([(code(98), 100_000)] + [(code(t), 1) for t in range(99, 119)], "code long, n long")
+    network = scoring.train(counted, scoring.Network.fresh(), rounds=8, workers=1, batch=1, rate=0.1)
+    assert network.log_probability(np.array([code(98)], np.uint64))[0] > np.log(0.5)
+
+
 def test_scoring_of_nothing(spark):
     empty = frame(spark, [])
     assert scoring.fit_and_score(empty).count() == 0
