@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratewise.llm import contamination, counts, fingerprints, idfiles, jaccard, language, packing, scoring, substrings, urls
+from ratewise.llm import contamination, counts, fingerprints, idfiles, jaccard, language, packing, scoring, substrings, urls, whitening
 from ratewise.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,20 @@ SELECT page_id, CAST(fetched AS VARCHAR) AS fetched_on, e[2] AS pattern, e[3] AS
 FROM shots LEFT JOIN verdict USING (page_id)
 """
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on its table's first 32 whitening components."""
+    rows, found = whitening.whiten(table(spark, sf_dir, "embeddings"), most=32)
+    if found is None:
+        n, share, error = 0, F.array().cast("array<double>"), None
+    else:
+        n, share, error = found.n, F.array(*[F.lit(float(e)) for e in found.explained[:32]]), whitening.identity_error(rows, found)
+    each = rows.select("vec_id", F.expr("try_cast(deviation as bigint)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(share, F.col("at")).alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Plan] = {
     "op1_token_id_output": op1_token_id_output,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -126,5 +140,6 @@ QUERIES: dict[str, Plan] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_url_filters": op10_url_filters,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 SQL: dict[str, str] = {"op10_url_filters": OP10}
