@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratewise.llm import contamination, counts, fingerprints, idfiles, jaccard, language, packing, scoring, substrings, urls, whitening
+from ratewise.llm import contamination, counts, fingerprints, idfiles, jaccard, language, packing, pii, scoring, substrings, urls, whitening
 from ratewise.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,17 @@ SELECT page_id, CAST(fetched AS VARCHAR) AS fetched_on, e[2] AS pattern, e[3] AS
 FROM shots LEFT JOIN verdict USING (page_id)
 """
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: counts and digest of the plain forms, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    plain = F.filter("spans", lambda s: s["base"])
+    of_kind = lambda k: F.filter(plain, lambda s: s["kind"] == k)
+    counts_of = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *counts_of, F.sha2(named(plain), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector on its table's first 32 whitening components."""
     rows, found = whitening.whiten(table(spark, sf_dir, "embeddings"), most=32)
@@ -140,6 +151,7 @@ QUERIES: dict[str, Plan] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_url_filters": op10_url_filters,
+    "op12_pii": op12_pii,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 SQL: dict[str, str] = {"op10_url_filters": OP10}
