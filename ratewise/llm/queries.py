@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratewise.llm import contamination, counts, fingerprints, idfiles, jaccard, language, packing, pii, scoring, substrings, urls, whitening
+from ratewise.llm import alignment, contamination, counts, fingerprints, idfiles, jaccard, language, packing, pii, scoring, substrings, urls, whitening
 from ratewise.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,12 @@ SELECT page_id, CAST(fetched AS VARCHAR) AS fetched_on, e[2] AS pattern, e[3] AS
 FROM shots LEFT JOIN verdict USING (page_id)
 """
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the byte-level tokens (A) and pieces (B) of every whole text."""
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
+    return alignment.align(table(spark, sf_dir, "documents"), *files, pattern=public_tokenizers.PATTERN)
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: counts and digest of the plain forms, and all spans."""
     docs = table(spark, sf_dir, "documents")
@@ -151,6 +157,7 @@ QUERIES: dict[str, Plan] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_url_filters": op10_url_filters,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_pii": op12_pii,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
