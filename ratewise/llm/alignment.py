@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,9 @@ from ratewise.llm import words as W
 from ratewise.llm.counts import PieceCounter
 from ratewise.session import cut_lineage, scratch_path
 
-SLICE = 1 << 20  # bytes of text, or four times as many tokens
-GROUP_LINKS = 1 << 23
+SLICE = 1 << 19  # bytes of text
+SLICE_TOKENS = 1 << 18
+GROUP_LINKS = 1 << 21
 RANGE_PAIRS = 1 << 18
 HELD_PAIRS = 1 << 23
 PARTIAL_PAIRS = 1 << 21
@@ -115,22 +117,50 @@ def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, moved
 
 
-def equal_bytes(ids: list[list[int]], vocabulary: pa.Array, want: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which texts' tokens join to the wanted bytes."""
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and the range of each list."""
     ends = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
-    flat = pa.array(np.fromiter((i for x in ids for i in x), np.int64, int(ends[-1])))
-    joined = vocabulary.take(flat)
-    bounds = joined.offsets if hasattr(joined, "offsets") else None
-    begins = np.frombuffer(joined.buffers()[1], np.int64)[: len(flat) + 1] if bounds is None else bounds.to_numpy()
-    body = np.frombuffer(joined.buffers()[2], np.uint8) if joined.buffers()[2] is not None and len(flat) else np.empty(0, np.uint8)
-    at = begins[ends]
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])), ends
+
+
+def equal_bytes(flat: np.ndarray, ends: np.ndarray, vocabulary: pa.Array, want: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts' tokens join to the wanted bytes."""
+    if not len(flat):
+        return np.diff(offsets) == 0
+    _, bounds, body = vocabulary.take(pa.array(flat)).buffers()
+    at = np.frombuffer(bounds, np.int64)[: len(flat) + 1][ends]
+    body = np.frombuffer(body, np.uint8)[: at[-1]]
     if len(body) == len(want) and np.array_equal(at, offsets) and np.array_equal(body, want):
-        return np.ones(len(ids), bool)
+        return np.ones(len(offsets) - 1, bool)
     return np.array([np.array_equal(body[a:b], want[c:d]) for a, b, c, d in zip(at[:-1], at[1:], offsets[:-1], offsets[1:])], bool)
 
 
-def encode(docs: DataFrame, first: str, second: str, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, a, b): ids of every text under a byte-level tokenizers file (text with a space before it) and a sentencepiece model.
+def packed(flat: np.ndarray, ends: np.ndarray, keep: np.ndarray, kind: np.dtype) -> pa.Array:
+    """The kept lists of ids as bytes, the others empty."""
+    sizes = np.where(keep, np.diff(ends), 0)
+    body = flat[np.repeat(keep, np.diff(ends))].astype(kind).tobytes()
+    offsets = np.concatenate([[0], np.cumsum(sizes * kind.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+
+
+def unpacked(column: pa.Array, kind: np.dtype) -> pa.ListArray:
+    """Lists of ids from their bytes."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    body = column.buffers()[2]
+    ids = np.frombuffer(body, kind, count=(bounds[-1] - bounds[0]) // kind.itemsize, offset=bounds[0]) if body is not None and bounds[-1] > bounds[0] else np.empty(0, kind)
+    return pa.ListArray.from_arrays(pa.array((bounds - bounds[0]) // kind.itemsize), pa.array(ids.astype(np.int32)))
+
+
+def width(first: str, second: str) -> np.dtype:
+    """The narrowest number that holds all ids of both vocabularies."""
+    most = max(len(t.bytes) for t in (ByteTokenizer(first), PieceTokenizer(second)))
+    return np.dtype("<u2" if most <= 1 << 16 else "<u4")
+
+
+def encode(
+    docs: DataFrame, first: str, second: str, kind: np.dtype, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """(id, a, b): packed ids of every text under a byte-level tokenizers file (text with a space before it) and a sentencepiece model.
 
     Texts that are null, empty, or not the bytes their tokens join to have no ids.
     """
@@ -142,16 +172,15 @@ def encode(docs: DataFrame, first: str, second: str, ranks: str | None = None, p
             for lo, hi, data, offsets in W.slices(batch.column("text"), SLICE):
                 body = data.tobytes()
                 texts = [body[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
-                ids = [one.encode([" " + t for t in texts]), two.encode(texts)]
+                ids = [flattened(one.encode([" " + t for t in texts])), flattened(two.encode(texts))]
                 want, moved = spaced(data, offsets)
                 keep = np.diff(offsets) > 0
-                for x, vocabulary in zip(ids, vocabularies):
-                    keep &= equal_bytes(x, vocabulary, want, moved)
-                lists = [pa.array([y if k else [] for y, k in zip(x, keep)], pa.list_(pa.int32())) for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), *lists], names=["id", "a", "b"])
+                for (flat, ends), vocabulary in zip(ids, vocabularies):
+                    keep &= equal_bytes(flat, ends, vocabulary, want, moved)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), *(packed(flat, ends, keep, kind) for flat, ends in ids)], names=["id", "a", "b"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(emit, f"id {rows.schema['id'].dataType.simpleString()}, a array<int>, b array<int>")
+    return rows.mapInArrow(emit, f"id {rows.schema['id'].dataType.simpleString()}, a binary, b binary")
 
 
 def vocabulary_lengths(first: str, second: str) -> tuple[np.ndarray, np.ndarray]:
@@ -162,15 +191,15 @@ def vocabulary_lengths(first: str, second: str) -> tuple[np.ndarray, np.ndarray]
 # Links of a slice -------------------------------------------------------------------------------
 
 
-def list_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.ListArray, pa.ListArray]]:
+def list_slices(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[tuple[int, int, pa.ListArray, pa.ListArray]]:
     """Consecutive rows with a bounded number of tokens (one longer row is a slice of its own)."""
     n = batch.num_rows
-    sizes = pc.add(pc.list_value_length(batch.column("a")), pc.list_value_length(batch.column("b"))).to_numpy(zero_copy_only=False)
+    sizes = pc.add(pc.binary_length(batch.column("a")), pc.binary_length(batch.column("b"))).to_numpy(zero_copy_only=False)
     ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE, "right")) - 1)
-        yield lo, hi, batch.column("a").slice(lo, hi - lo), batch.column("b").slice(lo, hi - lo)
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE_TOKENS * kind.itemsize, "right")) - 1)
+        yield lo, hi, unpacked(batch.column("a").slice(lo, hi - lo), kind), unpacked(batch.column("b").slice(lo, hi - lo), kind)
         lo = hi
 
 
@@ -247,7 +276,7 @@ def _merged(tables: list[pa.Table]) -> pa.Table:
     return pa.table({"pair": out.column("pair"), "n": out.column("n_sum")})
 
 
-def pair_counts(tokens: DataFrame, lengths: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def pair_counts(tokens: DataFrame, lengths: tuple[np.ndarray, np.ndarray], kind: np.dtype) -> DataFrame:
     """(pair, n): how many rows of the table hold an id pair linked."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +296,7 @@ def pair_counts(tokens: DataFrame, lengths: tuple[np.ndarray, np.ndarray]) -> Da
             return []
 
         for batch in batches:
-            for _, _, a, b in list_slices(batch):
+            for _, _, a, b in list_slices(batch, kind):
                 ids_a, ids_b, linked = links(a, b, arrays)
                 once = pa.table({"doc": linked.column("doc"), "pair": pairs_of(ids_a, ids_b, linked)}).group_by(["doc", "pair"], use_threads=False).aggregate([])
                 part = once.group_by("pair", use_threads=False).aggregate([("doc", "count")])
@@ -341,12 +370,13 @@ def align(
     """
     spark: SparkSession = docs.sparkSession
     root = scratch_path(spark, "tokens")
-    written = encode(docs, first, second, ranks, pattern, id_col, text_col)
+    kind = width(first, second)
+    written = encode(docs, first, second, kind, ranks, pattern, id_col, text_col)
     written.write.option("compression", "zstd").parquet(root)
     tokens = spark.read.schema(written.schema).parquet(root)
     lengths = vocabulary_lengths(first, second)
     counted = scratch_path(spark, "ranges")
-    write_ranges(cut_lineage(pair_counts(tokens, lengths), "pairs"), counted, range_pairs)
+    write_ranges(cut_lineage(pair_counts(tokens, lengths, kind), "pairs"), counted, range_pairs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = tuple(pa.array(x) for x in lengths)
@@ -363,7 +393,7 @@ def align(
                 yield pa.RecordBatch.from_arrays([*columns[:-1], *(pa.array(np.diff(t)) for t in totals), columns[-1]], names=["id", *COLUMNS, "groups_sha256"])
 
         for batch in batches:
-            for lo, hi, a, b in list_slices(batch):
+            for lo, hi, a, b in list_slices(batch, kind):
                 ids_a, ids_b, linked = links(a, b, arrays)
                 groups, digests = group_texts(a, b, ids_a, ids_b, linked)
                 coded = pairs_of(ids_a, ids_b, linked).dictionary_encode()

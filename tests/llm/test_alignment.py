@@ -88,14 +88,15 @@ def listed(df):
     return sorted([tuple(r) for r in df.collect()], key=lambda r: (r[0] is not None, r))
 
 
-@pytest.mark.parametrize("ranks,held", [(None, 1 << 20), (RANKS, 1 << 20), (RANKS, 40)])
+@pytest.mark.parametrize("ranks,held", [(None, 1 << 20), (RANKS, 1 << 20), (RANKS, 2_500)])
 def test_alignment_equals_its_definition(spark, models, monkeypatch, ranks, held):
     monkeypatch.setattr(alignment, "SLICE", 2_000)
+    monkeypatch.setattr(alignment, "SLICE_TOKENS", 1_500)
     monkeypatch.setattr(alignment, "GROUP_LINKS", 3_000)
     data = rows(3, 40)
     data += [(None, data[1][1], *data[0][2:]), (None, None, *data[0][2:]), (3, data[2][1], *data[0][2:]), *[(1000 + i, t, *data[0][2:]) for i, t in enumerate(ODD)]]
     random.Random(1).shuffle(data)
-    got = listed(alignment.align(frame(spark, data).repartition(3), BYTE, PIECE, ranks, public_tokenizers.PATTERN, range_pairs=100, held_pairs=held))
+    got = listed(alignment.align(frame(spark, data).repartition(3), BYTE, PIECE, ranks, public_tokenizers.PATTERN, range_pairs=2_000, held_pairs=held))
     want = sorted([(r[0], *x) for r, x in zip(data, defined([r[1] for r in data], models))], key=lambda r: (r[0] is not None, r))
     assert got == want
 
