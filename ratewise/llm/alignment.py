@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,8 +34,7 @@ RANGE_PAIRS = 1 << 18
 HELD_PAIRS = 1 << 23
 PARTIAL_PAIRS = 1 << 21
 END_BITS = 40
-# Code points of old, settled Unicode ranges, in runs no regular expression is slow on.
-SETTLED = re.compile("[^\x00-ɏ]|\\s{500}|\\S{500}")
+LONG_RUN = 500
 
 
 # Tokenizers -------------------------------------------------------------------------------------
@@ -85,8 +83,8 @@ class ByteTokenizer:
             raise ValueError("the merges are not in the order of the ranks")
         return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=by_rank, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        fast = [self.ranked is not None and SETTLED.search(t) is None for t in texts]
+    def encode(self, texts: list[str], settled: np.ndarray | None = None) -> list[list[int]]:
+        fast = [self.ranked is not None] * len(texts) if settled is None else (settled & (self.ranked is not None)).tolist()
         slow = iter(self.model.encode_batch_fast([t for t, ok in zip(texts, fast) if not ok], add_special_tokens=False))
         return [self.ranked.encode_ordinary(t) if ok else next(slow).ids for t, ok in zip(texts, fast)]
 
@@ -117,6 +115,27 @@ def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, moved
 
 
+def settled(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts, each with its space, have only code points below U+0250, whose Unicode classes are old, and no run that regular expressions are slow on."""
+    lead = data >= 0xCA
+    lead[:-1] |= (data[:-1] == 0xC9) & (data[1:] >= 0x90)
+    blank, wide = (data == 32) | ((data >= 9) & (data <= 13)), data >= 0x80
+    bad = [np.flatnonzero(lead)]
+    for inside in (~blank, blank | wide):
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+        bad.append(edges[::2][edges[1::2] - edges[::2] >= LONG_RUN])
+    # A run may go on over the space before a text; it is long for every text it touches.
+    out = np.ones(len(offsets) - 1, bool)
+    for at in bad[:1]:
+        out[np.searchsorted(offsets, at, "right") - 1] = False
+    for inside, at in zip((~blank, blank | wide), bad[1:]):
+        for first in at.tolist():
+            stop = np.flatnonzero(~inside[first:])
+            after = first + int(stop[0]) if len(stop) else len(data)
+            out[np.searchsorted(offsets, first, "right") - 1 : np.searchsorted(offsets, after, "left")] = False
+    return out
+
+
 def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All ids in a row, and the range of each list."""
     ends = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
@@ -172,8 +191,8 @@ def encode(
             for lo, hi, data, offsets in W.slices(batch.column("text"), SLICE):
                 body = data.tobytes()
                 texts = [body[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
-                ids = [flattened(one.encode([" " + t for t in texts])), flattened(two.encode(texts))]
                 want, moved = spaced(data, offsets)
+                ids = [flattened(one.encode([" " + t for t in texts], settled(want, moved))), flattened(two.encode(texts))]
                 keep = np.diff(offsets) > 0
                 for (flat, ends), vocabulary in zip(ids, vocabularies):
                     keep &= equal_bytes(flat, ends, vocabulary, want, moved)
@@ -235,8 +254,18 @@ def pairs_of(ids_a: pa.Array, ids_b: pa.Array, linked: pa.Table) -> pa.Array:
     return pc.add(high, pc.take(ids_b, linked.column("y")).cast(pa.int64())).combine_chunks()
 
 
-def group_texts(a: pa.ListArray, b: pa.ListArray, ids_a: pa.Array, ids_b: pa.Array, linked: pa.Table) -> tuple[np.ndarray, list[str]]:
-    """Groups of every document, and the sha256 of ``a1,a2|b1;a3|b2``: ids of both sides group by group; no tokens, no text."""
+MARKS = [",", "|", ";", ""]
+
+
+def written_ids(most: int) -> pa.Array:
+    return pa.array([f"{i}{mark}" for mark in MARKS for i in range(most)], pa.large_string())
+
+
+def group_texts(a: pa.ListArray, b: pa.ListArray, ids_a: pa.Array, ids_b: pa.Array, linked: pa.Table, written: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Groups of every document, and the sha256 of ``a1,a2|b1;a3|b2``: ids of both sides group by group; no tokens, no text.
+
+    ``written`` holds every id followed by each of ``MARKS``, so the text is one take.
+    """
     n, na, nb = len(a), len(ids_a), len(ids_b)
     common = linked.column("common").to_numpy()
     doc, x, y = (linked.column(c).to_numpy() for c in ("doc", "x", "y"))
@@ -249,19 +278,17 @@ def group_texts(a: pa.ListArray, b: pa.ListArray, ids_a: pa.Array, ids_b: pa.Arr
     place_b = np.arange(nb) + (last_a + 1)[of_b]
     ids = np.empty(na + nb, np.int32)
     ids[place_a], ids[place_b] = ids_a.to_numpy(), ids_b.to_numpy()
-    mark = np.full(na + nb, ",", "U1")
-    mark[place_a[last_a]] = "|"
-    mark[place_b[last_b]] = ";"
+    mark = np.zeros(na + nb, np.int64)
+    mark[place_a[last_a]] = MARKS.index("|")
+    mark[place_b[last_b]] = MARKS.index(";")
     ends_a = np.concatenate([[0], np.cumsum(pc.list_value_length(a).to_numpy(zero_copy_only=False), dtype=np.int64)])
     ends_b = np.concatenate([[0], np.cumsum(pc.list_value_length(b).to_numpy(zero_copy_only=False), dtype=np.int64)])
     ends = ends_a + ends_b
     some = np.diff(ends) > 0
-    mark[ends[1:][some] - 1] = ""
-    text = pc.binary_join_element_wise(pa.array(ids).cast(pa.large_string()), pa.array(mark, pa.large_string()), pa.scalar("", pa.large_string()))
-    if isinstance(text, pa.ChunkedArray):
-        text = text.combine_chunks()
-    if not len(text):
+    mark[ends[1:][some] - 1] = MARKS.index("")
+    if not len(ids):
         return groups, [""] * n
+    text = written.take(pa.array(mark * (len(written) // len(MARKS)) + ids))
     _, bounds, body = text.buffers()
     at = np.frombuffer(bounds, np.int64)[text.offset : text.offset + len(text) + 1][ends]
     view = memoryview(body)
@@ -371,15 +398,16 @@ def align(
     spark: SparkSession = docs.sparkSession
     root = scratch_path(spark, "tokens")
     kind = width(first, second)
-    written = encode(docs, first, second, kind, ranks, pattern, id_col, text_col)
-    written.write.option("compression", "zstd").parquet(root)
-    tokens = spark.read.schema(written.schema).parquet(root)
+    ids = encode(docs, first, second, kind, ranks, pattern, id_col, text_col)
+    ids.write.option("compression", "zstd").parquet(root)
+    tokens = spark.read.schema(ids.schema).parquet(root)
     lengths = vocabulary_lengths(first, second)
     counted = scratch_path(spark, "ranges")
     write_ranges(cut_lineage(pair_counts(tokens, lengths, kind), "pairs"), counted, range_pairs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = tuple(pa.array(x) for x in lengths)
+        written = written_ids(max(map(len, lengths)))
         ranges = Ranges(counted, held_pairs)
         waiting: list[tuple] = []
         size = 0
@@ -395,7 +423,7 @@ def align(
         for batch in batches:
             for lo, hi, a, b in list_slices(batch, kind):
                 ids_a, ids_b, linked = links(a, b, arrays)
-                groups, digests = group_texts(a, b, ids_a, ids_b, linked)
+                groups, digests = group_texts(a, b, ids_a, ids_b, linked, written)
                 coded = pairs_of(ids_a, ids_b, linked).dictionary_encode()
                 per_doc = np.bincount(linked.column("doc").to_numpy(), minlength=hi - lo)
                 columns = [batch.column("id").slice(lo, hi - lo), *(pc.list_value_length(x).cast(pa.int64()) for x in (a, b)), pa.array(groups.astype(np.int64)), pa.array(per_doc.astype(np.int64)), pa.array(digests)]
