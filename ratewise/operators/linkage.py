@@ -1,167 +1,200 @@
-"""Average-linkage trees over pairwise distances, one tree per group."""
+"""Average-linkage trees over pairwise distances, one tree per group, merged in parallel rounds.
+
+The tree is the one that always merges the closest two clusters, on ties those with the smaller ids (leaves first, then merges in
+their order). Averages cannot fall when clusters are merged, so two clusters that are each other's closest may be merged
+at once, wherever they are: every round does this for all of them. Ids are not known before the end, but their order is: a merge
+comes after another if it is higher, and at the same height if its lesser child comes after the other's. ``rank`` holds that order:
+the heights from a cluster down its lesser children, then the leaf.
+
+Clusters that are all equally far from each other, and from nothing else as close, are merged in one round whatever their
+number: they pair up in the order of their ids, and the merges queue up behind them.
+
+The state is one row per pair of living clusters with the sum and the number of its known leaf distances; a round joins it with
+the few clusters that merged. No group, matrix or step list is ever in one task; the only windows order the neighbours of one cluster
+and the merges of one tree (as many as its leaves, never its pairs).
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ratewise.session import cut_lineage
+from ratewise.session import cut_lineage, scratch_path
 
 STEP = "step int, left int, right int, distance double, size int"
 UNITS = 10**12  # distances are summed as whole numbers of this fraction, so no order of summing can change a tie
+CUT = 4  # rounds after which the list of living clusters is written
+FINE = 10**9  # averages are compared in whole units and this fraction of a unit
 
+NODE = "struct<round:int,part:int,place:bigint>"  # a leaf is (-1, leaf, 0)
+HEIGHT = "struct<whole:bigint,rest:bigint>"
+RANK = f"struct<heights:array<{HEIGHT}>,leaf:int>"
+# From a place among m queued clusters up to the last merge of the queue: the places passed, and whether only lesser children led there.
+CLIMB = f"""aggregate(sequence(1, 64), named_struct('at', place, 'least', true, 'out', cast(array() as array<struct<place:bigint,least:boolean,above:int>>)),
+  (s, i) -> if(s.at >= 2 * m - 2, s, named_struct('at', m + cast(floor(s.at / 2) as bigint), 'least', s.least and s.at % 2 = 0,
+    'out', concat(s.out, array(named_struct('place', m + cast(floor(s.at / 2) as bigint), 'least', s.least and s.at % 2 = 0, 'above', size(s.out) + 1))))),
+  s -> s.out)"""
 
-def merge_steps(leaves: int, pairs: pd.DataFrame) -> list[tuple[int, int, float, int]] | None:
-    """Merges of one group: always the closest two clusters, the smaller ids on ties; pairs without a distance
-    do not count. ``None`` if the leaves do not connect. ``pairs``: ``a, b, units``, each pair once."""
-    total, known = np.zeros((leaves, leaves), np.int64), np.zeros((leaves, leaves), np.int64)
-    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-    total[a, b] = total[b, a] = pairs["units"].to_numpy()
-    known[a, b] = known[b, a] = 1
-    ids, sizes = np.arange(leaves), np.ones(leaves, np.int64)
-    between = np.where(known > 0, total.astype(float), np.inf)
-    steps = []
-    for new_id in range(leaves, 2 * leaves - 1):
-        low = between.min()
-        if not np.isfinite(low):
-            return None
-        rows, cols = np.nonzero(between == low)
-        first, second = np.minimum(ids[rows], ids[cols]), np.maximum(ids[rows], ids[cols])
-        pick = np.lexsort((second, first))[0]
-        i, j = rows[pick], cols[pick]
-        if ids[i] > ids[j]:
-            i, j = j, i
-        sizes[i] += sizes[j]
-        steps.append((int(ids[i]), int(ids[j]), float(low) / UNITS, int(sizes[i])))
-        # The joined cluster takes the place of the first; only its row changes.
-        for x in (total, known):
-            x[i] += x[j]
-            x[i, [i, j]] = 0
-            x[:, i] = x[i]
-            x[j] = x[:, j] = 0
-        between[j] = between[:, j] = np.inf
-        row = np.divide(total[i].astype(float), known[i], out=np.full(leaves, np.inf), where=known[i] > 0)
-        between[i] = between[:, i] = row
-        ids[i] = new_id
-    return steps
-
-
-def average_linkage(pairs: DataFrame, sizes: DataFrame, max_leaves: int = 2_000) -> DataFrame:
-    """Merge steps per group. ``pairs``: ``group_id, a, b, distance``; ``sizes``: ``group_id, leaves``.
-
-    A group of up to ``max_leaves`` is merged in one task (its distances are a matrix of that size);
-    larger ones are merged by :func:`linkage_by_rounds`, a join and an aggregate per merge. Groups that do
-    not connect have no tree.
-    """
-    usable = pairs.filter((F.col("a") != F.col("b")) & F.col("distance").isNotNull())
-    units = F.round(F.col("distance") * UNITS).cast("long")
-    # Of a pair that is given twice the larger distance counts.
-    ordered = usable.groupBy("group_id", F.least("a", "b").cast("int").alias("a"), F.greatest("a", "b").cast("int").alias("b")).agg(F.max(units).alias("units"))
-    sizes = sizes.filter("leaves >= 2").select("group_id", F.col("leaves").cast("int").alias("leaves"))
-    joined = ordered.join(sizes, "group_id")
-    id_type = pairs.schema["group_id"].dataType.simpleString()
 
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        steps = merge_steps(int(pdf["leaves"].iloc[0]), pdf) or []
-        out = pd.DataFrame(steps, columns=["left", "right", "distance", "size"])
-        out.insert(0, "step", range(len(out)))
-        out.insert(0, "group_id", pdf["group_id"].iloc[0])
-        return out
+def _height() -> Column:
+    whole = F.expr("total div known")
+    rest = F.expr(f"cast((total - cast(total div known as decimal(19,0)) * known) * {FINE} as decimal(38,0)) div known")
+    return F.struct(whole.alias("whole"), rest.alias("rest"))
 
-    small = joined.filter(F.col("leaves") <= max_leaves)
-    result = small.groupBy("group_id").applyInPandas(tree, f"group_id {id_type}, {STEP}")
-    if sizes.filter(F.col("leaves") > max_leaves).isEmpty():
-        return result
-    big = sizes.filter(F.col("leaves") > max_leaves)
-    return result.unionByName(linkage_by_rounds(joined.filter(F.col("leaves") > max_leaves).drop("leaves"), big))
 
+def _node(round_: Column, part: Column, place: Column) -> Column:
+    return F.struct(round_.cast("int").alias("round"), part.cast("int").alias("part"), place.cast("long").alias("place"))
 
-def linkage_by_rounds(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The same trees without a group in one task: each round merges the closest clusters of every open group.
 
-    Both ways divide the same whole sums, so they agree on every tie.
+def _closest(state: DataFrame) -> DataFrame:
+    """``group_id, c, height, o``: every living cluster with all clusters at its least distance."""
+    measured = state.select("group_id", "a", "b", _height().alias("height"))
+    both = measured.select("group_id", F.col("a").alias("c"), F.col("b").alias("o"), "height").unionByName(
+        measured.select("group_id", F.col("b").alias("c"), F.col("a").alias("o"), "height")
+    )
+    nearest = Window.partitionBy("group_id", "c").orderBy("height")
+    return both.withColumn("r", F.rank().over(nearest)).filter("r = 1").drop("r")
+
+
+def _queues(closest: DataFrame, living: DataFrame) -> DataFrame:
+    """Clusters that merge now, in queues of equal distances: the living cluster's columns, its queue, its place among the ``m``
+    of it, the merges above it, and what the queue becomes (``top_*``)."""
+    key = ["group_id", "c"]
+    ranked = closest.join(living.select("group_id", F.col("c").alias("o"), F.col("rank").alias("o_rank")), ["group_id", "o"])
+    hashes = [F.xxhash64("o", F.lit(k)).cast("decimal(38,0)") for k in (1, 2)]
+    near = ranked.groupBy(*key).agg(
+        F.first("height").alias("height"), (F.count("*") + 1).alias("m"), F.min(F.struct("o_rank", "o"))["o"].alias("o"),
+        *[F.sum(h).alias(f"sum{k}") for k, h in enumerate(hashes)],
+    ).join(living, key)
+    # Clusters with one and the same closed neighbourhood are all equally far from each other.
+    sums = [(F.col(f"sum{k}") + F.xxhash64("c", F.lit(k + 1)).cast("decimal(38,0)")).alias(f"around{k}") for k in (0, 1)]
+    near = near.select("*", *sums)
+    whole, both = Window.partitionBy("group_id", "height", "m", "around0", "around1"), Window.partitionBy("group_id", F.least("c", "o"), F.greatest("c", "o"))
+    found = near.withColumn("closed", F.count("*").over(whole) == F.col("m")).withColumn("first", F.min("c").over(whole))
+    # Beside them, pairs that are each other's first choice by distance and rank.
+    found = found.withColumn("mutual", F.count("*").over(both) == 2).filter("closed or mutual")
+    queue = F.when(F.col("closed"), F.col("first")).otherwise(F.least("c", "o")).alias("queue")
+    m = F.when(F.col("closed"), F.col("m")).otherwise(F.lit(2)).cast("long").alias("m")
+    own = Window.partitionBy("group_id", "queue")
+    placed = found.select("group_id", "c", "node", "size", "rank", "height", queue, m).withColumn("place", (F.row_number().over(own.orderBy("rank")) - 1).cast("long"))
+    climbed = placed.withColumn("up", F.expr(CLIMB))
+    last = F.element_at("up", -1)
+    top = F.max(F.when(last["least"], _above(last))).over(own)
+    return climbed.withColumn("top_rank", top).withColumn("top_size", F.sum("size").over(own).cast("int"))
+
+
+def _above(up: Column) -> Column:
+    """Rank of a merge that lesser children alone lead to from this row's cluster."""
+    return F.struct(F.concat(F.array_repeat(F.col("height"), up["above"]), F.col("rank.heights")).alias("heights"), F.col("rank.leaf").alias("leaf"))
+
+
+def _merges(queued: DataFrame) -> DataFrame:
+    """All merges of the queues of all rounds: ``group_id, node, left, right, height, size, rank``."""
+    member = ["group_id", "round", "queue"]
+    passed = queued.select(*member, "m", "height", "size", "rank", F.explode("up").alias("up"))
+    merged = passed.groupBy(*member, F.col("up.place").alias("place")).agg(
+        F.first("m").alias("m"), F.first("height").alias("height"), F.sum("size").cast("int").alias("size"),
+        F.max(F.when(F.col("up.least"), _above(F.col("up")))).alias("rank"),
+    ).withColumn("node", _node(F.col("round"), F.col("queue"), F.col("place")))
+    inner = merged.filter("place < 2 * m - 2")
+    children = queued.select(*member, "m", "place", "node").unionByName(inner.select(*member, "m", "place", "node"))
+    above = F.col("m") + F.floor(F.col("place") / 2).cast("long")
+    sides = children.groupBy(*member, above.alias("place")).agg(
+        F.max(F.when(F.col("place") % 2 == 0, F.col("node"))).alias("left"), F.max(F.when(F.col("place") % 2 == 1, F.col("node"))).alias("right")
+    )
+    return merged.join(sides, [*member, "place"]).select("group_id", "node", "left", "right", "height", "size", "rank")
+
 
-    The state is one row per pair of clusters with the sum and number of its known leaf distances; it is
-    written between rounds.
+def average_linkage(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Merge steps per group: ``group_id, step, left, right, distance, size``.
+
+    ``pairs``: ``group_id, a, b, distance`` (of a pair that is given twice the larger distance counts; pairs without a distance
+    do not count); ``sizes``: ``group_id, leaves``. Leaves are 0 to ``leaves`` - 1, the merge of step s is ``leaves`` + s. Groups
+    that do not connect have no tree. Rounds grow with the logarithm of the leaves where ties are few or complete; chains of
+    ties (points at equal steps on a line) take more, since each waits for the one before.
     """
+    spark = pairs.sparkSession
+    id_type = pairs.schema["group_id"].dataType.simpleString()
+    sizes = sizes.filter("leaves >= 2").select("group_id", F.col("leaves").cast("int").alias("leaves"))
+    usable = pairs.filter((F.col("a") != F.col("b")) & F.col("distance").isNotNull()).join(sizes, "group_id")
+    usable = usable.filter((F.least("a", "b") >= 0) & (F.greatest("a", "b") < F.col("leaves")))
+    units = F.round(F.col("distance") * UNITS).cast("decimal(38,0)")
     state = cut_lineage(
-        pairs.select("group_id", "a", "b", F.col("units").cast("decimal(38,0)").alias("total"), F.lit(1).cast("long").alias("known")),
+        usable.groupBy("group_id", F.least("a", "b").cast("int").alias("a"), F.greatest("a", "b").cast("int").alias("b")).agg(
+            F.max(units).alias("total"), F.lit(1).cast("long").alias("known")
+        ),
         "pairs",
     )
-    weights = cut_lineage(
-        sizes.select("group_id", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("c")).withColumn("size", F.lit(1)), "sizes"
+    living = cut_lineage(
+        sizes.select("group_id", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("c")).select(
+            "group_id", "c", _node(F.lit(-1), F.col("c"), F.lit(0)).alias("node"), F.lit(1).alias("size"),
+            F.struct(F.array().cast(f"array<{HEIGHT}>").alias("heights"), F.col("c").alias("leaf")).alias("rank"),
+        ),
+        "living",
     )
-    rounds = []
-    step = 0
+    root = scratch_path(spark, "queues")
+    schema, round_ = None, 0
     while not state.isEmpty():
-        best = state.groupBy("group_id").agg(
-            F.min(F.struct((F.col("total").cast("double") / F.col("known")).alias("units"), F.col("a").alias("left"), F.col("b").alias("right"))).alias("m")
-        ).select("group_id", "m.left", "m.right", (F.col("m.units") / UNITS).alias("distance"))
-        w = weights.join(best, "group_id").groupBy("group_id", "left", "right", "distance").agg(
-            F.sum(F.when(F.col("c").isin(F.col("left"), F.col("right")), F.col("size"))).cast("int").alias("size")
-        )
-        merged = cut_lineage(
-            w.join(sizes, "group_id").select(
-                "group_id", F.lit(step).alias("step"), "left", "right", "distance", "size", (F.col("leaves") + step).cast("int").alias("id")
-            ),
-            "merge",
-        )
-        rounds.append(merged)
-
-        def renamed(c: str):
-            return F.when(F.col(c).isin(F.col("left"), F.col("right")), F.col("id")).otherwise(F.col(c))
-
-        gone = F.col("a").eqNullSafe(F.col("left")) & F.col("b").eqNullSafe(F.col("right"))
-        m = merged.select("group_id", "left", "right", "id")
-        moved = state.join(m, "group_id").filter(~gone).withColumn("a", renamed("a")).withColumn("b", renamed("b"))
+        path = f"{root}/round={round_}"
+        queues = _queues(_closest(state), living)
+        schema = T.StructType(queues.schema.fields + [T.StructField("round", T.IntegerType())])
+        queues.write.parquet(path)
+        # The round is read from the path: as a number in the plan it would have every round's code compiled anew.
+        queued = spark.read.schema(schema).option("basePath", root).parquet(path)
+        last = _node(F.col("round"), F.col("queue"), 2 * F.col("m") - 2).alias("node")
+        new = queued.filter("place = 0").select("group_id", F.col("queue").alias("c"), last, F.col("top_size").alias("size"), F.col("top_rank").alias("rank"))
+        living = living.join(queued.select("group_id", "c"), ["group_id", "c"], "left_anti").unionByName(new)
+        if round_ % CUT == CUT - 1:
+            living = cut_lineage(living, "living")
+        into = queued.select("group_id", "c", "queue")
+        moved = state
+        for side in ("a", "b"):
+            moved = moved.join(into.withColumnRenamed("c", side), ["group_id", side], "left").withColumn(side, F.coalesce("queue", side)).drop("queue")
         state = cut_lineage(
-            moved.groupBy("group_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+            moved.filter("a <> b").groupBy("group_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
                 F.sum("total").cast("decimal(38,0)").alias("total"), F.sum("known").alias("known")
             ),
             "pairs",
         )
-        weights = cut_lineage(
-            weights.join(m, "group_id", "left")
-            .withColumn("c", F.when(F.col("id").isNotNull(), renamed("c")).otherwise(F.col("c")))
-            .groupBy("group_id", "c").agg(F.sum("size").cast("int").alias("size")),
-            "sizes",
-        )
-        step += 1
-    if not rounds:
-        spark = pairs.sparkSession
-        return spark.createDataFrame([], f"group_id {pairs.schema['group_id'].dataType.simpleString()}, {STEP}")
-    steps = rounds[0]
-    for r in rounds[1:]:
-        steps = steps.unionByName(r)
-    # A group that ran out of pairs before one cluster was left does not connect.
-    done = weights.groupBy("group_id").agg(F.count("*").alias("n")).filter("n = 1")
-    return steps.drop("id").join(done, "group_id", "left_semi")
+        round_ += 1
+    if not round_:
+        return spark.createDataFrame([], f"group_id {id_type}, {STEP}")
+    whole = living.groupBy("group_id").agg(F.count("*").alias("n")).filter("n = 1").join(sizes, "group_id").select("group_id", "leaves")
+    merges = _merges(spark.read.schema(schema).parquet(root)).join(whole, "group_id")
+    step = (F.row_number().over(Window.partitionBy("group_id").orderBy("rank")) - 1).cast("int")
+    steps = cut_lineage(merges.withColumn("step", step), "steps")
+    ids = steps.select("group_id", "node", (F.col("leaves") + F.col("step")).alias("id"))
+    for side in ("left", "right"):
+        child = ids.select("group_id", F.col("node").alias(side), F.col("id").alias(f"{side}_id"))
+        steps = steps.join(child, ["group_id", side], "left").withColumn(f"{side}_id", F.coalesce(f"{side}_id", F.col(f"{side}.part")))
+    distance = (F.col("height.whole") + F.col("height.rest") / FINE) / UNITS
+    return steps.select(
+        "group_id", "step", F.least("left_id", "right_id").alias("left"), F.greatest("left_id", "right_id").alias("right"), distance.alias("distance"), "size"
+    )
 
 
 def leaf_order(linkage: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Position of every leaf when the tree is read left to right; natural order for groups without a tree."""
-    id_type = sizes.schema["group_id"].dataType.simpleString()
-    steps = linkage.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("step", "left", "right"))).alias("steps"))
-    rows = sizes.join(steps, "group_id", "left").select("group_id", F.col("leaves").cast("int").alias("leaves"), "steps")
-
-    def walk(batches):
-        for pdf in batches:
-            out = []
-            for group_id, leaves, steps in zip(pdf["group_id"], pdf["leaves"], pdf["steps"]):
-                order = []
-                if steps is not None and len(steps):
-                    children = {leaves + s["step"]: (s["left"], s["right"]) for s in steps}
-                    stack = [leaves + len(steps) - 1]
-                    while stack:
-                        node = stack.pop()
-                        if node < leaves:
-                            order.append(node)
-                        elif node in children:
-                            stack.extend(reversed(children[node]))
-                if len(order) != leaves:
-                    order = list(range(leaves))
-                out.extend((group_id, leaf, pos) for pos, leaf in enumerate(order))
-            yield pd.DataFrame(out, columns=["group_id", "leaf", "position"])
-
-    return rows.mapInPandas(walk, f"group_id {id_type}, leaf int, position int")
+    """Position of every leaf when the tree is read left to right; natural order for groups without a tree.
+
+    A right child begins after its left sibling's leaves. What lies before a leaf is the sum of that over its
+    ancestors, found by pointer doubling: in every round each node adds what its pointer has gathered and points twice as far.
+    """
+    sizes = sizes.select("group_id", F.col("leaves").cast("int").alias("leaves"))
+    steps = linkage.select("group_id", "step", "left", "right", "size").join(sizes, "group_id")
+    node = F.col("leaves") + F.col("step")
+    counts = steps.select("group_id", node.alias("left"), F.col("size").alias("left_size"))
+    known = cut_lineage(
+        steps.join(counts, ["group_id", "left"], "left").select("group_id", node.alias("up"), "left", "right", F.coalesce("left_size", F.lit(1)).alias("left_size")), "children"
+    )
+    root = steps.groupBy("group_id").agg(F.max(node).alias("node"))
+    nodes = known.select("group_id", F.col("left").alias("node"), "up", F.lit(0).alias("before")).unionByName(
+        known.select("group_id", F.col("right").alias("node"), "up", F.col("left_size").alias("before"))
+    ).unionByName(root.select("group_id", "node", F.lit(None).cast("int").alias("up"), F.lit(0).alias("before")))
+    nodes = cut_lineage(nodes, "nodes")
+    while not nodes.filter("up is not null").isEmpty():
+        far = nodes.select("group_id", F.col("node").alias("up"), F.col("up").alias("far"), F.col("before").alias("more"))
+        nodes = cut_lineage(
+            nodes.join(far, ["group_id", "up"], "left").select("group_id", "node", F.col("far").alias("up"), (F.col("before") + F.coalesce("more", F.lit(0))).alias("before")), "nodes"
+        )
+    leaves = sizes.select("group_id", F.explode(F.sequence(F.lit(0), F.greatest(F.col("leaves"), F.lit(1)) - 1)).alias("leaf"), "leaves").filter("leaf < leaves")
+    placed = nodes.select("group_id", F.col("node").alias("leaf"), "before")
+    return leaves.join(placed, ["group_id", "leaf"], "left").select("group_id", "leaf", F.coalesce("before", "leaf").cast("int").alias("position"))

@@ -1,11 +1,12 @@
 """Agreement measures and trees against their definitions."""
 
+import os
 import random
 from fractions import Fraction
 from itertools import combinations
 
-import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ratewise.operators import agreement, linkage, metrics
 
@@ -35,50 +36,68 @@ def sample_pairs(seed, part=8):
     return n, [(a, b, rng.randint(0, part) / part) for a, b in combinations(range(n), 2) if rng.random() < 0.8]
 
 
-def units(pairs):
-    return pd.DataFrame([(a, b, round(d * linkage.UNITS)) for a, b, d in pairs], columns=["a", "b", "units"])
-
-
-@pytest.mark.parametrize("seed", range(40))
-@pytest.mark.parametrize("part", [3, 10])
-def test_ties_of_thirds_and_tenths(seed, part):
-    n, pairs = sample_pairs(seed + 100, part)
-    if not pairs:
-        return
-    exact = [(a, b, Fraction(round(d * linkage.UNITS))) for a, b, d in pairs]
-    got, want = linkage.merge_steps(n, units(pairs)), tree_by_definition(n, exact)
-    assert (got is None) == (want is None)
-    if want:
-        assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want]
-
-
-@pytest.mark.parametrize("seed", range(12))
-def test_merge_steps(seed):
-    n, pairs = sample_pairs(seed)
-    if not pairs:
-        return
-    got = linkage.merge_steps(n, units(pairs))
-    want = tree_by_definition(n, pairs)
-    assert (got is None) == (want is None)
-    if want:
-        assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want]
-        assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
-
-
-def test_trees_in_one_task_and_by_rounds_agree(spark):
-    rows, sizes = [], []
-    for g in range(12):
-        n, pairs = sample_pairs(g + 3, (8, 3, 10)[g % 3])
-        sizes.append((g, n))
-        rows += [(g, a, b, d) for a, b, d in pairs]
+def tied_pairs():
+    """Groups with few and many ties, complete ones, chains of ties, missing distances, and groups that do not connect."""
+    out = [sample_pairs(seed + 100, part) for part in (1, 2, 3, 8, 10) for seed in range(25)] + [sample_pairs(seed) for seed in range(12)]
+    for n in (2, 3, 4, 5, 7, 8, 13):
+        out.append((n, [(a, b, 0.25) for a, b in combinations(range(n), 2)]))
+        out.append((n, [(a, b, (b - a) / 16) for a, b in combinations(range(n), 2)]))
+        out.append((n, [(a, b, 0.0 if a % 3 == b % 3 else 0.5) for a, b in combinations(range(n), 2)]))
+        out.append((n, [(a, b, 0.0 if a // 3 == b // 3 else (a + b) % 2 / 2) for a, b in combinations(range(n), 2)]))
+    return out
+
+
+def linked(spark, groups):
+    rows = [(g, *random.Random(g).sample([a, b], 2), d) for g, (_, pairs) in enumerate(groups) for a, b, d in pairs]
+    rows += [(g, 0, 0, 0.1) for g in range(len(groups))] + [(g, 0, 1, None) for g in range(len(groups))]
     p = spark.createDataFrame(rows, "group_id long, a int, b int, distance double")
-    s = spark.createDataFrame(sizes, "group_id long, leaves int")
-    table = lambda df: sorted((r.group_id, r.step, r.left, r.right, round(r.distance, 9), r.size) for r in df.collect())
-    one, rounds = linkage.average_linkage(p, s), linkage.average_linkage(p, s, max_leaves=1)
-    assert table(one) == table(rounds)
-    order = linkage.leaf_order(one, s).collect()
-    for g, n in sizes:
-        assert sorted(r.leaf for r in order if r.group_id == g) == list(range(n))
+    s = spark.createDataFrame([(g, n) for g, (n, _) in enumerate(groups)], "group_id long, leaves int")
+    return linkage.average_linkage(p, s), s
+
+
+def test_trees_equal_their_definition(spark):
+    groups = tied_pairs()
+    df, sizes = linked(spark, groups)
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: (r.group_id, r.step)):
+        got.setdefault(r.group_id, []).append((r.left, r.right, r.distance, r.size))
+    for g, (n, pairs) in enumerate(groups):
+        exact = [(a, b, Fraction(round(d * linkage.UNITS))) for a, b, d in pairs]
+        want = tree_by_definition(n, exact)
+        assert (want is None) == (g not in got), g
+        if want:
+            assert [x[:2] + x[3:] for x in got[g]] == [w[:2] + w[3:] for w in want], (g, n, pairs)
+            assert [x[2] for x in got[g]] == pytest.approx([float(w[2]) / linkage.UNITS for w in want])
+    order = {}
+    for r in linkage.leaf_order(df, sizes).collect():
+        order.setdefault(r.group_id, {})[r.position] = r.leaf
+    for g, (n, _) in enumerate(groups):
+        want = list(range(n))
+        if g in got:
+            children = {n + i: s[:2] for i, s in enumerate(got[g])}
+            walk = lambda c: [x for k in children[c] for x in walk(k)] if c in children else [c]
+            want = walk(n + len(got[g]) - 1)
+        assert [order[g][i] for i in range(n)] == want
+
+
+def test_empty_and_single_leaf_groups(spark):
+    assert linked(spark, [])[0].collect() == []
+    df, sizes = linked(spark, [(1, []), (3, [])])
+    assert df.collect() == []
+    assert sorted(map(tuple, linkage.leaf_order(df, sizes).collect())) == [(0, 0, 0), (1, 0, 0), (1, 1, 1), (1, 2, 2)]
+
+
+def test_a_group_of_many_leaves(spark):
+    """Points in clusters: heights rise, every node is merged once, and no round count near the number of leaves."""
+    n = 5_000 if os.environ.get("RATEWISE_ALL") else 600
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
+    ids = spark.range(n).select(F.col("id").cast("int").alias("a"), place.alias("x"))
+    pairs = ids.crossJoin(ids.select(F.col("a").alias("b"), F.col("x").alias("y"))).filter("a < b").select(F.lit("g").alias("group_id"), "a", "b", F.abs(F.col("x") - F.col("y")).alias("distance"))
+    sizes = spark.createDataFrame([("g", n)], "group_id string, leaves int")
+    steps = sorted(linkage.average_linkage(pairs, sizes).collect(), key=lambda r: r.step)
+    assert len(steps) == n - 1 and steps[-1].size == n
+    assert sorted(c for r in steps for c in (r.left, r.right)) == list(range(2 * n - 2))
+    assert all(x.distance <= y.distance + 1e-12 for x, y in zip(steps, steps[1:]))
 
 
 def test_pair_counts_do_not_depend_on_blocks(spark):
