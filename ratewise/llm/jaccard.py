@@ -4,10 +4,10 @@
    class at once; one row per class goes on, so thousands of copies cost one signature.
 2. Band hashes are shuffled; each band's members are linked to its least member (never all pairs), and the components of
    these links are the candidate groups. Every pair that shares a band lies in one group.
-3. Each group compares its full sets: a small group in one task, a large one in pairs of blocks of bounded size. A task
-   counts shared shingles of two blocks as matrix products and returns one row per member: its number of links and the
-   least member it is linked to through others, so the output stays linear in the group.
-4. Components of the true links give the classes.
+3. Each group compares its full sets: a small group in one task, a large one in blocks and pairs of blocks of bounded size. A
+   task counts shared shingles as matrix products. Blocks are compared within themselves first, which gives every member a label
+   (one edge a member); pairs of blocks then add counts, and edges between the few labels only.
+4. Components of these edges give the classes.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1 << 19
 COLUMNS = 2048
 NO_ID = -(1 << 63)
+MEMBER = ["h", "copies", "part", "parts", "group"]
 
 
 def banding(threshold: float, recall: float, most_hashes: int = 96) -> tuple[int, int]:
@@ -71,7 +72,7 @@ def _signatures(size: int, bands: int, rows: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = W.Splitter(W.alphanumeric())
         for batch in batches:
-            docs = batch.column("doc")
+            docs, names = batch.column("doc"), batch.column("t")
             for lo, hi, data, offsets in W.slices(batch.column("text")):
                 sets, ends = shingle_sets(split(data, offsets), size)
                 some = np.flatnonzero(np.diff(ends))
@@ -91,29 +92,31 @@ def _signatures(size: int, bands: int, rows: int):
                 lengths[some + 1] = bands
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(W.signed(hashes.ravel())))
                 yield pa.RecordBatch.from_arrays(
-                    [docs.slice(lo, hi - lo), pa.array(W.signed(sums[0])), pa.array(W.signed(sums[1])), pa.array(np.diff(ends)), lists], names=["doc", "h", "h2", "n", "bands"],
+                    [docs.slice(lo, hi - lo), names.slice(lo, hi - lo), pa.array(W.signed(sums[0])), pa.array(W.signed(sums[1])), pa.array(np.diff(ends)), lists], names=["doc", "t", "h", "h2", "n", "bands"],
                 )
 
     return emit
 
 
 def _sets(size: int):
-    """The sorted shingle set of each candidate, as bytes; of rows that share an id, those whose digest is the asked one."""
+    """The sorted shingle set of each candidate, as bytes; of rows in a row that are equal in id and text, once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = W.Splitter(W.alphanumeric())
+        split, last = W.Splitter(W.alphanumeric()), None
         for batch in batches:
             asked = batch.column("h").to_numpy(zero_copy_only=False)
+            new = np.ones(len(asked), bool)
+            new[1:] = asked[1:] != asked[:-1]
+            if len(asked):
+                new[0] = asked[0] != last
+                last = asked[-1]
+            batch = batch.filter(pa.array(new))
             for lo, hi, data, offsets in W.slices(batch.column("text")):
                 sets, ends = shingle_sets(split(data, offsets), size)
-                total = np.concatenate([[W.U(0)], np.cumsum(W.mix(sets), dtype=W.U)])
-                same = W.signed(total[ends[1:]] - total[ends[:-1]]) == asked[lo:hi]
-                body = [sets[a:b].tobytes() if ok else None for a, b, ok in zip(ends[:-1], ends[1:], same)]
-                kept = pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(lo, hi - lo) for c in ("rep", "copies", "part", "parts", "group")], pa.array(body, pa.binary())],
-                    names=["rep", "copies", "part", "parts", "group", "shingles"],
+                body = [sets[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).slice(lo, hi - lo) for c in MEMBER], pa.array(body, pa.binary())], names=[*MEMBER, "shingles"],
                 )
-                yield kept.filter(pa.array(same))
 
     return emit
 
@@ -149,13 +152,18 @@ def _least(links: np.ndarray, names: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _linked(threshold: float):
+def _compared(threshold: float, within: bool):
+    """Members of one block (``within``) or of two: each member's links, and what they connect.
+
+    Within a block a row names the least member it is connected to. Between blocks the rows of members have counts alone; what
+    connects is said once per label of a block, in a row of its own, so no member has a row per block that it touches for that.
+    """
+
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        # Parts sum over float32 products: exact up to 2^24 shared shingles.
-        a, b = key[1], key[2]
+        # Sums over float32 products: exact up to 2^24 shared shingles.
         sets = [np.frombuffer(x, W.U) for x in pdf["shingles"]]
-        part, rep, copies = pdf["part"].to_numpy(), pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
-        ones, twos = np.flatnonzero(part == a), np.flatnonzero(part == b)
+        part, h, copies = pdf["part"].to_numpy(), pdf["h"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
+        ones, twos = np.flatnonzero(part == key[1]), np.flatnonzero(part == key[2])
         sizes = np.array([len(x) for x in sets], np.float64)
         links = np.zeros((len(sets), len(sets)), bool)
         if len(ones) and len(twos):
@@ -164,9 +172,18 @@ def _linked(threshold: float):
             links[np.ix_(ones, twos)] = shared + 1e-9 >= threshold * union
             links |= links.T
         np.fill_diagonal(links, False)
-        n = links @ copies
+        out = pd.DataFrame({"h": h, "links": links @ copies})
         np.fill_diagonal(links, True)
-        return pd.DataFrame({"rep": rep, "links": n, "least": _least(links, rep)})
+        if within:
+            return out.assign(least=_least(links, h))
+        labels, which = np.unique(pdf["label"].to_numpy(np.int64), return_inverse=True)
+        between = np.eye(len(labels), dtype=bool)
+        i, j = np.nonzero(links)
+        between[which[i], which[j]] = True
+        least = _least(between, labels)
+        joined = least != labels
+        counted = out[out["links"] > 0].assign(least=None)
+        return pd.concat([counted, pd.DataFrame({"h": labels[joined], "links": 0, "least": least[joined]})]).astype({"least": "Int64"})
 
     return compare
 
@@ -177,15 +194,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     Two documents are linked if the Jaccard similarity of their sets of ``size``-word shingles is ``threshold`` or more.
     ``class_id`` is the least id that links lead to, ``copy_of`` the least id with an equal set, ``n_links`` the number of
     linked rows, copies included. Words are runs of letters, digits and bytes beyond ASCII, with A-Z lower-cased. A
-    text without words (null, empty) is linked to nothing; a null id counts as smaller than all others; of rows that share an
-    id all take part, and they end in one class. A pair at the threshold is found with probability ``recall`` or more, closer pairs
+    text without words (null, empty) is linked to nothing; a null id counts as smaller than all others; rows that share an id
+    or have none take part by their own texts. A pair at the threshold is found with probability ``recall`` or more, closer pairs
     nearly always. Other columns are not read.
     """
     bands, rows = banding(threshold, recall)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    signed = cut_lineage(texts.mapInArrow(_signatures(size, bands, rows), "doc long, h long, h2 long, n long, bands array<long>"), "signatures")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
+    signed = cut_lineage(texts.mapInArrow(_signatures(size, bands, rows), "doc long, t long, h long, h2 long, n long, bands array<long>"), "signatures")
     worded = signed.filter("n > 0")
-    classes = cut_lineage(worded.groupBy("h", "h2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "copies")
+    whose = F.min(F.struct("doc", "t"))
+    classes = worded.groupBy("h", "h2", "n").agg(whose.alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = cut_lineage(classes.select("h", "h2", "n", F.col("least.doc").alias("rep"), F.col("least.t").alias("t"), "copies", "bands"), "copies")
 
     # Candidate groups.
     banded = classes.select("h", F.explode("bands").alias("band"))
@@ -195,22 +214,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     per_group = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     parts = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
     sized = cut_lineage(per_group.select("group", parts.alias("parts")), "groups")
-    placed = members.join(sized, "group").select("h", F.col("rep").alias("doc"), "rep", "copies", "group", "parts", F.pmod(F.xxhash64("h"), "parts").cast("int").alias("part"))
-
-    # True links, block pair by block pair.
-    row = "rep long, copies long, part int, parts int, group long, shingles binary"
-    sets = texts.join(placed, "doc").select("text", "h", "rep", "copies", "part", "parts", "group").mapInArrow(_sets(size), row)
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    paired = paired.select("rep", "copies", "part", "group", "shingles", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
-    linked = cut_lineage(paired.groupBy("group", "one", "two").applyInPandas(_linked(threshold), "rep long, links long, least long"), "links")
-    labels = connected(linked.filter("rep <> least").select("rep", "least"), "rep", "least").withColumnRenamed("node", "rep")
-    counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-
-    # One row per document.
-    known = classes.select("h", "h2", "n", "rep", "copies").join(counts, "rep", "left").join(labels, "rep", "left")
-    known = cut_lineage(
-        known.select("h", "h2", "n", "rep", F.coalesce("label", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes",
-    )
+    placed = members.join(sized, "group").select("h", F.col("rep").alias("doc"), "t", "copies", "group", "parts", F.pmod(F.xxhash64("h"), "parts").cast("int").alias("part"))
+
+    # True links, block by block and then block pair by block pair. A class's text is found by its id and its hash, so rows
+    # that share an id, or have none, do not meet each other's classes.
+    row = "h long, copies long, part int, parts int, group long, shingles binary"
+    found = texts.join(placed, ["doc", "t"]).select("text", *MEMBER)
+    sets = cut_lineage(found.mapInArrow(_sets(size), row).dropDuplicates(["h"]), "sets")
+    member = [c for c in MEMBER if c != "parts"]
+    own = sets.select(*member, "shingles", F.col("part").alias("one"), F.col("part").alias("two"))
+    inside = cut_lineage(own.groupBy("group", "one", "two").applyInPandas(_compared(threshold, True), "h long, links long, least long"), "inside")
+    labelled = sets.filter("parts > 1").join(inside.select("h", F.col("least").alias("label")), "h")
+    paired = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
+    paired = paired.select(*member, "shingles", "label", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
+    across = cut_lineage(paired.groupBy("group", "one", "two").applyInPandas(_compared(threshold, False), "h long, links long, least long"), "across")
+    joined = inside.filter("h <> least").select("h", "least").unionByName(across.filter("least is not null").select("h", "least"))
+    labels = connected(joined, "h", "least").withColumnRenamed("node", "h").withColumnRenamed("label", "top")
+    counts = inside.select("h", "links").unionByName(across.select("h", "links")).groupBy("h").agg(F.sum("links").alias("links"))
+
+    # One row per document. Classes are named by the least id that any of their members' copies has.
+    known = classes.select("h", "h2", "n", "rep", "copies").join(counts, "h", "left").join(labels, "h", "left").withColumn("top", F.coalesce("top", "h"))
+    known = cut_lineage(known.select("h", "h2", "n", "rep", "top", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes")
+    known = known.join(known.groupBy("top").agg(F.min("rep").alias("class")), "top").select("h", "h2", "n", "rep", "class", "links")
     out = worded.select("doc", "h", "h2", "n").join(known, ["h", "h2", "n"]).select("doc", "class", "rep", "links")
     alone = signed.filter("n = 0").select("doc", F.col("doc").alias("class"), F.col("doc").alias("rep"), F.lit(0).cast("long").alias("links"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

@@ -169,6 +169,19 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert max(n) >= 11
 
 
+def test_rows_without_ids_are_compared_by_their_own_texts(spark, monkeypatch):
+    """A third of the ids null, copies and near copies among them, and a group of more than two blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:-1] + [f"end{i % 14}"]) for i in range(22)] + [" ".join(f"p{i // 2}x{k}" for k in range(30)) + (" tail" if i % 2 else "") for i in range(24)] + ["alone and apart"] * 5
+    data = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t, *rows()[0][2:]) for i, t in enumerate(texts)]
+    got = sorted((r.n_links for r in jaccard.near_duplicates(frame(spark, data).repartition(4)).collect()))
+    label, n = linked(data)
+    assert got == sorted(n)
+    classes = jaccard.near_duplicates(frame(spark, [(i, *r[1:]) for i, r in enumerate(data)])).collect()
+    assert [r.class_id for r in sorted(classes, key=lambda r: r.doc_id)] == linked([(i, *r[1:]) for i, r in enumerate(data)])[0]
+
+
 def test_repeated_rows_share_a_class(spark):
     data = [(1, "a b c d e f g", *rows()[0][2:])] * 3 + [(2, "a b c d e f g", *rows()[0][2:]), (3, "q r s t u v", *rows()[0][2:])]
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(frame(spark, data)).collect())
