@@ -27,19 +27,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near duplicates the row with the least id stays; rows without an id all stay.
+    """Of every class of near duplicates the row with the least id stays; one without an id only where none has one.
 
-    Rows that share an id are judged by their own texts; of rows with the same id and text the least stays.
+    Rows are judged by their own texts, whatever their ids; of rows with the same id (or none) and text the least stays. A
+    key that two different rows share by chance keeps both of them.
     """
-    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("key", F.xxhash64("doc_id", "text"))
+    named = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     found = jaccard.near_duplicates(named, threshold=0.8, size=5, id_col="key")
     ids = named.select("key", "doc_id").distinct()
     classes = found.select("key", "class_id").distinct().join(ids, "key")
-    stays = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("least.*")
-    kept = named.select("key", "doc_id", "text", F.struct(*COLUMNS).alias("row")).join(stays.select("key"), "key", "left_semi")
+    stays = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("least")).select("least.key").distinct()
+    kept = named.select("key", "doc_id", "text", F.struct(*COLUMNS).alias("row")).join(stays, "key", "left_semi")
     # The rows of a key already lie together here.
-    once = kept.groupBy("key", "doc_id", "text").agg(F.min("row").alias("row")).select("row.*")
-    return once.unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
+    return kept.groupBy("key", "doc_id", "text").agg(F.min("row").alias("row")).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of whose words at least one in twenty lies in a 13-word window of the benchmark go, whatever their ids.
 
-    The verdict is a function of the text alone, so rows are named by their texts' hashes.
+    The verdict is a function of the text alone, so rows are named by their texts' hashes; a hash that texts of both verdicts share
+    by chance is no reason to go.
     """
     keyed = docs.withColumn("key", F.xxhash64("text"))
     found = contamination.contamination(spark, keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, id_col="key")
-    bad = found.filter("contaminated").select("key").distinct()
+    bad = found.groupBy("key").agg(F.bool_and("contaminated").alias("bad")).filter("bad").select("key")
     return keyed.join(bad, "key", "left_anti").select(*COLUMNS)
 
 
