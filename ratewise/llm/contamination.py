@@ -22,7 +22,9 @@ from ratewise.llm import words as W
 from ratewise.session import scratch_path
 
 SHARD_BYTES = 8 << 20
-BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 2 << 20
+CHUNK_PHRASES = 1 << 16
+CHUNK_POSTINGS = 1 << 20
 NO_ID = -(1 << 63)
 PARTS = ["docs", "ends", "terms", "firsts", "postings"]
 INDEX = "shard string, docs binary, ends binary, terms binary, firsts binary, postings binary"
@@ -41,10 +43,10 @@ def _shards(wanted: np.ndarray | None, shard_bytes: int):
 
         def flush():
             docs, lengths, hashes, at = (np.concatenate(x) for x in zip(*held))
-            terms, which, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-            order = np.argsort(which, kind="stable")
-            firsts = np.concatenate([[0], np.cumsum(counts)])
-            parts = [docs.astype(np.int64), np.cumsum(lengths), terms, firsts.astype(np.int32), at[order].astype(np.int32)]
+            order = np.argsort(hashes, kind="stable")
+            hashes = hashes[order]
+            firsts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, np.int64)
+            parts = [docs.astype(np.int64), np.cumsum(lengths), hashes[firsts], np.append(firsts, len(hashes)).astype(np.int32), at[order].astype(np.int32)]
             return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["shard", *PARTS])
 
         for batch in batches:
@@ -121,6 +123,10 @@ class Shard:
         self.docs, self.ends = np.frombuffer(docs, np.int64), np.frombuffer(ends, np.int64)
         self.terms, self.firsts, self.postings = np.frombuffer(terms, W.U), np.frombuffer(firsts, np.int32), np.frombuffer(postings, np.int32)
 
+    def keys(self) -> np.ndarray:
+        """Number of the term and word position of every posting in one ascending number."""
+        return np.repeat(np.arange(len(self.terms), dtype=np.int64), np.diff(self.firsts)) << 32 | self.postings
+
     def of(self, term: np.uint64) -> np.ndarray:
         """Word positions of a term, ascending."""
         at = int(np.searchsorted(self.terms, term))
@@ -132,17 +138,6 @@ class Shard:
         """Which of the shard's documents holds a word position."""
         return np.searchsorted(self.ends, position, "right")
 
-    def phrase(self, terms: np.ndarray, order: np.ndarray) -> np.ndarray:
-        """Starts of a phrase: offset-adjusted postings, intersected in the given order of its terms."""
-        starts = None
-        for k in order:
-            own = self.of(terms[k])
-            starts = own - k if starts is None else starts[_member(starts + k, own)[0]]
-            if len(starts) == 0:
-                return starts
-        starts = starts[starts >= 0]
-        return starts[self.doc_of(starts) == self.doc_of(starts + len(terms) - 1)]
-
     def near(self, terms: np.ndarray, order: np.ndarray, distance: int) -> np.ndarray:
         """Positions of the rarest term with every other term at most ``distance`` words away in the same document."""
         at = self.of(terms[order[0]])
@@ -158,72 +153,130 @@ class Shard:
         return at
 
 
-def _phrases(items: list[tuple[str, np.ndarray]], window: int) -> tuple[np.ndarray, list[tuple[str, np.ndarray]]]:
-    """All windows of items; an item with fewer words, but not none, is one window."""
-    out = []
-    for item, terms in items:
-        for s in range(max(1, len(terms) - window + 1) if len(terms) else 0):
-            out.append((item, terms[s : s + window]))
-    return np.unique(np.concatenate([t for _, t in out])) if out else np.empty(0, W.U), out
+class Phrases:
+    """Runs of consecutive words of some items, found in a shard all at once.
 
+    ``words``: hashes of the items' words in a row; a phrase is ``lengths[i]`` words from ``starts[i]`` on, of item ``owners[i]``.
+    """
 
-def _ranked(phrases: list[tuple[str, np.ndarray]], vocabulary: np.ndarray, counts: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Phrases whose terms all occur somewhere, with their terms' order from the rarest on."""
-    out = []
-    for item, terms in phrases:
-        n = counts[np.searchsorted(vocabulary, terms)]
-        if n.min() > 0:
-            out.append((item, terms, np.argsort(n, kind="stable")))
-    return out
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int | None = None):
+        self.names = [name for name, _ in items]
+        sizes = np.array([len(t) for _, t in items], np.int64)
+        self.words = np.concatenate([t for _, t in items]) if items else np.empty(0, W.U)
+        # An item of fewer words than the window, but not none, is one phrase; without a window every item is.
+        lengths = np.minimum(sizes, window) if window else sizes
+        each = np.where(sizes > 0, sizes - lengths + 1, 0)
+        self.owners = np.repeat(np.arange(len(items)), each)
+        first = np.cumsum(sizes) - sizes
+        self.starts = first[self.owners] + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        self.lengths = lengths[self.owners]
+        self.counts = np.zeros(len(self.words), np.int64)
+
+    def count(self, index: DataFrame) -> Phrases:
+        """Learns how often each word occurs in the corpus; phrases with a word that never does are dropped."""
+        vocabulary, which = np.unique(self.words, return_inverse=True)
+        self.counts = term_counts(index, vocabulary)[which] if len(vocabulary) else self.counts
+        absent = np.concatenate([[0], np.cumsum(self.counts == 0)])
+        keep = absent[self.starts + self.lengths] == absent[self.starts]
+        self.owners, self.starts, self.lengths = self.owners[keep], self.starts[keep], self.lengths[keep]
+        return self
+
+    def find(self, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, first word) of all occurrences: the postings of the rarest words of all phrases, moved by their offsets, are
+        intersected with those of the next rarest, until every word has been asked for."""
+        none = np.empty(0, np.int64), np.empty(0, np.int64)
+        if not len(self.starts) or not len(shard.terms):
+            return none
+        has, term = _member(self.words, shard.terms)
+        missing = np.concatenate([[0], np.cumsum(~has)])
+        alive = np.flatnonzero(missing[self.starts + self.lengths] == missing[self.starts])
+        key, found = shard.keys(), [none]
+        for lo in range(0, len(alive), CHUNK_PHRASES):
+            found += self._found(shard, key, term, alive[lo : lo + CHUNK_PHRASES])
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _found(self, shard: Shard, key: np.ndarray, term: np.ndarray, alive: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        most = int(self.lengths[alive].max())
+        offsets = np.arange(most)
+        inside = offsets[None, :] < self.lengths[alive][:, None]
+        at = np.where(inside, self.starts[alive][:, None] + offsets, 0)
+        order = np.argsort(np.where(inside, self.counts[at], np.iinfo(np.int64).max), axis=1, kind="stable")
+        rare = term[self.starts[alive] + order[:, 0]]
+        begins = shard.firsts[rare].astype(np.int64)
+        n = shard.firsts[rare + 1] - begins
+        # So many phrases at once as have a bounded number of postings of their rarest words.
+        parts = np.cumsum(n) // CHUNK_POSTINGS
+        for part in np.unique(parts):
+            some = np.flatnonzero(parts == part)
+            ends = np.cumsum(n[some])
+            phrase = np.repeat(some, n[some])
+            place = np.repeat(begins[some] - (ends - n[some]), n[some]) + np.arange(int(ends[-1]))
+            start = shard.postings[place].astype(np.int64) - order[phrase, 0]
+            for k in range(1, most):
+                asked = self.lengths[alive][phrase] > k
+                offset = order[phrase, k]
+                wanted = term[np.where(asked, self.starts[alive][phrase] + offset, 0)].astype(np.int64) << 32 | np.maximum(start + offset, 0)
+                ok = ~asked | ((start >= 0) & _member(wanted, key)[0])
+                phrase, start = phrase[ok], start[ok]
+            last = start + self.lengths[alive][phrase] - 1
+            ok = (start >= 0) & (shard.doc_of(start) == shard.doc_of(last))
+            yield alive[phrase[ok]], start[ok]
 
 
 # Matches ----------------------------------------------------------------------------------------
 
 
-def _matched(index: DataFrame, phrases: list[tuple[str, np.ndarray, np.ndarray]], distance: int | None) -> DataFrame:
+def phrase_matches(index: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
+    """(query, doc, position of the first word) of every exact occurrence of the phrases; a phrase without words has none."""
+    phrases = Phrases(_worded(queries)).count(index)
+
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 shard = Shard(*row)
                 begins = np.concatenate([[0], shard.ends[:-1]])
-                for name, terms, order in phrases:
-                    at = shard.phrase(terms, order) if distance is None else shard.near(terms, order, distance)
-                    doc = shard.doc_of(at)
-                    if len(at):
-                        yield pd.DataFrame({"query": name, "doc": shard.docs[doc], "position": at - begins[doc]})
+                which, at = phrases.find(shard)
+                doc = shard.doc_of(at)
+                yield pd.DataFrame({"query": [phrases.names[i] for i in phrases.owners[which]], "doc": shard.docs[doc], "position": at - begins[doc]})
 
     return index.select(*PARTS).mapInPandas(search, "query string, doc long, position long")
 
 
-def _asked(index: DataFrame, queries: list[tuple[str, str]]) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    named = [(name, t) for (name, _), t in zip(queries, term_hashes([q for _, q in queries])) if len(t)]
-    if not named:
-        return []
-    vocabulary = np.unique(np.concatenate([t for _, t in named]))
-    return _ranked(named, vocabulary, term_counts(index, vocabulary))
-
-
-def phrase_matches(index: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
-    """(query, doc, position of the first word) of every exact occurrence of the phrases; a phrase without words has none."""
-    return _matched(index, _asked(index, queries), None)
+def _worded(queries: list[tuple[str, str | None]]) -> list[tuple[str, np.ndarray]]:
+    return [(name, t) for (name, _), t in zip(queries, term_hashes([q for _, q in queries])) if len(t)]
 
 
 def proximity_matches(index: DataFrame, queries: list[tuple[str, str]], distance: int) -> DataFrame:
     """(query, doc, position) of every occurrence of a query's rarest term that has all its other terms at most ``distance`` words away."""
-    return _matched(index, _asked(index, queries), distance)
+    named = _worded(queries)
+    vocabulary = np.unique(np.concatenate([t for _, t in named])) if named else np.empty(0, W.U)
+    counts = term_counts(index, vocabulary)
+    asked = [(name, t, np.argsort(n, kind="stable")) for name, t in named if (n := counts[np.searchsorted(vocabulary, t)]).min() > 0]
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                shard = Shard(*row)
+                begins = np.concatenate([[0], shard.ends[:-1]])
+                for name, terms, order in asked:
+                    at = shard.near(terms, order, distance)
+                    doc = shard.doc_of(at)
+                    if len(at):
+                        yield pd.DataFrame({"query": name, "doc": shard.docs[doc], "position": at - begins[doc]})
+
+    return index.select(*PARTS).mapInPandas(search, "query string, doc long, position long")
 
 
-def _spans(index: DataFrame, phrases: list[tuple[str, np.ndarray, np.ndarray]]) -> DataFrame:
+def _spans(index: DataFrame, phrases: Phrases) -> DataFrame:
     """(shard, first word, word after the last, item) of every occurrence of a phrase."""
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = np.array(phrases.names, object)
         for frame in frames:
             for name, *parts in frame.itertuples(index=False):
-                shard = Shard(*parts)
-                for item, terms, order in phrases:
-                    at = shard.phrase(terms, order)
-                    if len(at):
-                        yield pd.DataFrame({"shard": name, "first": at, "after": at + len(terms), "item": item})
+                which, at = phrases.find(Shard(*parts))
+                if len(at):
+                    yield pd.DataFrame({"shard": name, "first": at, "after": at + phrases.lengths[which], "item": names[phrases.owners[which]]})
 
     return index.select("shard", *PARTS).mapInPandas(search, "shard string, first long, after long, item string")
 
@@ -245,7 +298,7 @@ def _report(key: tuple, shards: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFra
 
 def contamination(
     spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    block_items: int = BLOCK_ITEMS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_hit``, sorted ``items`` found in it, and ``contaminated``.
 
@@ -253,19 +306,18 @@ def contamination(
     is hit; a document is contaminated if at least one word in twenty is hit. Words are runs of letters, digits and bytes beyond
     ASCII, with A-Z lower-cased. Null and empty texts have no words; items without words or with a null id are
     skipped; equal items are all reported; rows that share an id are documents of their own. Items are taken in blocks of
-    ``block_items``, so a benchmark of any size fits; the index is built once, and limited to the items' terms if there is one block.
+    about ``block_bytes`` of text (one longer item is never cut), so a benchmark of any size fits; the index is built once and
+    holds the postings of all words of the corpus.
     """
     listed = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body"))
-    rows = listed.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(-(-listed.count() // block_items) or 1)))
-    blocks = [r[0] for r in rows.select("block").distinct().orderBy("block").collect()] or [0]
-    spans, index = None, None
+    size = listed.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    rows = listed.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(-(-size // block_bytes) or 1)))
+    blocks = [r[0] for r in rows.select("block").distinct().orderBy("block").collect()]
+    index = build_index(docs, scratch_path(spark, "index"), id_col, text_col)
+    spans = spark.createDataFrame([], "shard string, first long, after long, item string")
     for block in blocks:
         items = rows.filter(F.col("block") == block).select("item", "body").collect()
-        vocabulary, phrases = _phrases(list(zip([i.item for i in items], term_hashes([i.body for i in items]))), window)
-        if index is None:
-            index = build_index(docs, scratch_path(spark, "index"), id_col, text_col, vocabulary if len(blocks) == 1 else None)
-        found = _spans(index, _ranked(phrases, vocabulary, term_counts(index, vocabulary)))
-        spans = found if spans is None else spans.unionByName(found)
+        spans = spans.unionByName(_spans(index, Phrases(_worded([(i["item"], i["body"]) for i in items]), window).count(index)))
     report = "doc long, n_words long, n_hit long, items array<string>"
     out = index.select("shard", "docs", "ends").groupBy("shard").cogroup(spans.groupBy("shard")).applyInPandas(_report, report)
     hit = (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))

@@ -101,13 +101,15 @@ def contaminated(text, items, window):
     return len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block_items", [20_000, 2])
-def test_contamination(spark, block_items):
+@pytest.mark.parametrize("block_bytes,chunk", [(1 << 20, 1 << 16), (200, 3)])
+def test_contamination(spark, monkeypatch, block_bytes, chunk):
+    monkeypatch.setattr(contamination, "CHUNK_PHRASES", chunk)
+    monkeypatch.setattr(contamination, "CHUNK_POSTINGS", 4 * chunk)
     data = rows(3)
     data += [(None, *data[1][1:]), data[5], data[5]]
     items = [(1, data[1][1]), (2, "A B! c D"), (10, "word"), (3, None), (4, "..."), (None, "word"), (5, " ".join(["la"] * 20)), (6, data[1][1]), (7, "not there at all")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    got = contamination.contamination(spark, frame(spark, data), bench, 13, block_items=block_items).collect()
+    got = contamination.contamination(spark, frame(spark, data), bench, 13, block_bytes=block_bytes).collect()
     want = [(repr(r[0]), *contaminated(r[1], [(str(i), t) for i, t in items if i is not None], 13)) for r in data]
     assert sorted((repr(r.doc_id), r.n_words, r.n_hit, sorted(r["items"]), r.contaminated) for r in got) == sorted(want)
     assert any(w[-1] for w in want)
@@ -116,6 +118,16 @@ def test_contamination(spark, block_items):
     assert contamination.contamination(spark, frame(spark, []), bench, 13).count() == 0
 
 
+def test_many_items(spark):
+    """50,000 short items in blocks by bytes."""
+    texts = ["w1 w2 w3 w4 w5", "w17 w18 nothing", "w49999 w50000 w50001", ""]
+    items = spark.range(50_000).selectExpr("cast(id as string) as item_id", "concat('w', id, ' w', id + 1) as text")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in contamination.contamination(spark, docs, items, 13, block_bytes=200_000).collect()}
+    assert [got[d]["items"] for d in range(4)] == [["1", "2", "3", "4"], ["17"], ["49999"], []]
+    assert [got[d]["n_hit"] for d in range(4)] == [5, 2, 2, 0]
+
+
 def test_phrases_and_proximity(spark, tmp_path):
     texts = ["one two three two one", "three two", "x one y two", None, "", "two one", "one " * 5000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
