@@ -20,8 +20,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ratewise.llm import words as W
 from ratewise.session import cut_lineage
 
-SPAN = 40  # longer words are scored in spans of so many bytes
-SLICE = 1 << 20
+SPAN = 40  # the longest piece in bytes; in training alone, longer words are taken in spans of so many bytes
+RESCALE = 16
+BEGINS = 256
+WORDS = 1 << 14
+SLICE = 1 << 19
 ROUNDS = 3
 SMOOTHING = 0.1
 LEAST = 1e-7
@@ -65,10 +68,10 @@ class Lattice:
             h = h * W.U(0xD1342543DE82EF95) + rows[:, j : j + n].astype(W.U) + W.U(1)
         return W.mix(h)
 
-    def arcs(self, rows: np.ndarray) -> dict[int, np.ndarray]:
+    def arcs(self, rows: np.ndarray, longest: int | None = None) -> dict[int, np.ndarray]:
         """Piece numbers (words x begins) by piece length; -1 where there is none."""
         out, h = {}, np.zeros(rows.shape, W.U)
-        for m in range(1, rows.shape[1] + 1):
+        for m in range(1, min(longest or rows.shape[1], rows.shape[1]) + 1):
             n = rows.shape[1] - m + 1
             h = h[:, :n] * W.U(0xD1342543DE82EF95) + rows[:, m - 1 :].astype(W.U) + W.U(1)
             if m in self.by_length:
@@ -90,6 +93,31 @@ class Lattice:
                     alpha[t] += alpha[t - m] * p[found[:, t - m]]
         return alpha
 
+    def log_sums(self, rows: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over all segmentations of equally long words of any length: words x languages.
+
+        Only the sums that the longest piece can reach back to are held, scaled up again and again; pieces are looked up for a
+        bounded number of begins at a time.
+        """
+        n, width = rows.shape
+        reach = min(max(self.by_length), width)
+        ring, scale = np.zeros((reach + 1, n, p.shape[1])), np.zeros((n, p.shape[1]))
+        ring[0] = 1
+        # Sums at t are added to from every begin before it, so the ring holds those of t to t + reach.
+        for lo in range(0, width, BEGINS):
+            arcs = self.arcs(rows[:, lo : lo + BEGINS + reach - 1], reach)
+            for t in range(lo, min(width, lo + BEGINS)):
+                here = ring[t % (reach + 1)].copy()
+                ring[t % (reach + 1)] = 0
+                for m, found in arcs.items():
+                    if t + m <= width:
+                        ring[(t + m) % (reach + 1)] += here * p[found[:, t - lo]]
+                if t % RESCALE == RESCALE - 1:
+                    top = ring.max(axis=0)
+                    ring /= top
+                    scale += np.log(top)
+        return np.log(ring[width % (reach + 1)]) + scale
+
     def backward(self, arcs: dict[int, np.ndarray], n: int, width: int, p: np.ndarray) -> np.ndarray:
         beta = np.zeros((width + 1, n, p.shape[1]))
         beta[width] = 1
@@ -127,13 +155,11 @@ class Model:
     p: np.ndarray
 
     def word_scores(self, lattice: Lattice, words: list[bytes]) -> np.ndarray:
-        """Log-probability of each word in each language."""
-        spans, owner = _spans(words)
-        logs = np.zeros((len(spans), len(self.languages)))
-        for width, at, rows in _by_width(spans):
-            logs[at] = np.log(lattice.forward(lattice.arcs(rows), len(rows), width, self.p)[width])
+        """Log-probability of each word, with the space before it, in each language."""
         out = np.zeros((len(words), len(self.languages)))
-        np.add.at(out, owner, logs)
+        for lo in range(0, len(words), WORDS):
+            for _, at, rows in _by_width([b" " + w for w in words[lo : lo + WORDS]]):
+                out[lo + at] = lattice.log_sums(rows, self.p)
         return out
 
 
@@ -159,12 +185,19 @@ def word_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def train(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = ROUNDS, sample_rows: int | None = SAMPLE_ROWS) -> Model:
-    """Fits the piece probabilities on the rows with a text and a language, or on about ``sample_rows`` of them chosen by id hash."""
+    """Fits the piece probabilities on the rows with a text and a language, or on about ``sample_rows`` of them chosen by hash.
+
+    Languages are those of all such rows. Each has the same number of sampled rows, or all it has if they are fewer, so that a rare
+    language is learned like a common one.
+    """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if sample_rows is not None:
-        total = known.count()
-        share = F.lit(min(1.0, sample_rows / max(1, total)))
-        known = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20))
+        found = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+        each = sample_rows / max(1, len(found))
+        share = F.lit(0)
+        for name, n in sorted(found.items()):
+            share = F.when(F.col(lang_col) == name, F.lit(int(min(1.0, each / n) * (1 << 30)))).otherwise(share)
+        known = known.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < share)
     counts = cut_lineage(word_counts(known, text_col, lang_col), "words")
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     pieces = vocabulary(model)
@@ -200,13 +233,15 @@ def train(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
 
 
 def identify(docs: DataFrame, fitted: Model, id_col: str = "doc_id", text_col: str = "text", others: dict[str, Column] | None = None) -> DataFrame:
-    """One row per document: id, ``lang_pred``, ``score`` (posterior of that language under equal priors), and ``others``.
+    """One row per document: id, ``lang_pred``, ``score`` (posterior of that language under equal priors), and ``others``
+    (one named like the text column is the text itself).
 
-    A null text, a text without a letter, or a model without languages gives ``und`` and 0. Every word of a text counts, words
-    longer than ``SPAN`` bytes in spans. Equal posteriors go to the first language by name. Rows and ids pass as they are.
+    A null text, a text without a letter, or a model without languages gives ``und`` and 0. Every word of a text counts, whatever
+    its length. Equal posteriors go to the first language by name. Rows and ids pass as they are.
     """
     others = others or {}
-    passed = ["id", *[f"o{i}" for i in range(len(others))]]
+    # The text travels once, also where it is asked for.
+    passed = ["id", *["text" if n == text_col else f"o{i}" for i, n in enumerate(others)]]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, lattice = W.Splitter(W.alphanumeric()), Lattice(fitted.pieces)
@@ -239,7 +274,7 @@ def identify(docs: DataFrame, fitted: Model, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score)], names=[*passed, "lang_pred", "score"])
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), letters.alias("letters"), *[c.alias(n) for n, c in zip(passed[1:], others.values())])
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), letters.alias("letters"), *[c.alias(n) for n, c in zip(passed[1:], others.values()) if n != "text"])
     kinds = dict(given.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in passed], "lang_pred string", "score double"])
     out = given.mapInArrow(emit, schema)

@@ -305,10 +305,24 @@ def test_forward_pass_sums_all_segmentations():
     for row, word in zip(got, words):
         for k in range(2):
             assert row[k] == pytest.approx(math.log(all_segmentations(b" " + word, p[:, k], number)))
-    long = b"ab" * 100
-    spans = [(b" " + long)[a : a + language.SPAN] for a in range(0, len(long) + 1, language.SPAN)]
-    want = [sum(math.log(lattice.forward(lattice.arcs(np.frombuffer(s, np.uint8)[None, :]), 1, len(s), p)[len(s)][0, k]) for s in spans) for k in range(2)]
-    assert model.word_scores(lattice, [long])[0] == pytest.approx(want)
+    for long in (b"ab" * 100, b"abcz" * 300, "é".encode() * 21 + b"a"):
+        body = b" " + long
+        for k in range(2):
+            logs = [0.0] + [-math.inf] * len(body)
+            for t in range(1, len(body) + 1):
+                ways = [logs[t - m] + math.log(p[number[body[t - m : t]], k]) for m in range(1, 5) if m <= t and body[t - m : t] in number]
+                logs[t] = max(ways) + math.log(sum(math.exp(x - max(ways)) for x in ways))
+            assert model.word_scores(lattice, [b"x", long])[1][k] == pytest.approx(logs[-1])
+
+
+def test_a_rare_language_is_learned(spark):
+    data = [(i, "the of and that this", "en") for i in range(400)] + [(1000 + i, "zug zeit zwei zahl", "zz") for i in range(3)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    fitted = language.train(docs, PIECE, sample_rows=20)
+    assert fitted.languages == ["en", "zz"]
+    asked = spark.createDataFrame([(1, "zeit zahl"), (2, "this that")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.text) for r in language.identify(asked, fitted, others={"text": F.col("text")}).collect()}
+    assert got == {1: ("zz", "zeit zahl"), 2: ("en", "this that")}
 
 
 def test_word_counts_are_plain_counts(spark):
