@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ratewise.llm import words as W
 from ratewise.session import scratch_path
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 BLOCK_BYTES = 2 << 20
 CHUNK_PHRASES = 1 << 16
 CHUNK_POSTINGS = 1 << 20
@@ -46,14 +46,14 @@ def _shards(wanted: np.ndarray | None, shard_bytes: int):
             order = np.argsort(hashes, kind="stable")
             hashes = hashes[order]
             firsts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, np.int64)
-            parts = [docs.astype(np.int64), np.cumsum(lengths), hashes[firsts], np.append(firsts, len(hashes)).astype(np.int32), at[order].astype(np.int32)]
+            parts = [docs.astype(np.int64), np.cumsum(lengths), hashes[firsts], np.append(firsts, len(hashes)).astype(np.int32), at[order]]
             return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["shard", *PARTS])
 
         for batch in batches:
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in W.slices(batch.column("text")):
                 found = split(data, offsets)
-                at, hashes = np.arange(len(found.hashes)) + words, found.hashes
+                at, hashes = np.arange(words, words + len(found.hashes), dtype=np.int32), found.hashes
                 if wanted is not None:
                     keep = _member(hashes, wanted)[0]
                     at, hashes = at[keep], hashes[keep]

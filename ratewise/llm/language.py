@@ -24,6 +24,7 @@ SPAN = 40  # the longest piece in bytes; in training alone, longer words are tak
 RESCALE = 16
 BEGINS = 256
 WORDS = 1 << 14
+SEEN = 1 << 18  # words of which a task holds the scores
 SLICE = 1 << 19
 ROUNDS = 3
 SMOOTHING = 0.1
@@ -252,7 +253,7 @@ def identify(docs: DataFrame, fitted: Model, id_col: str = "doc_id", text_col: s
             for lo, hi, data, offsets in W.slices(batch.column("text"), SLICE):
                 found = split(data, offsets)
                 keys, first, which = np.unique(found.hashes, return_index=True, return_inverse=True)
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen, scores = seen[:0], scores[:0]
                 at = np.searchsorted(seen, keys)
                 new = np.ones(len(keys), bool)
