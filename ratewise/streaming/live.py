@@ -104,7 +104,10 @@ def validate_stream(requests: DataFrame, decide: Callable[[DataFrame], DataFrame
 
     query = requests.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
     query.awaitTermination()
-    return spark.read.parquet(path).drop("batch")
+    # Without a single batch there is no folder yet.
+    none = decide(spark.createDataFrame([], requests.schema))
+    none.write.mode("overwrite").parquet(f"{path}/batch=-1")
+    return spark.read.schema(none.schema).parquet(path).drop("batch")
 
 
 def places(spark: SparkSession, name: str) -> tuple[str, str]:
