@@ -7,6 +7,7 @@ from ratewise.functions import html, names, numbers, text, times
 from ratewise.functions.nested import drop_key
 from ratewise.operators import catalog, interrater, leaderboard as lb, pricing, prompts, quality
 from ratewise.operators.quantiles import exact_quantiles
+from ratewise.operators.skew import join_group_facts
 
 
 def one(spark, column):
@@ -121,6 +122,38 @@ def test_quantiles_of_large_groups_are_exact(spark):
     assert got == want
 
 
+def test_quantiles_are_narrowed_where_one_group_has_most_rows(spark):
+    """Group 0 holds nine tenths of the rows, a third of them one value; rounds end at 600 values a group."""
+    place = F.pmod(F.col("id") * 7919, F.lit(200_003))
+    v = F.when(place % 3 == 0, F.lit(5000.5)).when(place == 1, F.lit(float("inf"))).otherwise(F.exp(place / 20_000.0) * 50)
+    g = F.when(F.col("id") % 10 > 0, F.lit("0")).when(F.col("id") % 20 == 0, F.lit(None)).otherwise(F.lit("1"))
+    df = spark.range(200_003).select(g.alias("g"), v.alias("v"))
+    probs = {"a": 0.0, "b": 0.05, "c": 0.25, "d": 0.5, "e": 0.501, "f": 0.95}
+    for small, task_rows in ((600, 5_000), (0, 1_000), (20_000, 4_000_000)):
+        got = {r.g: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "v", probs, small, task_rows).collect()}
+        want = {r.g: tuple(r)[1:] for r in df.groupBy("g").agg(F.count("*"), *[F.percentile("v", p).alias(n) for n, p in probs.items()]).collect()}
+        assert got.keys() == want.keys()
+        for key, row in want.items():
+            assert got[key] == pytest.approx(row, rel=1e-12)
+
+
+def test_quantiles_of_few_nothing_and_missing_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", float("nan")), ("a", 4.0), ("b", None)], "g string, v double")
+    assert [tuple(r) for r in exact_quantiles(df, ["g"], "v", {"q": 0.5, "p": 1.0}).collect()] == [("a", 2, 2.5, 4.0)]
+    assert exact_quantiles(df.filter("g = 'c'"), ["g"], "v", {"q": 0.5}).collect() == []
+
+
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_facts_reach_the_rows_of_hot_and_other_groups(spark, null_safe):
+    key = F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise((F.col("id") % 3_000).cast("string"))
+    rows = spark.range(30_000).select(F.when(F.col("id") % 7 > 0, key).alias("g"), "id")
+    facts = rows.groupBy("g").agg(F.count("*").alias("n"))
+    got = join_group_facts(rows, facts, ["g"], F.col("id"), null_safe=null_safe, count="n", task_rows=5)
+    assert got.columns == ["g", "id", "n"]
+    want = rows.join(facts.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h")) if null_safe else F.col("g") == F.col("h")).drop("h")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
 CATALOG = "provider string, model string, tier string, input_rate double, cached_rate double, output_rate double, pricing_ref string, reason string, needs_manual boolean"
 
 
