@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ratewise.operators.telemetry import TIMEOUT
 from ratewise.session import scratch_path
+from ratewise.streaming import levels
 
 
 @dataclass(frozen=True)
@@ -17,10 +18,12 @@ class LiveTable:
 
     Each micro-batch is summed up by itself and appended; reading merges the parts. So rows may arrive in any order and as
     late as they like, nothing is dropped, no state grows in the stream, and the result equals the batch result over the same rows.
+    ``compact`` makes one part of several where ``merge`` gives other columns than a part has.
     """
 
     part: Callable[[DataFrame], DataFrame]
     merge: Callable[[DataFrame], DataFrame]
+    compact: Callable[[DataFrame], DataFrame] | None = None
 
 
 def _timeout() -> Column:
@@ -45,11 +48,13 @@ def timeout_alerts(window: str = "1 day", share: float = 0.05) -> LiveTable:
     def part(attempts: DataFrame) -> DataFrame:
         return attempts.groupBy(F.window("ts", window)["start"].alias("window_start")).agg(F.count("*").alias("attempts"), F.count_if(_timeout()).alias("timeouts"))
 
+    def total(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("window_start").agg(F.sum("attempts").alias("attempts"), F.sum("timeouts").alias("timeouts"))
+
     def merge(parts: DataFrame) -> DataFrame:
-        total = parts.groupBy("window_start").agg(F.sum("attempts").alias("attempts"), F.sum("timeouts").alias("timeouts"))
-        return total.withColumn("timeout_share", F.col("timeouts") / F.col("attempts")).withColumn("alert", F.col("timeout_share") > share)
+        return total(parts).withColumn("timeout_share", F.col("timeouts") / F.col("attempts")).withColumn("alert", F.col("timeout_share") > share)
 
-    return LiveTable(part, merge)
+    return LiveTable(part, merge, total)
 
 
 def active_sessions(gap: str) -> LiveTable:
@@ -79,35 +84,24 @@ def first_predictions() -> LiveTable:
     return LiveTable(earliest, earliest)
 
 
-def keep_table(stream: DataFrame, table: LiveTable, checkpoint: str, path: str) -> DataFrame:
-    """Runs a stream over all available files into a table and returns the merged rows."""
+def keep_table(stream: DataFrame, table: LiveTable, checkpoint: str, path: str, fan_in: int = levels.FAN_IN) -> DataFrame:
+    """Runs a stream over all available files into a table of few folders (see ``levels``) and returns the merged rows."""
     spark = stream.sparkSession
-    empty = spark.createDataFrame([], stream.schema)
+    schema = table.part(spark.createDataFrame([], stream.schema)).schema
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        # A batch that is run again after a failure replaces its own rows only.
-        table.part(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        levels.add_batch(table.part(batch), batch_id, path, table.compact or table.merge, fan_in)
 
+    # Without a single batch the table is empty, not missing.
+    levels.commit(spark, path, 0)
     query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
     query.awaitTermination()
-    # Without a single batch there is no folder yet.
-    table.part(empty).write.mode("overwrite").parquet(f"{path}/batch=-1")
-    return table.merge(spark.read.schema(table.part(empty).schema).parquet(path))
+    return table.merge(levels.read_table(spark, path, schema, fan_in))
 
 
 def validate_stream(requests: DataFrame, decide: Callable[[DataFrame], DataFrame], checkpoint: str, path: str) -> DataFrame:
     """Decisions for a stream of requests: each micro-batch is decided against the static lexicon."""
-    spark = requests.sparkSession
-
-    def append(batch: DataFrame, batch_id: int) -> None:
-        decide(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    query = requests.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
-    query.awaitTermination()
-    # Without a single batch there is no folder yet.
-    none = decide(spark.createDataFrame([], requests.schema))
-    none.write.mode("overwrite").parquet(f"{path}/batch=-1")
-    return spark.read.schema(none.schema).parquet(path).drop("batch")
+    return keep_table(requests, LiveTable(decide, lambda decisions: decisions), checkpoint, path)
 
 
 def places(spark: SparkSession, name: str) -> tuple[str, str]:
