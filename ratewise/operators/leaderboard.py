@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ratewise.functions import numbers
 from ratewise.operators.quantiles import exact_quantiles
+from ratewise.operators.ranges import in_any_range
 
 # Which metrics fall, are percentages, or have an approximate interval.
 LOWER_IS_BETTER = {"calibration_ece", "estimated_cost_usd"}
@@ -72,9 +73,12 @@ def filter_runs(
     models: list[str] = (),
     tags: list[str] = (),
     need_accuracy: bool = False,
-    ranges: list[Range] = (),
+    ranges: list[Range] | DataFrame = (),
 ) -> DataFrame:
-    """Selected runs: any listed task, any listed model, any listed tag, any time range. Empty lists select all."""
+    """Selected runs: any listed task, any listed model, any listed tag, any time range. Empty lists select all.
+
+    Ranges that a user typed come as a list; a table ``start, end`` of any size is joined.
+    """
     out = runs
     if tasks:
         out = out.filter(F.col("task").isin(*tasks))
@@ -84,6 +88,8 @@ def filter_runs(
         out = out.filter(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
     if need_accuracy:
         out = out.filter(F.col("accuracy").isNotNull())
+    if isinstance(ranges, DataFrame):
+        return in_any_range(out, ranges)
     if tidy_ranges(list(ranges)):
         out = out.filter(in_ranges(F.col("started"), list(ranges)))
     return out

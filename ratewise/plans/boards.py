@@ -8,6 +8,7 @@ from ratewise.functions import numbers
 from ratewise.functions.text import allowed_selection, display_name, effort_suffix, split_tags
 from ratewise.operators import leaderboard as lb, metrics
 from ratewise.operators.quantiles import exact_quantiles
+from ratewise.operators.ranges import in_any_range
 from ratewise.plans import fixtures as fx
 from ratewise.plans.oracle import ATTEMPTS, PREDICTIONS, RUNS, SCORES, TOKENS, with_views
 from ratewise.plans.registry import query
@@ -80,6 +81,22 @@ def leaderboard_filtered(spark, sf_dir):
     return rounded(kept.orderBy(*lb.leaderboard_order("accuracy")).select("file_name", "task", "model", "accuracy", "macro_f1"))
 
 
+@query(
+    "attempts_near_errors", "J29 P22 P14",
+    with_views(ATTEMPTS, select="""
+, spans AS (SELECT ts AS lo, ts + to_minutes(attempt_id % 50) AS hi FROM attempts WHERE status = 'error' AND attempt_id % 3 <> 1)
+SELECT a.attempt_id, a.run_id FROM attempts a WHERE a.status <> 'error' AND EXISTS (SELECT 1 FROM spans s WHERE a.ts BETWEEN s.lo AND s.hi)"""),
+)
+def attempts_near_errors(spark, sf_dir):
+    """Other attempts within some minutes after an error; the ranges come as text, some of them reversed."""
+    asked = fx.attempts(spark, sf_dir)
+    errors = asked.filter("status = 'error' and attempt_id % 3 <> 1")
+    texts = [F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS") for t in (F.col("ts"), F.timestamp_micros(F.unix_micros("ts") + F.col("attempt_id") % 50 * 60_000_000))]
+    turned = F.col("attempt_id") % 2 == 0
+    ranges = errors.select(F.when(turned, texts[1]).otherwise(texts[0]).alias("start"), F.when(turned, texts[0]).otherwise(texts[1]).alias("end"))
+    return in_any_range(asked.filter("status <> 'error'"), ranges, "ts").select("attempt_id", "run_id")
+
+
 def ranked_sql(order: str, limit: int) -> str:
     return with_views(*VIEWS, select=f"""
 SELECT file_name, {rd('accuracy')} AS accuracy, {rd('macro_f1')} AS macro_f1 FROM board ORDER BY {order} LIMIT {limit}""")

@@ -17,7 +17,7 @@ QUICK = [
     "outlier_report", "leaderboard_filtered", "balanced_model_means", "price_scatter_by_model", "token_profile", "line_price_quantiles", "price_matches",
     "run_costs", "price_rows", "lemma_decisions", "labels_within_one_edit", "artifact_issues", "repaired_totals", "resume_stop_test", "parsed_run_names",
     "prompts_in_context", "evenly_sampled_prompts", "page_texts", "tier_block_prices", "synced_catalogue", "inherited_rates", "delimited_predictions",
-    "telemetry_from_log_lines", "flattened_runs", "live_run_counters", "live_sessions",
+    "telemetry_from_log_lines", "flattened_runs", "live_run_counters", "live_sessions", "attempts_near_errors",
 ]
 REGISTRY = load_registry()
 NAMES = [n for n, q in REGISTRY.items() if q.sql] if os.environ.get("RATEWISE_ALL") else QUICK
