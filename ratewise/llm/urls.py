@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratewise.session import cut_lineage
 
-SEGMENTS = 2  # path segments that a pattern may have
-
 
 def host(url: Column) -> Column:
     """Lower-cased host without user, port or a final dot; null if there is none."""
@@ -27,11 +25,11 @@ def path_segments(url: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
-def keys(url: Column, segments: int = SEGMENTS) -> Column:
-    """All patterns that cover a URL: host suffixes of two labels or more (a bare host as it is), and the host with leading path segments."""
+def keys(url: Column, segments: int) -> Column:
+    """All patterns that cover a URL: host suffixes of one label or more, and the host with up to ``segments`` leading path segments."""
     labels = F.split(host(url), r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(".", F.slice(labels, i, n)))
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat_ws(".", F.slice(labels, i, n)))
     parts = F.slice(path_segments(url), 1, segments)
     prefixes = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: i > 0), lambda i: F.concat_ws("/", host(url), F.array_join(F.slice(parts, F.lit(1), i), "/")))
     return F.when(host(url).isNotNull(), F.array_distinct(F.concat(suffixes, prefixes)))
@@ -51,16 +49,19 @@ def intervals(entries: DataFrame) -> DataFrame:
     return days.withColumn("valid_to", until).filter("action <> 'remove'").select("pattern", "action", F.col("listed_on").alias("valid_from"), "valid_to")
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched_on", segments: int = SEGMENTS) -> DataFrame:
+def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched_on") -> DataFrame:
     """One row per capture: id, url, time, ``pattern`` and ``action`` of the deciding entry (null if none), ``blocked``.
 
-    A capture without a URL, host or time meets no entry and is not blocked. Repeated captures are joined once and returned as often as
+    Patterns may have any number of path segments: captures ask for as many as the longest listed one has. A capture without a
+    URL, host or time meets no entry and is not blocked. Repeated captures are joined once and returned as often as
     given. The interval table is written before the join, so both sides are exchanged by pattern and a pattern with a large
     share of the captures can be split; the joined rows are summed up per capture by a maximum.
     """
     found = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).alias("at")).groupBy("id", "url", "at").agg(F.count("*").alias("copies"))
-    asked = found.withColumn("pattern", F.explode_outer(keys(F.col("url"), segments)))
     valid = cut_lineage(intervals(entries), "intervals")
+    # One number reaches the driver: the path segments of the longest pattern.
+    segments = valid.agg(F.max(F.size(F.split("pattern", "/")) - 1).alias("segments")).head()["segments"] or 0
+    asked = found.withColumn("pattern", F.explode_outer(keys(F.col("url"), segments)))
     active = (F.col("a.pattern") == F.col("v.pattern")) & (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
     met = asked.alias("a").join(valid.alias("v"), active, "left")
     rank = F.when(F.col("action").isNotNull(), F.struct(F.length("v.pattern").alias("size"), F.col("v.pattern").alias("pattern"), "action"))

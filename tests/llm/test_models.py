@@ -393,3 +393,14 @@ def test_url_lists_over_time(spark):
     assert got == sorted(((*w, w[-1] == "block") for w in want), key=lambda w: tuple(map(str, w))) or sorted(got, key=str) == sorted(((*w, w[-1] == "block") for w in want), key=str)
     assert urls.evaluate(captures.limit(0), listed).count() == 0
     assert {r.blocked for r in urls.evaluate(captures, listed.limit(0)).collect()} == {False}
+
+
+def test_url_patterns_of_any_depth_and_of_one_label(spark):
+    day = datetime.date(2024, 1, 1)
+    listed = spark.createDataFrame([("h.org/a/b/c", "block", day), ("org", "block", day), ("Good.org", "allow", day), ("localhost/x/y", "block", day)], "pattern string, action string, listed_on date")
+    expected = {
+        "http://h.org/a/b/c/d": "h.org/a/b/c", "http://h.org/a/b": "org", "http://x.good.org/a": "good.org", "http://localhost/x/y/z": "localhost/x/y", "http://localhost/x": None,
+        "http://h.com/a/b/c": None, "http://org/": "org",
+    }
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(expected)], "page_id int, url string, fetched_on date")
+    assert {r.url: r.pattern for r in urls.evaluate(captures, listed).collect()} == expected
