@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ratewise.functions.numbers import t_critical
 from ratewise.operators.skew import join_group_facts
+from ratewise.session import cut_lineage
 
 IGNORED_TAG = "open source"  # fixed value: does not separate task variants
 POLICIES = ["latest", "best_accuracy"]
@@ -65,26 +66,36 @@ def run_pair_counts(
 ) -> DataFrame:
     """Shared and equally labelled items for every pair of runs of a group that share an item (run_a < run_b).
 
-    The runs of a group are hashed into blocks and its items into slices; a task sees two blocks of runs on one
-    slice of items, so no group, run or item has to fit into one task, and no row is written per pair and item.
+    The runs of a group are hashed into blocks. An item that few of them rated (no more pairs a rating than blocks) is
+    written as its pairs. Ratings of the other items go to every block, their items into slices; a task sees two blocks of runs
+    on one slice. So no group, run or item has to fit into one task, and a rating makes as many rows as there are blocks at most.
     With ``by_label`` there is one row per pair and label: how often each side used it, and both. Rows without run, item or
     label are no ratings; of several labels a run gave one item the greatest counts.
     """
     whole = F.col(label).isNotNull() & F.col(run).isNotNull() & F.col(item).isNotNull()
-    rated = labels.filter(whole).select(*group, run, item, label)
-    sizes = (
+    rated = cut_lineage(labels.filter(whole).select(*group, run, item, label), "rated")
+    blocks = (
         rated.groupBy(*group, run).agg(F.count("*").alias("__n"))
-        .groupBy(*group).agg(F.count("*").alias("__runs"), F.sum("__n").alias("__rows"), F.max("__n").alias("__top"))
+        .groupBy(*group).agg(F.count("*").alias("__runs"), F.max("__n").alias("__top"))
         .filter(F.col("__runs") >= 2)
         .withColumn("__blocks", F.ceil(F.col("__runs") / block))
+        .drop("__runs")
+    )
+    per_item = join_group_facts(rated.groupBy(*group, item).agg(F.count("*").alias("__m")), blocks, group, F.col(item))
+    dense = cut_lineage(per_item.filter(F.col("__m") - 1 > 2 * F.col("__blocks")), "dense")
+    sizes = (
+        dense.groupBy(*group).agg(F.sum("__m").alias("__rows"), F.first("__top").alias("__top"), F.first("__blocks").alias("__blocks"))
+        .withColumn("__top", F.least("__top", "__rows"))
         .withColumn(
             "__slices",
             F.ceil(F.greatest(F.col("__rows") * 2 / F.col("__blocks"), F.col("__top") * 2) / rows_per_task),
         )
         .select(*group, "__blocks", "__slices")
     )
+    few = rated.join(dense.select(*group, item), [*group, item], "left_anti")
+    many = rated.join(dense.select(*group, item), [*group, item], "left_semi")
     placed = (
-        join_group_facts(rated, sizes, group, F.col(item))
+        join_group_facts(many, sizes, group, F.col(item))
         .withColumn("__block", F.pmod(F.xxhash64(F.col(run)), F.col("__blocks")))
         .withColumn("__slice", F.pmod(F.xxhash64(F.col(item)), F.col("__slices")))
         .withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
@@ -140,14 +151,36 @@ def run_pair_counts(
             frame.insert(0, name, value)
         return frame
 
-    partial = placed.groupBy(*keys).applyInPandas(count_block, schema)
+    blocked = placed.groupBy(*keys).applyInPandas(count_block, schema)
+    # One row per pair and item; a run's repeated ratings of an item count once.
+    once = few.groupBy(*group, item, run).agg(F.max(label).alias(label))
+    left = once.select(*group, item, F.col(run).alias("run_a"), F.col(label).alias("__left"))
+    right = once.select(*group, item, F.col(run).alias("run_b"), F.col(label).alias("__right"))
+    pairs = left.join(right, [*group, item]).filter(F.col("run_a") < F.col("run_b"))
     if by_label:
-        return partial.groupBy(*group, "run_a", "run_b", "label").agg(
-            F.sum("left_n").alias("left_n"), F.sum("right_n").alias("right_n"), F.sum("both_n").alias("both_n")
+        # All that follows groups by the pair first, so its rows are moved once.
+        by_labels = pairs.select(*group, "run_a", "run_b", "__left", "__right").repartition(*group, "run_a", "run_b").groupBy(
+            *group, "run_a", "run_b", "__left", "__right"
+        ).agg(F.count("*").alias("__n"))
+        same, n, none = F.col("__left") == F.col("__right"), F.col("__n"), F.lit(0).cast("long")
+        sides = F.when(same, F.array(F.struct(F.col("__left").alias("label"), n.alias("left_n"), n.alias("right_n"), n.alias("both_n")))).otherwise(
+            F.array(
+                F.struct(F.col("__left").alias("label"), n.alias("left_n"), none.alias("right_n"), none.alias("both_n")),
+                F.struct(F.col("__right").alias("label"), none.alias("left_n"), n.alias("right_n"), none.alias("both_n")),
+            )
         )
-    return partial.groupBy(*group, "run_a", "run_b").agg(
-        F.sum("overlap_count").alias("overlap_count"), F.sum("agreement_count").alias("agreement_count")
-    )
+        direct = by_labels.select(*group, "run_a", "run_b", F.explode(sides).alias("s")).select(*group, "run_a", "run_b", "s.*")
+        counts, at = ["left_n", "right_n", "both_n"], ["run_a", "run_b", "label"]
+    else:
+        direct = pairs.groupBy(*group, "run_a", "run_b").agg(
+            F.count("*").alias("overlap_count"), F.count_if(F.col("__left") == F.col("__right")).alias("agreement_count")
+        )
+        counts, at = ["overlap_count", "agreement_count"], ["run_a", "run_b"]
+
+    def summed(parts: DataFrame) -> DataFrame:
+        return parts.groupBy(*group, *at).agg(*[F.sum(c).alias(c) for c in counts])
+
+    return summed(summed(direct).unionByName(blocked))
 
 
 def pair_distances(pairs: DataFrame) -> DataFrame:

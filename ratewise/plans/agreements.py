@@ -10,6 +10,7 @@ from ratewise.plans import fixtures as fx
 from ratewise.plans.oracle import PREDICTIONS, RUNS, SCORES, with_views
 from ratewise.plans.registry import query
 from ratewise.plans.scores import r6, rd, rounded, scores_of
+from ratewise.session import cut_lineage
 
 GROUP = ["task", "model"]
 
@@ -242,7 +243,8 @@ def fully_visible_groups(spark, sf_dir):
 
 def pair_table(spark, sf_dir):
     """Pair distances on member indices, the form in which cluster files store them."""
-    pairs = agreement.pair_distances(agreement.run_pair_counts(grouped_predictions(spark, sf_dir), GROUP))
+    # Positions and distances both read the pairs: written once instead of counted twice.
+    pairs = cut_lineage(agreement.pair_distances(agreement.run_pair_counts(grouped_predictions(spark, sf_dir), GROUP)), "pairs")
     pos = agreement.member_positions(pairs, GROUP)
     a = pos.select(*GROUP, F.col("run_id").alias("run_a"), F.col("position").alias("a"))
     b = pos.select(*GROUP, F.col("run_id").alias("run_b"), F.col("position").alias("b"))

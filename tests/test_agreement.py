@@ -118,6 +118,47 @@ def test_pair_counts_do_not_depend_on_blocks(spark):
         assert k[a, b].kappa == pytest.approx((observed - expected) / (1 - expected))
 
 
+def test_pair_counts_of_items_with_few_and_many_ratings(spark):
+    """Items that few runs rated become pairs, others go through blocks; ratings that come twice count once, the greatest label wins."""
+    rng = random.Random(7)
+    rows = [(g, r, i, rng.choice("ABC")) for g in ("g", "h") for r in range(30) for i in range(60) if rng.random() < (0.9 if i % 6 == 0 else 0.1)]
+    rows += [("g", 3, 0, "Z"), ("g", 3, 0, "A"), ("g", 4, 1, "Z"), ("g", 4, 1, "A"), (None, 1, 1, "A"), (None, 2, 1, "A")]
+    df = spark.createDataFrame(rows, "task string, run_id long, id long, prediction string")
+    last = {}
+    for g, r, i, p in rows:
+        last[g, r, i] = max(p, last.get((g, r, i), ""))
+    want, by_label = {}, {}
+    for (g, r, i), p in last.items():
+        for q in range(r + 1, 30):
+            if g and (g, q, i) in last:
+                o = last[g, q, i]
+                n = want.setdefault((g, r, q), [0, 0])
+                n[0], n[1] = n[0] + 1, n[1] + (p == o)
+                for label, k in {(p, 0), (o, 1)} | ({(p, 2)} if p == o else set()):
+                    by_label.setdefault((g, r, q, label), [0, 0, 0])[k] += 1
+    for block in (4, 128):
+        got = agreement.run_pair_counts(df, ["task"], block=block, rows_per_task=50).collect()
+        assert sorted(tuple(r) for r in got) == sorted((*k, *v) for k, v in want.items())
+        got = agreement.run_pair_counts(df, ["task"], by_label=True, block=block, rows_per_task=50).collect()
+        assert sorted(tuple(r) for r in got) == sorted((*k, *v) for k, v in by_label.items())
+
+
+def test_ratings_of_rare_items_are_not_copied_to_every_block(spark, tmp_path, monkeypatch):
+    """2,000 runs in 500 blocks, each item rated by two: no rating goes to the blocks."""
+    df = spark.range(2000).select(F.lit("g").alias("task"), F.col("id").alias("run_id"), F.floor(F.col("id") / 2).alias("id"), F.lit("A").alias("prediction"))
+    copied = []
+
+    def facts(rows, sizes, group, salt):
+        if "__slices" in sizes.columns:
+            copied.append(join(rows, sizes, group, salt).count())
+        return join(rows, sizes, group, salt)
+
+    join = agreement.join_group_facts
+    monkeypatch.setattr(agreement, "join_group_facts", facts)
+    assert agreement.run_pair_counts(df, ["task"], block=4).agg(F.count("*"), F.sum("overlap_count")).head() == (1000, 1000)
+    assert copied == [0]
+
+
 def test_rows_without_run_or_item_are_no_ratings(spark):
     rows = [("a", "x", "P"), ("a", None, "P"), ("b", "x", "P"), ("b", "y", "Q"), (None, "x", "P"), ("b", None, None), ("a", "z", None)]
     df = spark.createDataFrame([("g", *r) for r in rows], "task string, run_id string, id string, prediction string")
