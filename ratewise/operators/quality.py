@@ -38,11 +38,16 @@ def artifact_keys(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("stem", F.coalesce(stem, names.metrics_base(F.col("metrics_file"))))
 
 
-def join_artifacts(metrics: DataFrame, csv_totals: DataFrame, log_totals: DataFrame) -> DataFrame:
-    """Metrics next to the totals of their output and log, both keyed by ``stem``."""
-    csv = csv_totals.select("stem", F.struct(*[c for c in csv_totals.columns if c != "stem"]).alias("csv"))
-    log = log_totals.select("stem", F.struct(*[c for c in log_totals.columns if c != "stem"]).alias("log"))
-    return artifact_keys(metrics).join(csv, "stem", "left").join(log, "stem", "left")
+def join_artifacts(metrics: DataFrame, csv_totals: DataFrame, log_totals: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """Metrics next to the totals of their output and log, both keyed by ``stem``.
+
+    Where names repeat, ``within`` lists columns that must be equal besides, such as the run; without it, every metrics file meets
+    all outputs and logs of its name.
+    """
+    keys = [*(within or []), "stem"]
+    csv = csv_totals.select(*keys, F.struct(*[c for c in csv_totals.columns if c not in keys]).alias("csv"))
+    log = log_totals.select(*keys, F.struct(*[c for c in log_totals.columns if c not in keys]).alias("log"))
+    return artifact_keys(metrics).join(csv, keys, "left").join(log, keys, "left")
 
 
 def _numeric(code: str, label: str, stored: Column, derived: Column) -> Column:
@@ -76,12 +81,12 @@ def artifact_issues(joined: DataFrame) -> DataFrame:
     return joined.select("metrics_file", F.explode(found).alias("i")).select("metrics_file", "i.*")
 
 
-def backfill_totals(joined: DataFrame) -> DataFrame:
-    """Token totals rebuilt from the output rows; cached and thinking tokens are kept."""
+def backfill_totals(joined: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """Token totals rebuilt from the output rows; cached and thinking tokens are kept. ``within``: see ``join_artifacts``."""
     have = joined.filter(F.col("csv").isNotNull())
     cached = F.coalesce("cached_input_tokens_total", F.lit(0).cast("long"))
     return have.select(
-        "metrics_file",
+        *(within or []), "metrics_file",
         F.col("csv.rows_with_token_usage").alias("attempts_with_token_usage"),
         F.col("csv.rows_with_output_tokens").alias("attempts_with_output_tokens"),
         F.col("csv.prompt_tokens_total").alias("input_tokens_total"),
@@ -93,14 +98,15 @@ def backfill_totals(joined: DataFrame) -> DataFrame:
     )
 
 
-def repair_totals(joined: DataFrame) -> DataFrame:
-    """Stored totals, replaced where a derived count is lower, with the reasons.
+def repair_totals(joined: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """Stored totals, replaced where a derived count is lower, with the reasons. ``within``: see ``join_artifacts``.
 
     Token totals change together as soon as one of them is too high; attempt totals one by one.
     """
-    new = backfill_totals(joined)
-    renamed = new.select("metrics_file", *[F.col(c).alias(f"new_{c}") for c in new.columns if c != "metrics_file"])
-    j = joined.join(renamed, "metrics_file", "left")
+    keys = [*(within or []), "metrics_file"]
+    new = backfill_totals(joined, within)
+    renamed = new.select(*keys, *[F.col(c).alias(f"new_{c}") for c in new.columns if c not in keys])
+    j = joined.join(renamed, keys, "left")
     lower = F.array(*[
         F.when(F.col(f"new_{c}") < F.col(c), F.concat(F.lit(f"{c}: metrics="), F.col(c).cast("string"), F.lit(", csv="), F.col(f"new_{c}").cast("string")))
         for c in REPAIRABLE
@@ -128,11 +134,11 @@ def repair_totals(joined: DataFrame) -> DataFrame:
     )
 
 
-def issue_counts(metrics: DataFrame, issues: DataFrame, repaired: DataFrame) -> DataFrame:
-    """Files checked, files with findings, files repaired."""
+def issue_counts(metrics: DataFrame, issues: DataFrame, repaired: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """Files checked, files with findings, files repaired. Files of one name are told apart by ``within``, findings and repairs are not."""
     bad = issues.select("metrics_file").distinct().withColumn("bad", F.lit(True))
     fixed = repaired.filter("repaired").select("metrics_file").distinct().withColumn("fixed", F.lit(True))
-    return metrics.select("metrics_file").distinct().join(bad, "metrics_file", "left").join(fixed, "metrics_file", "left").agg(
+    return metrics.select(*(within or []), "metrics_file").distinct().join(bad, "metrics_file", "left").join(fixed, "metrics_file", "left").agg(
         F.count("*").alias("files"), F.count("bad").alias("mismatched"), F.count("fixed").alias("repaired")
     )
 

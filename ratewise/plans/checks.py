@@ -68,6 +68,9 @@ def log_totals(spark, sf_dir):
     ).select("*").withColumns({c: F.col(c).cast("long") for c in ("attempts_total", "attempts_with_usage_metadata", "success_attempts")})
 
 
+RUN = ["run_id"]
+
+
 def joined(spark, sf_dir):
     runs = fx.runs(spark, sf_dir).select("run_id", "run_stem")
     csv, log = quality.token_totals(fx.tokens(spark, sf_dir)), log_of(spark, sf_dir)
@@ -75,7 +78,7 @@ def joined(spark, sf_dir):
     base = runs.join(csv, "run_id").join(log, "run_id", "left")
     plus = lambda c, cond, n: F.col(c) + F.when(cond, n).otherwise(0)
     metrics = base.select(
-        F.concat("run_stem", F.lit("__metrics.json")).alias("metrics_file"),
+        "run_id", F.concat("run_stem", F.lit("__metrics.json")).alias("metrics_file"),
         F.when(run % 4 == 0, F.concat(F.lit("data/output/"), "run_stem", F.lit(".csv"))).otherwise(" ").alias("source_output_csv"),
         plus("row_count", run % 5 == 1, 1).alias("prediction_count"),
         F.when(run % 9 != 0, plus("rows_with_token_usage", run % 11 == 3, 2)).alias("attempts_with_token_usage"),
@@ -90,9 +93,10 @@ def joined(spark, sf_dir):
         F.concat(F.lit("lab"), (run % 2).cast("string")).alias("provider"), F.concat(F.lit("m"), (run % 2).cast("string")).alias("model_requested"),
     )
     stems = runs.withColumnRenamed("run_stem", "stem")
-    csv_side = csv.filter("run_id % 10 <> 7").join(stems, "run_id").drop("run_id")
-    log_side = log.filter("run_id % 10 <> 8").join(stems, "run_id").drop("run_id")
-    return quality.join_artifacts(metrics, csv_side, log_side)
+    csv_side = csv.filter("run_id % 10 <> 7").join(stems, "run_id")
+    log_side = log.filter("run_id % 10 <> 8").join(stems, "run_id")
+    # Many runs share a name, since it holds no key.
+    return quality.join_artifacts(metrics, csv_side, log_side, RUN)
 
 
 ISSUES = """
@@ -149,7 +153,7 @@ repairs AS (SELECT metrics_file, concat_ws('; ', nullif(token_reasons, ''), null
 
 @query("repaired_totals", "D5 S20", with_views(*VIEWS, REPAIRS, select="SELECT *, repair_reasons <> '' AS repaired FROM repairs"))
 def repaired_totals(spark, sf_dir):
-    return quality.repair_totals(joined(spark, sf_dir)).select(
+    return quality.repair_totals(joined(spark, sf_dir), RUN).select(
         "metrics_file", "repair_reasons", "input_tokens_total", "non_cached_input_tokens_total", "attempts_with_token_usage", "control_attempts_total", "repaired"
     )
 
@@ -163,7 +167,7 @@ SELECT count(*) AS files, count(*) FILTER (WHERE metrics_file IN (SELECT metrics
 def issue_counts(spark, sf_dir):
     # Three measures read the joined artifacts: written once instead of derived three times.
     j = cut_lineage(joined(spark, sf_dir), "joined")
-    return quality.issue_counts(j, quality.artifact_issues(j), quality.repair_totals(j))
+    return quality.issue_counts(j, quality.artifact_issues(j), quality.repair_totals(j, RUN), RUN)
 
 
 @query(
