@@ -204,11 +204,26 @@ def pair_kappas(pairs_by_label: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def mean_with_t_interval(value: str, prefix: str) -> list[Column]:
-    """Aggregates: mean, sample deviation (0 for one value), t interval kept within 0..1."""
+def number(which: Column, copies: str | None = None) -> Column:
+    """Aggregate: rows of a kind; ``copies`` names a column that says how many a row stands for."""
+    return F.coalesce(F.sum(F.when(which, F.col(copies))), F.lit(0).cast("long")) if copies else F.count_if(which)
+
+
+def mean_and_deviation(value: str, copies: str | None = None) -> tuple[Column, Column, Column]:
+    """Aggregates: number, mean and sample deviation (0 for one value) of the values that are known."""
     v = F.col(value)
-    n, mean = F.count(v), F.avg(v)
-    sd = F.when(n == 1, 0.0).otherwise(F.stddev_samp(v))
+    if copies is None:
+        n = F.count(v)
+        return n, F.avg(v), F.when(n == 1, 0.0).otherwise(F.stddev_samp(v))
+    n = number(v.isNotNull(), copies)
+    total = F.sum(v * F.col(copies))
+    spread = F.sum(v * v * F.col(copies)) - F.try_divide(total * total, n)
+    return n, F.try_divide(total, n), F.when(F.min(v) == F.max(v), 0.0).otherwise(F.sqrt(F.greatest(F.try_divide(spread, n - 1), F.lit(0.0))))
+
+
+def mean_with_t_interval(value: str, prefix: str, copies: str | None = None) -> list[Column]:
+    """Aggregates: mean, sample deviation (0 for one value), t interval kept within 0..1."""
+    n, mean, sd = mean_and_deviation(value, copies)
     half = t_critical(n) * sd / F.sqrt(n)
     return [
         mean.alias(f"{prefix}_mean"),
