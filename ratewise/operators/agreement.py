@@ -218,7 +218,9 @@ def mean_and_deviation(value: str, copies: str | None = None) -> tuple[Column, C
     n = number(v.isNotNull(), copies)
     total = F.sum(v * F.col(copies))
     spread = F.sum(v * v * F.col(copies)) - F.try_divide(total * total, n)
-    return n, F.try_divide(total, n), F.when(F.min(v) == F.max(v), 0.0).otherwise(F.sqrt(F.greatest(F.try_divide(spread, n - 1), F.lit(0.0))))
+    # Rounding may leave a spread a little below 0; greatest() would also turn an unknown one into 0.
+    sd = F.when(F.min(v) == F.max(v), 0.0).otherwise(F.sqrt(F.greatest(F.try_divide(spread, n - 1), F.lit(0.0))))
+    return n, F.try_divide(total, n), F.when(n > 0, sd)
 
 
 def mean_with_t_interval(value: str, prefix: str, copies: str | None = None) -> list[Column]:
