@@ -16,6 +16,8 @@ and the merges of one tree (as many as its leaves, never its pairs).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ratewise.session import cut_lineage, scratch_path
@@ -29,10 +31,10 @@ NODE = "struct<round:int,part:int,place:bigint>"  # a leaf is (-1, leaf, 0)
 HEIGHT = "struct<whole:bigint,rest:bigint>"
 RANK = f"struct<heights:array<{HEIGHT}>,leaf:int>"
 # From a place among m queued clusters up to the last merge of the queue: the places passed, and whether only lesser children led there.
-CLIMB = f"""aggregate(sequence(1, 64), named_struct('at', place, 'least', true, 'out', cast(array() as array<struct<place:bigint,least:boolean,above:int>>)),
+CLIMB = """if(m = 2, array(named_struct('place', m, 'least', place = 0, 'above', 1)), aggregate(sequence(1, 64), named_struct('at', place, 'least', true, 'out', cast(array() as array<struct<place:bigint,least:boolean,above:int>>)),
   (s, i) -> if(s.at >= 2 * m - 2, s, named_struct('at', m + cast(floor(s.at / 2) as bigint), 'least', s.least and s.at % 2 = 0,
     'out', concat(s.out, array(named_struct('place', m + cast(floor(s.at / 2) as bigint), 'least', s.least and s.at % 2 = 0, 'above', size(s.out) + 1))))),
-  s -> s.out)"""
+  s -> s.out))"""
 
 
 def _height() -> Column:
@@ -104,6 +106,29 @@ def _merges(queued: DataFrame) -> DataFrame:
     return merged.join(sides, [*member, "place"]).select("group_id", "node", "left", "right", "height", "size", "rank")
 
 
+def connected_groups(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``group_id`` of the groups whose leaves all hang together by ``pairs`` (``group_id, a, b``).
+
+    In every round each vertex becomes its least neighbour or itself, by a hash that changes with the round, and pairs shrink to
+    those between different ones. A group connects if all its leaves but one have gone.
+    """
+    gone, round_ = [], 0
+    while not pairs.isEmpty():
+        both = pairs.select("group_id", F.col("a").alias("v"), F.col("b").alias("o")).unionByName(pairs.select("group_id", F.col("b").alias("v"), F.col("a").alias("o")))
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(round_)), F.col(c).alias("v"))
+        least = F.least(F.min(order("o")), F.first(order("v")))["v"]
+        into = cut_lineage(both.groupBy("group_id", "v").agg(least.alias("to")), "into")
+        gone.append(into.groupBy("group_id").agg((F.count("*") - F.count_distinct("to")).alias("gone")))
+        for side in ("a", "b"):
+            pairs = pairs.join(into.withColumnRenamed("v", side), ["group_id", side]).withColumn(side, F.col("to")).drop("to")
+        pairs = cut_lineage(pairs.filter("a <> b").select("group_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "contracted")
+        round_ += 1
+    if not gone:
+        return sizes.select("group_id").limit(0)
+    whole = reduce(DataFrame.unionByName, gone).groupBy("group_id").agg(F.sum("gone").alias("gone"))
+    return whole.join(sizes, "group_id").filter(F.col("gone") == F.col("leaves") - 1).select("group_id")
+
+
 def average_linkage(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Merge steps per group: ``group_id, step, left, right, distance, size``.
 
@@ -124,6 +149,10 @@ def average_linkage(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
         ),
         "pairs",
     )
+    # Groups that do not connect have no tree: nothing of them is merged.
+    connected = cut_lineage(connected_groups(state.select("group_id", "a", "b"), sizes), "connected")
+    state = state.join(connected, "group_id", "left_semi")
+    sizes = sizes.join(connected, "group_id", "left_semi")
     living = cut_lineage(
         sizes.select("group_id", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("c")).select(
             "group_id", "c", _node(F.lit(-1), F.col("c"), F.lit(0)).alias("node"), F.lit(1).alias("size"),
@@ -158,8 +187,7 @@ def average_linkage(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
         round_ += 1
     if not round_:
         return spark.createDataFrame([], f"group_id {id_type}, {STEP}")
-    whole = living.groupBy("group_id").agg(F.count("*").alias("n")).filter("n = 1").join(sizes, "group_id").select("group_id", "leaves")
-    merges = _merges(spark.read.schema(schema).parquet(root)).join(whole, "group_id")
+    merges = _merges(spark.read.schema(schema).parquet(root)).join(sizes, "group_id")
     step = (F.row_number().over(Window.partitionBy("group_id").orderBy("rank")) - 1).cast("int")
     steps = cut_lineage(merges.withColumn("step", step), "steps")
     ids = steps.select("group_id", "node", (F.col("leaves") + F.col("step")).alias("id"))

@@ -80,6 +80,18 @@ def test_trees_equal_their_definition(spark):
         assert [order[g][i] for i in range(n)] == want
 
 
+def test_groups_that_do_not_connect_are_not_merged(spark, monkeypatch):
+    """Only what can become a tree enters the rounds; long paths connect, a missing leaf does not."""
+    path = [(i, i + 1, 0.5) for i in range(39)]
+    groups = [(40, path), (41, path), (6, [(a, b, 0.1) for a, b in combinations(range(6), 2) if (a < 3) == (b < 3)]), (2, [(0, 1, 0.3)]), (3, [])]
+    rows = [(g, a, b) for g, (_, pairs) in enumerate(groups) for a, b, _ in pairs]
+    sizes = spark.createDataFrame([(g, n) for g, (n, _) in enumerate(groups)], "group_id long, leaves int")
+    found = linkage.connected_groups(spark.createDataFrame(rows, "group_id long, a int, b int"), sizes)
+    assert {r.group_id for r in found.collect()} == {0, 3}
+    monkeypatch.setattr(linkage, "_closest", lambda state: pytest.fail("a round was begun"))
+    assert linked(spark, [groups[2]])[0].collect() == []
+
+
 def test_empty_and_single_leaf_groups(spark):
     assert linked(spark, [])[0].collect() == []
     df, sizes = linked(spark, [(1, []), (3, [])])
