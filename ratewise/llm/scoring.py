@@ -57,6 +57,15 @@ def _unpack(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(places, 1), token
 
 
+def _token_last(codes: np.ndarray, radius: int, back: bool = False) -> np.ndarray:
+    """Window codes with the token in the lowest bits, so that equal neighbours sort together; ``back`` undoes it."""
+    low, top = W.U(9 * radius), W.U(9 * (radius + 1))
+    kept = codes >> top << top
+    if back:
+        return kept | (codes & W.U(511)) << low | (codes ^ kept) >> W.U(9)
+    return kept | (codes & ((W.U(1) << low) - W.U(1))) << W.U(9) | (codes >> low & W.U(511))
+
+
 @dataclass
 class Network:
     """Embeddings (place x 257 x hidden), hidden bias, output weights and bias."""
@@ -94,13 +103,35 @@ class Network:
         logits -= logits.max(1, keepdims=True)
         return hidden, logits
 
-    def log_probability(self, codes: np.ndarray, block: int = 8192) -> np.ndarray:
-        """Of each window's token given its neighbours."""
+    def log_probability(self, codes: np.ndarray, block: int = 1024) -> np.ndarray:
+        """Of each window's token given its neighbours. Windows with the same neighbours are evaluated once where they stand together."""
         out = np.empty(len(codes), np.float64)
-        for lo in range(0, len(codes), block):
-            around, token = _unpack(codes[lo : lo + block], self.radius)
-            _, logits = self._forward(around)
-            out[lo : lo + block] = logits[np.arange(len(token)), token] - np.log(np.exp(logits).sum(1))
+        if not len(codes):
+            return out
+        around_only = codes & ~(W.U(511) << W.U(9 * self.radius))
+        starts = np.flatnonzero(np.concatenate([[True], around_only[1:] != around_only[:-1]]))
+        ends = np.append(starts[1:], len(codes))
+        # No hidden value exceeds 1, so this bounds every logit: where float32 holds the exponentials, no maximum is taken off.
+        safe = float((np.abs(self.w).sum(0) + np.abs(self.c)).max()) < 80
+        ones, room = np.ones(256, np.float32), np.empty((block, 256), np.float32)
+        # A block's logits stay in the processor's cache.
+        for lo in range(0, len(starts), block):
+            first, last = starts[lo], ends[min(lo + block, len(starts)) - 1]
+            around, _ = _unpack(codes[starts[lo : lo + block]], self.radius)
+            token = (codes[first:last] >> W.U(9 * self.radius) & W.U(511)).astype(np.int64)
+            row = np.repeat(np.arange(len(around)), ends[lo : lo + block] - starts[lo : lo + block])
+            hidden = self.e[0].take(around[:, 0], 0)
+            for k in range(1, around.shape[1]):
+                hidden += self.e[k].take(around[:, k], 0)
+            hidden += self.b
+            np.tanh(hidden, out=hidden)
+            logits = np.matmul(hidden, self.w, out=room[: len(around)])
+            logits += self.c
+            if not safe:
+                logits -= logits.max(1, keepdims=True)
+            own = logits[row, token]
+            np.exp(logits, out=logits)
+            out[first:last] = own - np.log(logits @ ones)[row]
         return out
 
     def step(self, codes: np.ndarray, weight: np.ndarray, state: list[np.ndarray], rate: float) -> None:
@@ -182,8 +213,9 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in W.slices(batch.column("text"), SLICE):
-                codes, which = np.unique(windows(data, offsets, network.radius), return_inverse=True)
-                sums = np.concatenate([[0.0], np.cumsum(network.log_probability(codes)[which])]) if len(codes) else np.zeros(1)
+                codes, which = np.unique(_token_last(windows(data, offsets, network.radius), network.radius), return_inverse=True)
+                each = network.log_probability(_token_last(codes, network.radius, back=True))
+                sums = np.concatenate([[0.0], np.cumsum(each[which])]) if len(codes) else np.zeros(1)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array(np.diff(sums[offsets]))], names=["id", "n_tokens", "log_likelihood"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(emit, "id long, n_tokens long, log_likelihood double")

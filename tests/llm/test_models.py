@@ -211,6 +211,27 @@ def plain_codes(texts, radius):
         yield [b[i : i + 2 * radius + 1] for i in range(len(b) - 2 * radius)]
 
 
+def test_scoring_evaluates_equal_neighbours_once(monkeypatch):
+    """Windows that differ in their token alone share one row of the network, whatever the size of the weights."""
+    data = np.frombuffer(b"abcaacabcabbabc", np.uint8)
+    codes = np.unique(scoring._token_last(scoring.windows(data, np.array([0, 5, 15])), scoring.RADIUS))
+    codes = scoring._token_last(codes, scoring.RADIUS, back=True)
+    assert sorted(codes) == sorted(set(scoring.windows(data, np.array([0, 5, 15]))))
+    twins = np.sort(np.concatenate([codes, codes ^ (np.uint64(3) << np.uint64(9 * scoring.RADIUS))]))
+    twins = scoring._token_last(np.sort(scoring._token_last(twins, scoring.RADIUS)), scoring.RADIUS, back=True)
+    seen, unpack = [], scoring._unpack
+    monkeypatch.setattr(scoring, "_unpack", lambda c, r: seen.append(len(c)) or unpack(c, r))
+    for scale in (1, 1000):
+        network = scoring.Network.fresh()
+        network.w *= scale
+        around, token = unpack(twins, scoring.RADIUS)
+        _, logits = network._forward(around)
+        want = logits[np.arange(len(token)), token] - np.log(np.exp(logits).sum(1))
+        seen.clear()
+        assert network.log_probability(twins, block=4) == pytest.approx(want, rel=1e-4, abs=1e-4)
+        assert sum(seen) == len({tuple(a) for a in around}) < len(twins)
+
+
 def test_scoring_against_the_definition(spark):
     data = rows(8, 25)
     docs = frame(spark, data + [data[3], (None, *data[4][1:])])
