@@ -4,10 +4,11 @@ Every token (a UTF-8 byte) is predicted from the ``RADIUS`` tokens on either sid
 per place, are summed into a hidden layer, and a softmax over the 256 bytes gives the token's conditional probability. A
 document's score is the sum of the log-probabilities of its tokens.
 
-Training covers the whole corpus: every task counts its windows, Spark adds the counts up by window, and the network is
-fitted with numpy on the counted windows. Each round every worker shard starts from the same weights, goes over its windows
+Training covers the whole corpus: every task counts its windows, adding up those it keeps in a table of fixed size; Spark adds
+the counts up by window, and the network is fitted with numpy on the counted windows. Each round every worker shard starts from the same weights, goes over its windows
 once, batch by batch as they arrive, and returns its weights, which are averaged; at most ``MOST_WORKERS`` sets of weights of
-a fixed size (0.17 MB) reach the driver. Scoring evaluates each distinct window of a slice once.
+a fixed size (0.17 MB) reach the driver. Scoring evaluates each distinct window of a slice once, and not again while a task
+keeps it in its table.
 """
 
 from __future__ import annotations
@@ -27,11 +28,15 @@ RADIUS = 3  # the widest whose windows fit a 64-bit code
 HIDDEN = 24
 OUTSIDE = 256  # stands for a place before or after the text
 SLICE = 2 << 20
+ROWS = 1 << 18
 WINDOWS_PER_WORKER = 50_000
 MOST_WORKERS = 256
 ROUNDS = 4
 BATCH = 512
 RATE = 0.02
+COUNTED_BITS = 21  # a task keeps the counts of at most 2 ** 21 windows (34 MB)
+SCORED_BITS = 22  # and the log-probabilities of at most 2 ** 22 (50 MB)
+NO_CODE = W.U(2**64 - 1)  # codes have 63 bits
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -39,14 +44,21 @@ def windows(data: np.ndarray, offsets: np.ndarray, radius: int = RADIUS) -> np.n
     n = len(data)
     padded = np.full(n + 2 * radius, OUTSIDE, W.U)
     padded[radius : radius + n] = data
-    at, lengths = np.arange(n, dtype=np.int32), np.diff(offsets)
-    into = at - np.repeat(offsets[:-1].astype(np.int32), lengths)
-    left = np.repeat(offsets[1:].astype(np.int32), lengths) - at
     code = np.zeros(n, W.U)
+    for step in range(2 * radius + 1):
+        code <<= W.U(9)
+        code |= padded[step : step + n]
+    # Near the ends of a text other texts have come in: these few places are written again.
+    full = np.flatnonzero(np.diff(offsets))
+    starts, ends = offsets[full], offsets[full + 1]
+    at = np.concatenate([starts[:0], *(x for k in range(radius) for x in (np.minimum(starts + k, ends - 1), np.maximum(ends - 1 - k, starts)))])
+    text = np.searchsorted(starts, at, "right") - 1
+    into, left, own = at - starts[text], ends[text] - at, np.zeros(len(at), W.U)
     for step in range(-radius, radius + 1):
-        value = padded[radius + step : radius + step + n].copy()
-        value[(into + step < 0) if step < 0 else (left <= step)] = OUTSIDE
-        code = (code << W.U(9)) | value
+        value = padded[at + radius + step]
+        value[(into + step < 0) | (left <= step)] = OUTSIDE
+        own = (own << W.U(9)) | value
+    code[at] = own
     return code
 
 
@@ -66,6 +78,25 @@ def _token_last(codes: np.ndarray, radius: int, back: bool = False) -> np.ndarra
     return kept | (codes & ((W.U(1) << low) - W.U(1))) << W.U(9) | (codes >> low & W.U(511))
 
 
+class Kept:
+    """A value for each of at most 2 ** ``bits`` window codes. A code has one place, which it may find taken by another."""
+
+    def __init__(self, dtype: type, bits: int) -> None:
+        self.codes, self.values, self.shift = np.full(1 << bits, NO_CODE, W.U), np.zeros(1 << bits, dtype), W.U(64 - bits)
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * W.U(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def add(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Adds to the values of different codes and says which codes found their place taken, so that nothing was added for them."""
+        at = self.places(codes)
+        free = self.codes[at] == NO_CODE
+        self.codes[at[free]] = codes[free]
+        mine = self.codes[at] == codes
+        self.values[at[mine]] += n[mine]
+        return ~mine
+
+
 @dataclass
 class Network:
     """Embeddings (place x 257 x hidden), hidden bias, output weights and bias."""
@@ -134,34 +165,59 @@ class Network:
             out[first:last] = own - np.log(logits @ ones)[row]
         return out
 
+    def kept_log_probability(self, codes: np.ndarray, kept: Kept) -> np.ndarray:
+        """Of windows in any order; those that ``kept`` holds are not evaluated again. Its float32 holds what the network gives."""
+        at = kept.places(codes)
+        each, new = kept.values[at], np.flatnonzero(kept.codes[at] != codes)
+        codes, which = np.unique(_token_last(codes[new], self.radius), return_inverse=True)
+        codes = _token_last(codes, self.radius, back=True)
+        found, at = self.log_probability(codes).astype(np.float32), kept.places(codes)
+        each[new] = found[which]
+        kept.codes[at], kept.values[at] = codes, found
+        return each
+
     def step(self, codes: np.ndarray, weight: np.ndarray, state: list[np.ndarray], rate: float) -> None:
         """One AdaGrad step on weighted windows; the weights are taken as they are, so a batch counts by their sum."""
         around, token = _unpack(codes, self.radius)
         hidden, logits = self._forward(around)
-        p = np.exp(logits)
+        p = np.exp(logits, out=logits)
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(token)), token] -= 1
         p *= weight[:, None].astype(np.float32)
         back = (p @ self.w.T) * (1 - hidden * hidden)
-        grads = [np.zeros_like(self.e), back.sum(0), hidden.T @ p, p.sum(0)]
-        for k in range(around.shape[1]):
-            order = np.argsort(around[:, k], kind="stable")
-            values, first = np.unique(around[order, k], return_index=True)
-            grads[0][k][values] = np.add.reduceat(back[order], first)
-        for x, g, s in zip(self.parts(), grads, state):
+        for x, g, s in zip(self.parts()[1:], [back.sum(0), hidden.T @ p, p.sum(0)], state[1:]):
             s += g * g
             x -= rate * g / np.sqrt(s + 1e-10)
+        # Of the embeddings only rows that the batch uses have a gradient. 16-bit keys are sorted by radix.
+        used = (around + 257 * np.arange(around.shape[1])).T.ravel().astype(np.int16)
+        order = np.argsort(used, kind="stable")
+        used = used[order]
+        first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
+        at, g = np.divmod(used[first].astype(np.int64), 257), np.add.reduceat(back[order % len(back)], first)
+        state[0][at] += g * g
+        self.e[at] -= rate * g / np.sqrt(state[0][at] + 1e-10)
 
 
-def count_windows(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(code, n) over all bytes of all texts (column ``text``)."""
+def _count(batches: Iterator[pa.RecordBatch], radius: int, bits: int = COUNTED_BITS) -> Iterator[pa.RecordBatch]:
+    """(code, n) of one task: a row for each window it keeps, and a row for each slice of one that found its place taken."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in W.slices(batch.column("text"), SLICE):
-                codes, n = np.unique(windows(data, offsets, radius), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(W.signed(codes)), pa.array(n)], names=["code", "n"])
+    def rows(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(W.signed(codes)), pa.array(n)], names=["code", "n"])
+
+    kept = Kept(np.int64, bits)
+    for batch in batches:
+        for _, _, data, offsets in W.slices(batch.column("text"), SLICE):
+            codes, n = np.unique(windows(data, offsets, radius), return_counts=True)
+            out = kept.add(codes, n)
+            yield rows(codes[out], n[out])
+    for lo in range(0, len(kept.codes), ROWS):
+        held = np.flatnonzero(kept.values[lo : lo + ROWS]) + lo
+        yield rows(kept.codes[held], kept.values[held])
 
+
+def count_windows(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(code, n) over all bytes of all texts (column ``text``)."""
+    emit = lambda batches: _count(batches, radius)
     return texts.select("text").mapInArrow(emit, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -211,11 +267,11 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Kept(np.float32, SCORED_BITS)
         for batch in batches:
             for lo, hi, data, offsets in W.slices(batch.column("text"), SLICE):
-                codes, which = np.unique(_token_last(windows(data, offsets, network.radius), network.radius), return_inverse=True)
-                each = network.log_probability(_token_last(codes, network.radius, back=True))
-                sums = np.concatenate([[0.0], np.cumsum(each[which])]) if len(codes) else np.zeros(1)
+                each = network.kept_log_probability(windows(data, offsets, network.radius), kept)
+                sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array(np.diff(sums[offsets]))], names=["id", "n_tokens", "log_likelihood"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(emit, "id long, n_tokens long, log_likelihood double")

@@ -3,7 +3,7 @@
 import datetime
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -232,6 +232,47 @@ def test_scoring_evaluates_equal_neighbours_once(monkeypatch):
         assert sum(seen) == len({tuple(a) for a in around}) < len(twins)
 
 
+def test_scoring_evaluates_kept_windows_once(monkeypatch):
+    """Windows of earlier slices are not evaluated again, and a table that most windows find taken changes no value."""
+    data = np.frombuffer(b"abcaacabcabbabc", np.uint8)
+    codes = scoring.windows(data, np.array([0, 5, 15]))
+    network, seen = scoring.Network.fresh(), []
+    known = dict(zip(codes, network.log_probability(codes)))
+    plain = network.log_probability
+    monkeypatch.setattr(network, "log_probability", lambda c: seen.append(len(c)) or plain(c))
+    for bits in (16, 1):
+        kept = scoring.Kept(np.float32, bits)
+        for part in (codes[:9], codes, codes[::-1], codes[:0]):
+            got = network.kept_log_probability(part, kept)
+            assert got == pytest.approx(np.array([known[c] for c in part]), abs=1e-5)
+        if bits == 16:
+            assert sum(seen) == len(set(codes)) and seen[2:] == [0, 0]
+
+
+def test_a_task_adds_up_its_windows():
+    """One row per window of a task whatever the number of slices; where places are taken the counts still come out whole."""
+    texts = [["abcabc", None, "", "x"], ["abcabc", "żó"], ["abcabc"] * 3]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t)], names=["text"]) for t in texts]
+    want = Counter(tuple(p) for places in plain_codes([x for t in texts for x in t], scoring.RADIUS) for p in places)
+    for bits in (16, 1):
+        out = [r for b in scoring._count(iter(batches), scoring.RADIUS, bits) for r in b.to_pylist()]
+        got = Counter()
+        for r in out:
+            got[tuple(r["code"] >> 9 * k & 511 for k in reversed(range(2 * scoring.RADIUS + 1)))] += r["n"]
+        assert got == want
+        assert len(out) == len(want) if bits == 16 else len(out) > len(want)
+
+
+def test_windows_at_the_ends_of_texts():
+    """Texts shorter than a window, empty ones and any radius against the plain definition."""
+    rng = np.random.default_rng(3)
+    for radius in (0, 1, 2, 3):
+        texts = ["".join(rng.choice(list("ab"), n)) for n in [0, 1, 2, 0, 0, 3, 4, 7, 1, 0]]
+        offsets = np.cumsum([0, *map(len, texts)])
+        want = [sum(b << 9 * (2 * radius - k) for k, b in enumerate(p)) for places in plain_codes(texts, radius) for p in places]
+        assert scoring.windows(np.frombuffer("".join(texts).encode(), np.uint8), offsets, radius).tolist() == want
+
+
 def test_scoring_against_the_definition(spark):
     data = rows(8, 25)
     docs = frame(spark, data + [data[3], (None, *data[4][1:])])
