@@ -10,14 +10,19 @@ Clusters that are all equally far from each other, and from nothing else as clos
 number: they pair up in the order of their ids, and the merges queue up behind them.
 
 The state is one row per pair of living clusters with the sum and the number of its known leaf distances; a round joins it with
-the few clusters that merged. No group, matrix or step list is ever in one task; the only windows order the neighbours of one cluster
-and the merges of one tree (as many as its leaves, never its pairs).
+the few clusters that merged. As soon as a group has no more than ``TASK_CLUSTERS`` living clusters, one task makes all its further
+merges in the order of the definition: its matrix has a fixed size at most, and rounds are left to groups that are larger.
+The only windows order the neighbours of one cluster and the merges of one tree (as many as its leaves, never its pairs).
 """
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ratewise.session import cut_lineage, scratch_path
@@ -26,6 +31,9 @@ STEP = "step int, left int, right int, distance double, size int"
 UNITS = 10**12  # distances are summed as whole numbers of this fraction, so no order of summing can change a tie
 CUT = 4  # rounds after which the list of living clusters is written
 FINE = 10**9  # averages are compared in whole units and this fraction of a unit
+TASK_CLUSTERS = 2_000  # living clusters of a group that one task merges: three matrices of 32 MB
+TASK_LEAVES = 200_000  # leaves of a tree that one task walks
+LONG = 2**63 - 1
 
 NODE = "struct<round:int,part:int,place:bigint>"  # a leaf is (-1, leaf, 0)
 HEIGHT = "struct<whole:bigint,rest:bigint>"
@@ -106,6 +114,105 @@ def _merges(queued: DataFrame) -> DataFrame:
     return merged.join(sides, [*member, "place"]).select("group_id", "node", "left", "right", "height", "size", "rank")
 
 
+def _merge_in_order(pairs: pd.DataFrame, ranks: list[tuple]) -> Iterator[tuple[int, int, tuple]]:
+    """Merges of the clusters 0 to len(ranks) - 1, which stand by rising rank: the places of both, the rank of the merge.
+
+    The merge takes the place of its lesser child. Every row of the matrix keeps its least height; since averages cannot fall, that
+    of a row whose nearest cluster merged is still a lower bound, and such a row is looked at again only when its turn comes.
+    Ends early if the clusters do not connect.
+    """
+    n = len(ranks)
+    total, known = np.zeros((n, n), np.int64), np.zeros((n, n), np.int64)
+    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+    for x, y in ((a, b), (b, a)):
+        total[x, y], known[x, y] = pairs["total"].to_numpy(), pairs["known"].to_numpy()
+    far = np.full((n, n), np.inf)
+    np.divide(total, known, out=far, where=known > 0)
+    order, ranks, by_rank = np.arange(n), list(ranks), list(ranks)
+    whole, rest, nearest, stale = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1), np.ones(n, bool)
+
+    def height(i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = total[i, at] // known[i, at]
+        return w, (total[i, at] - w * known[i, at]) * FINE // known[i, at]
+
+    for _ in range(n - 1):
+        while True:
+            at = np.flatnonzero(whole == whole.min())
+            at = at[rest[at] == rest[at].min()]
+            i = at[np.argmin(order[at])]
+            if whole[i] == LONG:
+                return
+            if not stale[i]:
+                break
+            # Floats leave a few neighbours, whole numbers decide.
+            close = np.flatnonzero(far[i] <= far[i].min() * (1 + 1e-15) + 2 / FINE) if np.isfinite(far[i].min()) else np.array([], int)
+            w, r = height(i, close)
+            first = np.lexsort((order[close], r, w))[:1]
+            whole[i], rest[i], nearest[i] = (w[first[0]], r[first[0]], close[first[0]]) if len(first) else (LONG, 0, -1)
+            stale[i] = False
+        j = nearest[i]
+        rank = (((int(whole[i]), int(rest[i])), *ranks[i][0]), ranks[i][1])
+        yield int(i), int(j), rank
+        total[i] += total[j]
+        known[i] += known[j]
+        known[i, i] = known[i, j] = 0
+        known[j] = known[:, j] = 0
+        far[j] = far[:, j] = np.inf
+        far[i] = np.inf
+        np.divide(total[i], known[i], out=far[i], where=known[i] > 0)
+        total[:, i], known[:, i], far[:, i] = total[i], known[i], far[i]
+        stale |= (nearest == i) | (nearest == j)
+        stale[i], whole[j], rest[j], nearest[j], stale[j] = True, LONG, 0, -1, False
+        place = bisect.bisect_left(by_rank, rank)
+        by_rank.insert(place, rank)
+        order[order >= place] += 1
+        ranks[i], order[i] = rank, place
+        # As far as the nearest so far, and before it in the order.
+        at = np.flatnonzero((known[i] > 0) & ~stale)
+        w, r = height(i, at)
+        nearest[at[(w == whole[at]) & (r == rest[at]) & (place < order[nearest[at]])]] = i
+
+
+def _merges_in_tasks(state: DataFrame, living: DataFrame, round_: int) -> DataFrame:
+    """All further merges of groups that one task can hold, in the columns of ``_merges``; none of a group that does not connect."""
+    heights = [F.transform("rank.heights", lambda h: h[c]).alias(f"h_{c}") for c in ("whole", "rest")]  # noqa: B023
+    clusters = living.select("group_id", "c", *[F.col(f"node.{c}").alias(f"n_{c}") for c in ("round", "part", "place")], "size", *heights, F.col("rank.leaf").alias("leaf"))
+    pairs = state.select("group_id", "a", "b", F.col("total").cast("long").alias("total"), F.col("known").cast("long").alias("known"))
+    fields = [pairs.schema["group_id"]] + T.StructType.fromDDL(
+        "part int, " + "".join(f"{side}_round int, {side}_part int, {side}_place long, " for side in ("left", "right"))
+        + "whole long, rest long, size int, h_whole array<long>, h_rest array<long>, leaf int"
+    ).fields
+    schema = T.StructType(fields)
+
+    def merge(key: tuple, pairs: pd.DataFrame, living: pd.DataFrame) -> pd.DataFrame:
+        if not len(pairs) or not len(living):
+            return pd.DataFrame({f.name: [] for f in fields})
+        ranks = [(tuple(zip(map(int, w), map(int, r))), leaf) for w, r, leaf in zip(living["h_whole"], living["h_rest"], living["leaf"].tolist())]
+        by_rank = sorted(range(len(ranks)), key=ranks.__getitem__)
+        place_of = pd.Series(range(len(ranks)), index=living["c"].to_numpy()[by_rank])
+        placed = pairs.assign(a=place_of[pairs["a"]].to_numpy(), b=place_of[pairs["b"]].to_numpy())
+        nodes = [*living[["n_round", "n_part", "n_place"]].iloc[by_rank].itertuples(index=False, name=None)]
+        sizes, rows = living["size"].to_numpy()[by_rank].tolist(), []
+        for part, (i, j, (heights, leaf)) in enumerate(_merge_in_order(placed, [ranks[x] for x in by_rank])):
+            sizes[i] += sizes[j]
+            rows.append((key[0], part, *nodes[i], *nodes[j], *heights[0], sizes[i], [h[0] for h in heights], [h[1] for h in heights], leaf))
+            nodes[i] = (round_, part, 0)
+        return pd.DataFrame(rows if len(rows) == len(ranks) - 1 else [], columns=[f.name for f in fields])
+
+    merged = pairs.groupBy("group_id").cogroup(clusters.groupBy("group_id")).applyInPandas(merge, schema)
+    rank = F.struct(F.zip_with("h_whole", "h_rest", lambda w, r: F.struct(w.alias("whole"), r.alias("rest"))).alias("heights"), "leaf")
+    sides = [_node(F.col(f"{side}_round"), F.col(f"{side}_part"), F.col(f"{side}_place")).alias(side) for side in ("left", "right")]
+    return merged.select("group_id", _node(F.lit(round_), F.col("part"), F.lit(0)).alias("node"), *sides, F.struct("whole", "rest").alias("height"), "size", rank.alias("rank"))
+
+
+def _for_tasks(state: DataFrame, living: DataFrame) -> DataFrame:
+    """``group_id`` of the groups whose further merges one task can make: few clusters, and sums that fit into 64 bits."""
+    clusters = living.groupBy("group_id").agg(F.count("*").alias("clusters"))
+    sums = state.groupBy("group_id").agg(F.sum("total").alias("total"), F.min("total").alias("least"), F.sum("known").alias("known"))
+    fit = (F.col("clusters") <= TASK_CLUSTERS) & (F.col("least") >= 0) & (F.col("total") < 2**62) & (F.col("known") < 2**33)
+    return clusters.join(sums, "group_id").filter(fit).select("group_id")
+
+
 def connected_groups(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """``group_id`` of the groups whose leaves all hang together by ``pairs`` (``group_id, a, b``).
 
@@ -134,11 +241,10 @@ def average_linkage(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
     ``pairs``: ``group_id, a, b, distance`` (of a pair that is given twice the larger distance counts; pairs without a distance
     do not count); ``sizes``: ``group_id, leaves``. Leaves are 0 to ``leaves`` - 1, the merge of step s is ``leaves`` + s. Groups
-    that do not connect have no tree. Rounds grow with the logarithm of the leaves where ties are few or complete; chains of
-    ties (points at equal steps on a line) take more, since each waits for the one before.
+    that do not connect have no tree. Rounds, which only groups of more than ``TASK_CLUSTERS`` take, grow with the logarithm of the
+    leaves where ties are few or complete; chains of ties (points at equal steps on a line) take more, since each waits for the one before.
     """
     spark = pairs.sparkSession
-    id_type = pairs.schema["group_id"].dataType.simpleString()
     sizes = sizes.filter("leaves >= 2").select("group_id", F.col("leaves").cast("int").alias("leaves"))
     usable = pairs.filter((F.col("a") != F.col("b")) & F.col("distance").isNotNull()).join(sizes, "group_id")
     usable = usable.filter((F.least("a", "b") >= 0) & (F.greatest("a", "b") < F.col("leaves")))
@@ -149,10 +255,6 @@ def average_linkage(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
         ),
         "pairs",
     )
-    # Groups that do not connect have no tree: nothing of them is merged.
-    connected = cut_lineage(connected_groups(state.select("group_id", "a", "b"), sizes), "connected")
-    state = state.join(connected, "group_id", "left_semi")
-    sizes = sizes.join(connected, "group_id", "left_semi")
     living = cut_lineage(
         sizes.select("group_id", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("c")).select(
             "group_id", "c", _node(F.lit(-1), F.col("c"), F.lit(0)).alias("node"), F.lit(1).alias("size"),
@@ -160,6 +262,13 @@ def average_linkage(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
         ),
         "living",
     )
+    small = cut_lineage(_for_tasks(state, living), "small")
+    in_tasks = [cut_lineage(_merges_in_tasks(state.join(small, "group_id", "left_semi"), living.join(small, "group_id", "left_semi"), 0), "merges")]
+    state = state.join(small, "group_id", "left_anti")
+    if not state.isEmpty():
+        # Groups that do not connect have no tree: nothing of them is merged.
+        connected = cut_lineage(connected_groups(state.select("group_id", "a", "b"), sizes), "connected")
+        state, living = state.join(connected, "group_id", "left_semi"), living.join(connected, "group_id", "left_semi")
     root = scratch_path(spark, "queues")
     schema, round_ = None, 0
     while not state.isEmpty():
@@ -185,9 +294,13 @@ def average_linkage(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
             "pairs",
         )
         round_ += 1
-    if not round_:
-        return spark.createDataFrame([], f"group_id {id_type}, {STEP}")
-    merges = _merges(spark.read.schema(schema).parquet(root)).join(sizes, "group_id")
+        if round_ % CUT == 0:
+            small = cut_lineage(_for_tasks(state, living), "small")
+            if not small.isEmpty():
+                mine = [df.join(small, "group_id", "left_semi") for df in (state, living)]
+                in_tasks.append(cut_lineage(_merges_in_tasks(*mine, round_), "merges"))
+                state, living = (cut_lineage(df.join(small, "group_id", "left_anti"), "larger") for df in (state, living))
+    merges = reduce(DataFrame.unionByName, [*in_tasks, *([_merges(spark.read.schema(schema).parquet(root))] if round_ else [])]).join(sizes, "group_id")
     step = (F.row_number().over(Window.partitionBy("group_id").orderBy("rank")) - 1).cast("int")
     steps = cut_lineage(merges.withColumn("step", step), "steps")
     ids = steps.select("group_id", "node", (F.col("leaves") + F.col("step")).alias("id"))
@@ -204,10 +317,32 @@ def leaf_order(linkage: DataFrame, sizes: DataFrame) -> DataFrame:
     """Position of every leaf when the tree is read left to right; natural order for groups without a tree.
 
     A right child begins after its left sibling's leaves. What lies before a leaf is the sum of that over its
-    ancestors, found by pointer doubling: in every round each node adds what its pointer has gathered and points twice as far.
+    ancestors. A tree of up to ``TASK_LEAVES`` is walked in one task, from its last merge down.
     """
     sizes = sizes.select("group_id", F.col("leaves").cast("int").alias("leaves"))
-    steps = linkage.select("group_id", "step", "left", "right", "size").join(sizes, "group_id")
+    steps = cut_lineage(linkage.select("group_id", "step", "left", "right", "size").join(sizes, "group_id"), "steps")
+    few, many = steps.filter(F.col("leaves") <= TASK_LEAVES), steps.filter(F.col("leaves") > TASK_LEAVES)
+    schema = T.StructType([steps.schema["group_id"], T.StructField("leaf", T.IntegerType()), T.StructField("before", T.IntegerType())])
+
+    def walk(key: tuple, tree: pd.DataFrame) -> pd.DataFrame:
+        leaves, before = int(tree["leaves"].iloc[0]), {}
+        tree = tree.sort_values("step", ascending=False)
+        size = dict(zip((leaves + tree["step"]).tolist(), tree["size"].tolist()))
+        for node, left, right in zip((leaves + tree["step"]).tolist(), tree["left"].tolist(), tree["right"].tolist()):
+            before[left] = before.get(node, 0)
+            before[right] = before[left] + size.get(left, 1)
+        return pd.DataFrame({"group_id": key[0], "leaf": [*before.keys()], "before": [*before.values()]})
+
+    placed = few.groupBy("group_id").applyInPandas(walk, schema)
+    if not many.isEmpty():
+        placed = placed.unionByName(_places_by_doubling(many))
+    leaves = sizes.select("group_id", F.explode(F.sequence(F.lit(0), F.greatest(F.col("leaves"), F.lit(1)) - 1)).alias("leaf"), "leaves").filter("leaf < leaves")
+    return leaves.join(placed, ["group_id", "leaf"], "left").select("group_id", "leaf", F.coalesce("before", "leaf").cast("int").alias("position"))
+
+
+def _places_by_doubling(steps: DataFrame) -> DataFrame:
+    """``group_id, leaf, before`` of large trees by pointer doubling: in every round each node adds what its pointer has gathered and
+    points twice as far."""
     node = F.col("leaves") + F.col("step")
     counts = steps.select("group_id", node.alias("left"), F.col("size").alias("left_size"))
     known = cut_lineage(
@@ -223,6 +358,4 @@ def leaf_order(linkage: DataFrame, sizes: DataFrame) -> DataFrame:
         nodes = cut_lineage(
             nodes.join(far, ["group_id", "up"], "left").select("group_id", "node", F.col("far").alias("up"), (F.col("before") + F.coalesce("more", F.lit(0))).alias("before")), "nodes"
         )
-    leaves = sizes.select("group_id", F.explode(F.sequence(F.lit(0), F.greatest(F.col("leaves"), F.lit(1)) - 1)).alias("leaf"), "leaves").filter("leaf < leaves")
-    placed = nodes.select("group_id", F.col("node").alias("leaf"), "before")
-    return leaves.join(placed, ["group_id", "leaf"], "left").select("group_id", "leaf", F.coalesce("before", "leaf").cast("int").alias("position"))
+    return nodes.select("group_id", F.col("node").alias("leaf"), "before")

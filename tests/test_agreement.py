@@ -92,6 +92,39 @@ def test_groups_that_do_not_connect_are_not_merged(spark, monkeypatch):
     assert linked(spark, [groups[2]])[0].collect() == []
 
 
+def test_small_groups_take_no_rounds(spark, monkeypatch):
+    """One task merges a group of few clusters and one walks its tree; a group that does not connect has none."""
+    monkeypatch.setattr(linkage, "_closest", lambda state: pytest.fail("a round was begun"))
+    monkeypatch.setattr(linkage, "connected_groups", lambda pairs, sizes: pytest.fail("pairs were contracted"))
+    monkeypatch.setattr(linkage, "_places_by_doubling", lambda steps: pytest.fail("pointers were doubled"), raising=False)
+    df, sizes = linked(spark, [(4, [(0, 1, 0.5), (2, 3, 0.25), (1, 2, 1.0)]), (3, [(0, 1, 0.1)])])
+    got = sorted(map(tuple, df.collect()))
+    assert got == [(0, 0, 2, 3, 0.25, 2), (0, 1, 0, 1, 0.5, 2), (0, 2, 4, 5, 1.0, 4)]
+    assert sorted(map(tuple, linkage.leaf_order(df, sizes).collect())) == [(0, 0, 2), (0, 1, 3), (0, 2, 0), (0, 3, 1), (1, 0, 0), (1, 1, 1), (1, 2, 2)]
+
+
+@pytest.mark.parametrize("clusters", [0, 4])
+def test_trees_by_rounds_equal_those_of_a_task(spark, monkeypatch, clusters):
+    """Rounds alone, and rounds that hand what is left to a task after each of them, make the trees of one task."""
+    groups = [g for g in tied_pairs()[::3] if g[1]]
+
+    def find():
+        steps, sizes = linked(spark, groups)
+        return [sorted(map(tuple, df.collect())) for df in (steps, linkage.leaf_order(steps, sizes))]
+
+    want = find()
+    monkeypatch.setattr(linkage, "TASK_CLUSTERS", clusters)
+    monkeypatch.setattr(linkage, "TASK_LEAVES", 0)
+    monkeypatch.setattr(linkage, "CUT", 1)
+    assert find() == want and want[0]
+
+
+def test_sums_beyond_64_bits_take_rounds(spark):
+    d = 4e6  # twice this many trillionths do not fit
+    steps = linked(spark, [(3, [(0, 1, 1.0), (0, 2, d), (1, 2, d)])])[0].collect()
+    assert [(r.left, r.right, r.distance, r.size) for r in sorted(steps, key=lambda r: r.step)] == [(0, 1, 1.0, 2), (2, 3, d, 3)]
+
+
 def test_empty_and_single_leaf_groups(spark):
     assert linked(spark, [])[0].collect() == []
     df, sizes = linked(spark, [(1, []), (3, [])])
