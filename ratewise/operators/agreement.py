@@ -152,8 +152,8 @@ def run_pair_counts(
         return frame
 
     blocked = placed.groupBy(*keys).applyInPandas(count_block, schema)
-    # One row per pair and item; a run's repeated ratings of an item count once.
-    once = few.groupBy(*group, item, run).agg(F.max(label).alias(label))
+    # One row per pair and item; a run's repeated ratings of an item count once. Ratings are moved by item once, for the join too.
+    once = few.repartition(*group, item).groupBy(*group, item, run).agg(F.max(label).alias(label))
     left = once.select(*group, item, F.col(run).alias("run_a"), F.col(label).alias("__left"))
     right = once.select(*group, item, F.col(run).alias("run_b"), F.col(label).alias("__right"))
     pairs = left.join(right, [*group, item]).filter(F.col("run_a") < F.col("run_b"))

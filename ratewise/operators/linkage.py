@@ -18,12 +18,15 @@ The only windows order the neighbours of one cluster and the merges of one tree
 from __future__ import annotations
 
 import bisect
+import json
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ratewise.session import cut_lineage, scratch_path
 
@@ -31,7 +34,7 @@ STEP = "step int, left int, right int, distance double, size int"
 UNITS = 10**12  # distances are summed as whole numbers of this fraction, so no order of summing can change a tie
 CUT = 4  # rounds after which the list of living clusters is written
 FINE = 10**9  # averages are compared in whole units and this fraction of a unit
-TASK_CLUSTERS = 2_000  # living clusters of a group that one task merges: three matrices of 32 MB
+TASK_CLUSTERS = 8_000  # living clusters of a group that one task merges: 12 bytes a pair, 384 MB
 TASK_LEAVES = 200_000  # leaves of a tree that one task walks
 LONG = 2**63 - 1
 
@@ -114,102 +117,141 @@ def _merges(queued: DataFrame) -> DataFrame:
     return merged.join(sides, [*member, "place"]).select("group_id", "node", "left", "right", "height", "size", "rank")
 
 
-def _merge_in_order(pairs: pd.DataFrame, ranks: list[tuple]) -> Iterator[tuple[int, int, tuple]]:
-    """Merges of the clusters 0 to len(ranks) - 1, which stand by rising rank: the places of both, the rank of the merge.
-
-    The merge takes the place of its lesser child. Every row of the matrix keeps its least height; since averages cannot fall, that
-    of a row whose nearest cluster merged is still a lower bound, and such a row is looked at again only when its turn comes.
-    Ends early if the clusters do not connect.
-    """
-    n = len(ranks)
-    total, known = np.zeros((n, n), np.int64), np.zeros((n, n), np.int64)
-    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-    for x, y in ((a, b), (b, a)):
-        total[x, y], known[x, y] = pairs["total"].to_numpy(), pairs["known"].to_numpy()
-    far = np.full((n, n), np.inf)
-    np.divide(total, known, out=far, where=known > 0)
-    order, ranks, by_rank = np.arange(n), list(ranks), list(ranks)
-    whole, rest, nearest, stale = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1), np.ones(n, bool)
-
-    def height(i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = total[i, at] // known[i, at]
-        return w, (total[i, at] - w * known[i, at]) * FINE // known[i, at]
-
-    for _ in range(n - 1):
-        while True:
-            at = np.flatnonzero(whole == whole.min())
-            at = at[rest[at] == rest[at].min()]
-            i = at[np.argmin(order[at])]
-            if whole[i] == LONG:
-                return
-            if not stale[i]:
-                break
-            # Floats leave a few neighbours, whole numbers decide.
-            close = np.flatnonzero(far[i] <= far[i].min() * (1 + 1e-15) + 2 / FINE) if np.isfinite(far[i].min()) else np.array([], int)
-            w, r = height(i, close)
-            first = np.lexsort((order[close], r, w))[:1]
-            whole[i], rest[i], nearest[i] = (w[first[0]], r[first[0]], close[first[0]]) if len(first) else (LONG, 0, -1)
-            stale[i] = False
-        j = nearest[i]
-        rank = (((int(whole[i]), int(rest[i])), *ranks[i][0]), ranks[i][1])
-        yield int(i), int(j), rank
-        total[i] += total[j]
-        known[i] += known[j]
-        known[i, i] = known[i, j] = 0
-        known[j] = known[:, j] = 0
-        far[j] = far[:, j] = np.inf
-        far[i] = np.inf
-        np.divide(total[i], known[i], out=far[i], where=known[i] > 0)
-        total[:, i], known[:, i], far[:, i] = total[i], known[i], far[i]
-        stale |= (nearest == i) | (nearest == j)
-        stale[i], whole[j], rest[j], nearest[j], stale[j] = True, LONG, 0, -1, False
-        place = bisect.bisect_left(by_rank, rank)
-        by_rank.insert(place, rank)
-        order[order >= place] += 1
-        ranks[i], order[i] = rank, place
-        # As far as the nearest so far, and before it in the order.
-        at = np.flatnonzero((known[i] > 0) & ~stale)
-        w, r = height(i, at)
-        nearest[at[(w == whole[at]) & (r == rest[at]) & (place < order[nearest[at]])]] = i
+class _Group:
+    """Living clusters of one group, by rising rank, and sum and number of the known distances of each pair of them."""
+
+    def __init__(self, living: list[dict]):
+        self.living = sorted(living, key=lambda r: self.rank(r))
+        names = np.array([r["c"] for r in self.living], np.int64)
+        self.by_name = np.argsort(names)
+        self.names = names[self.by_name]
+        n = self.n = len(names)
+        place = np.arange(n, dtype=np.int64)
+        # Places i < j have their pair at start[i] + j; the last entry is no pair.
+        self.start = place * (2 * n - place - 1) // 2 - place - 1
+        self.total, self.known = np.zeros(n * (n - 1) // 2 + 1, np.int64), np.zeros(n * (n - 1) // 2 + 1, np.int32)
+
+    @staticmethod
+    def rank(row: dict) -> tuple:
+        return tuple((h["whole"], h["rest"]) for h in row["rank"]["heights"]), row["rank"]["leaf"]
+
+    def add(self, pairs: pa.RecordBatch) -> None:
+        a, b = (self.by_name[np.searchsorted(self.names, pairs.column(c).to_numpy())] for c in ("a", "b"))
+        at = self.start[np.minimum(a, b)] + np.maximum(a, b)
+        self.total[at], self.known[at] = (pairs.column(c).to_numpy() for c in ("total", "known"))
+
+    def _row(self, i: int) -> np.ndarray:
+        return np.concatenate([self.start[:i] + i, [len(self.total) - 1], self.start[i] + np.arange(i + 1, self.n)])
+
+    def merges(self) -> Iterator[tuple[int, int, tuple]]:
+        """The places of two clusters that merge and the rank of the merge, which takes the place of the lesser one, in order.
+
+        Every cluster keeps its least height; since averages cannot fall, that of a cluster whose nearest one merged is still a lower
+        bound, and it is looked at again only when its turn comes. Ends early if the clusters do not connect.
+        """
+        n = self.n
+        ranks = [self.rank(r) for r in self.living]
+        order, by_rank = np.arange(n), list(ranks)
+        whole, rest, nearest, stale = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1), np.ones(n, bool)
+
+        def height(total: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            w = total // known
+            return w, (total - w * known) * FINE // known
+
+        for _ in range(n - 1):
+            while True:
+                at = np.flatnonzero(whole == whole.min())
+                at = at[rest[at] == rest[at].min()]
+                i = int(at[np.argmin(order[at])])
+                if whole[i] == LONG:
+                    return
+                if not stale[i]:
+                    break
+                row = self._row(i)
+                total, known = self.total[row], self.known[row].astype(np.int64)
+                far = np.divide(total, known, out=np.full(n, np.inf), where=known > 0)
+                # Floats leave a few neighbours, whole numbers decide.
+                close = np.flatnonzero((known > 0) & (far <= far.min() * (1 + 1e-15) + 2 / FINE))
+                w, r = height(total[close], known[close])
+                first = np.lexsort((order[close], r, w))[:1]
+                whole[i], rest[i], nearest[i] = (w[first[0]], r[first[0]], close[first[0]]) if len(first) else (LONG, 0, -1)
+                stale[i] = False
+            j = int(nearest[i])
+            rank = (((int(whole[i]), int(rest[i])), *ranks[i][0]), ranks[i][1])
+            yield i, j, rank
+            row, gone = self._row(i), self._row(j)
+            total, known = self.total[row] + self.total[gone], self.known[row] + self.known[gone]
+            total[[i, j]] = known[[i, j]] = 0
+            self.total[gone] = self.known[gone] = 0
+            self.total[row], self.known[row] = total, known
+            stale |= (nearest == i) | (nearest == j)
+            stale[i], whole[j], rest[j], nearest[j], stale[j] = True, LONG, 0, -1, False
+            place = bisect.bisect_left(by_rank, rank)
+            by_rank.insert(place, rank)
+            order[order >= place] += 1
+            ranks[i], order[i] = rank, place
+            # As far as the nearest so far, and before it in the order.
+            at = np.flatnonzero((known > 0) & ~stale)
+            w, r = height(total[at], known[at].astype(np.int64))
+            nearest[at[(w == whole[at]) & (r == rest[at]) & (place < order[nearest[at]])]] = i
 
 
 def _merges_in_tasks(state: DataFrame, living: DataFrame, round_: int) -> DataFrame:
     """All further merges of groups that one task can hold, in the columns of ``_merges``; none of a group that does not connect."""
-    heights = [F.transform("rank.heights", lambda h: h[c]).alias(f"h_{c}") for c in ("whole", "rest")]  # noqa: B023
-    clusters = living.select("group_id", "c", *[F.col(f"node.{c}").alias(f"n_{c}") for c in ("round", "part", "place")], "size", *heights, F.col("rank.leaf").alias("leaf"))
-    pairs = state.select("group_id", "a", "b", F.col("total").cast("long").alias("total"), F.col("known").cast("long").alias("known"))
-    fields = [pairs.schema["group_id"]] + T.StructType.fromDDL(
+    # The clusters of a group come first, then its pairs, which a task reads batch by batch in columns as narrow as possible.
+    clusters = living.select("group_id", F.lit(0).alias("kind"), F.to_json(F.struct("c", "node", "size", "rank")).alias("cluster"))
+    pairs = state.select("group_id", F.lit(1).alias("kind"), "a", "b", F.col("total").cast("long").alias("total"), F.col("known").cast("int").alias("known"))
+    rows = clusters.unionByName(pairs, allowMissingColumns=True).repartition("group_id").sortWithinPartitions("group_id", "kind")
+    schema = T.StructType([rows.schema["group_id"]] + T.StructType.fromDDL(
         "part int, " + "".join(f"{side}_round int, {side}_part int, {side}_place long, " for side in ("left", "right"))
         + "whole long, rest long, size int, h_whole array<long>, h_rest array<long>, leaf int"
-    ).fields
-    schema = T.StructType(fields)
-
-    def merge(key: tuple, pairs: pd.DataFrame, living: pd.DataFrame) -> pd.DataFrame:
-        if not len(pairs) or not len(living):
-            return pd.DataFrame({f.name: [] for f in fields})
-        ranks = [(tuple(zip(map(int, w), map(int, r))), leaf) for w, r, leaf in zip(living["h_whole"], living["h_rest"], living["leaf"].tolist())]
-        by_rank = sorted(range(len(ranks)), key=ranks.__getitem__)
-        place_of = pd.Series(range(len(ranks)), index=living["c"].to_numpy()[by_rank])
-        placed = pairs.assign(a=place_of[pairs["a"]].to_numpy(), b=place_of[pairs["b"]].to_numpy())
-        nodes = [*living[["n_round", "n_part", "n_place"]].iloc[by_rank].itertuples(index=False, name=None)]
-        sizes, rows = living["size"].to_numpy()[by_rank].tolist(), []
-        for part, (i, j, (heights, leaf)) in enumerate(_merge_in_order(placed, [ranks[x] for x in by_rank])):
+    ).fields)
+    returned = to_arrow_schema(schema)
+
+    def merged(group_id, group: _Group) -> Iterator[pa.RecordBatch]:
+        nodes = [tuple(r["node"][c] for c in ("round", "part", "place")) for r in group.living]
+        sizes, out = [r["size"] for r in group.living], []
+        for part, (i, j, (heights, leaf)) in enumerate(group.merges()):
             sizes[i] += sizes[j]
-            rows.append((key[0], part, *nodes[i], *nodes[j], *heights[0], sizes[i], [h[0] for h in heights], [h[1] for h in heights], leaf))
+            out.append((group_id, part, *nodes[i], *nodes[j], *heights[0], sizes[i], [h[0] for h in heights], [h[1] for h in heights], leaf))
             nodes[i] = (round_, part, 0)
-        return pd.DataFrame(rows if len(rows) == len(ranks) - 1 else [], columns=[f.name for f in fields])
-
-    merged = pairs.groupBy("group_id").cogroup(clusters.groupBy("group_id")).applyInPandas(merge, schema)
+        if len(out) == group.n - 1:
+            for lo in range(0, len(out), 1000):
+                columns = zip(*out[lo : lo + 1000])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, returned)], schema=returned)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, living, group = None, [], None
+        for batch in batches:
+            ids, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("group_id", "kind"))
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
+                part = batch.slice(lo, hi - lo)
+                if lo == hi:
+                    continue
+                if kinds[lo] == 0:
+                    if group is not None:
+                        yield from merged(key, group)
+                    if group is not None or part.column("group_id")[0].as_py() != key:
+                        key, living, group = part.column("group_id")[0].as_py(), [], None
+                    living += map(json.loads, part.column("cluster").to_pylist())
+                else:
+                    group = group or _Group(living)
+                    group.add(part)
+        if group is not None:
+            yield from merged(key, group)
+
+    found = rows.mapInArrow(merge, schema)
     rank = F.struct(F.zip_with("h_whole", "h_rest", lambda w, r: F.struct(w.alias("whole"), r.alias("rest"))).alias("heights"), "leaf")
     sides = [_node(F.col(f"{side}_round"), F.col(f"{side}_part"), F.col(f"{side}_place")).alias(side) for side in ("left", "right")]
-    return merged.select("group_id", _node(F.lit(round_), F.col("part"), F.lit(0)).alias("node"), *sides, F.struct("whole", "rest").alias("height"), "size", rank.alias("rank"))
+    return found.select("group_id", _node(F.lit(round_), F.col("part"), F.lit(0)).alias("node"), *sides, F.struct("whole", "rest").alias("height"), "size", rank.alias("rank"))
 
 
 def _for_tasks(state: DataFrame, living: DataFrame) -> DataFrame:
     """``group_id`` of the groups whose further merges one task can make: few clusters, and sums that fit into 64 bits."""
     clusters = living.groupBy("group_id").agg(F.count("*").alias("clusters"))
     sums = state.groupBy("group_id").agg(F.sum("total").alias("total"), F.min("total").alias("least"), F.sum("known").alias("known"))
-    fit = (F.col("clusters") <= TASK_CLUSTERS) & (F.col("least") >= 0) & (F.col("total") < 2**62) & (F.col("known") < 2**33)
+    fit = (F.col("clusters") <= TASK_CLUSTERS) & (F.col("least") >= 0) & (F.col("total") < 2**62) & (F.col("known") < 2**31)
     return clusters.join(sums, "group_id").filter(fit).select("group_id")
 
 
@@ -294,12 +336,11 @@ def average_linkage(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
             "pairs",
         )
         round_ += 1
-        if round_ % CUT == 0:
-            small = cut_lineage(_for_tasks(state, living), "small")
-            if not small.isEmpty():
-                mine = [df.join(small, "group_id", "left_semi") for df in (state, living)]
-                in_tasks.append(cut_lineage(_merges_in_tasks(*mine, round_), "merges"))
-                state, living = (cut_lineage(df.join(small, "group_id", "left_anti"), "larger") for df in (state, living))
+        small = cut_lineage(_for_tasks(state, living), "small")
+        if not small.isEmpty():
+            mine = [df.join(small, "group_id", "left_semi") for df in (state, living)]
+            in_tasks.append(cut_lineage(_merges_in_tasks(*mine, round_), "merges"))
+            state, living = (cut_lineage(df.join(small, "group_id", "left_anti"), "larger") for df in (state, living))
     merges = reduce(DataFrame.unionByName, [*in_tasks, *([_merges(spark.read.schema(schema).parquet(root))] if round_ else [])]).join(sizes, "group_id")
     step = (F.row_number().over(Window.partitionBy("group_id").orderBy("rank")) - 1).cast("int")
     steps = cut_lineage(merges.withColumn("step", step), "steps")

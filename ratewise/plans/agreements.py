@@ -20,8 +20,10 @@ def grouped_predictions(spark, sf_dir):
     runs = fx.runs(spark, sf_dir).select("run_id", "task", "model", "temperature")
     whole = fx.predictions(spark, sf_dir).join(runs, "run_id")
     odd = F.col("id") % 2 == 1
-    gaps = whole.withColumn("run_id", F.when(odd, F.col("run_id"))).withColumn("id", F.when(~odd, F.col("id")))
-    return whole.unionByName(gaps)
+    # Both kinds of rows come from one pass: a union would derive the predictions twice.
+    both = whole.withColumn("gap", F.explode(F.array(F.lit(False), F.lit(True))))
+    run = F.when(~F.col("gap") | odd, F.col("run_id"))
+    return both.withColumn("run_id", run).withColumn("id", F.when(~F.col("gap") | ~odd, F.col("id"))).drop("gap")
 
 
 # Alpha over all rater pairs of an item, the definition of the coincidence matrix.
